@@ -160,7 +160,8 @@ def _cast(value: Column, have: T.DataType, want: T.DataType) -> Column:
 def conform(df: DataFrame, schema: TableSchema | T.StructType) -> DataFrame:
     """Reorder, cast and fill ``df`` to a declared schema, inside nested types as well.
 
-    Ends with ``to``, which sets the field ids that ``cast`` would lose.
+    ``cast`` loses field ids. ``to`` sets them inside nested types, but on a plain column the
+    optimizer may drop them again with the projection, so those get an alias that carries them.
     """
     columns = schema.columns if isinstance(schema, TableSchema) else schema
     have = {f.name: f.dataType for f in df.schema.fields}
@@ -169,7 +170,8 @@ def conform(df: DataFrame, schema: TableSchema | T.StructType) -> DataFrame:
          else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in columns.fields
     ]
-    return df.select(selected).to(columns)
+    with_ids = [F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in columns.fields]
+    return df.select(selected).to(columns).select(with_ids)
 
 
 def write_generation(df: DataFrame, schema: TableSchema, path: str) -> str:

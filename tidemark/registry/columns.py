@@ -402,14 +402,18 @@ f3 AS (SELECT id, CAST(xor(CAST(h AS BIGINT), CAST(h // 8192 AS BIGINT)) AS HUGE
 f4 AS (SELECT id, xor(CAST(h AS BIGINT), CAST(h // 65536 AS BIGINT)) AS h FROM f3)"""
 
 
-def _bucket_long_sql(source: str, key: str, value: str, n: int) -> str:
+def bucket_ctes(source: str, key: str, value: str) -> str:
+    """CTEs that end in ``f4(id, h)``, the hash of a long value by key."""
     unsigned = f"(CAST({value} AS HUGEINT) + CASE WHEN {value} < 0 THEN 18446744073709551616 ELSE 0 END)"
-    return f"""WITH
+    return f"""
 r0 AS (SELECT {key} AS id, CAST(0 AS HUGEINT) AS h, {unsigned} AS rest FROM {source}),
 {_rounds(1, "(rest % 4294967296)", "h")},
 {_rounds(2, "(rest // 4294967296)", "h")},
-{_finish("r2", "8")}
-SELECT id AS {key}, CAST((h & 2147483647) % {n} AS INTEGER) AS v FROM f4"""
+{_finish("r2", "8")}"""
+
+
+def _bucket_long_sql(source: str, key: str, value: str, n: int) -> str:
+    return f"WITH {bucket_ctes(source, key, value)} SELECT id AS {key}, CAST((h & 2147483647) % {n} AS INTEGER) AS v FROM f4"
 
 
 @register(_bucket_long_sql("orders", "o_orderkey", "(o_custkey - 700)", 16))
@@ -455,10 +459,10 @@ def xf_truncate_str(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _value(spark, sf_dir, "documents", "doc_id", _field("truncate", "text", 3))
 
 
-@register("""SELECT o_orderkey, CAST((u - ((u % 50) + 50) % 50) AS DECIMAL(18, 0)) AS v_unscaled FROM (
+@register("""SELECT o_orderkey, u - ((u % 50) + 50) % 50 AS v_unscaled FROM (
   SELECT o_orderkey, CAST(round((o_totalprice - 200000) * 100) AS BIGINT) AS u FROM orders)""")
 def xf_truncate_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.round((F.col("o_totalprice") - 200000) * 100).cast("bigint").cast("decimal(18,0)")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (price / 100).cast(T.DecimalType(12, 2)).alias("price"))
     value = _field("truncate", "price", 50).value(rows.schema)
-    return rows.select("o_orderkey", (value * 100).cast("decimal(18,0)").alias("v_unscaled"))
+    return rows.select("o_orderkey", (value * 100).cast("bigint").alias("v_unscaled"))

@@ -50,9 +50,8 @@ def rejected(spark: SparkSession, path: str, now: Column | None = None) -> DataF
 
 def _named(spark: SparkSession, path: str, now: Column | None) -> DataFrame:
     return (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .schema("body string").text(path)
-        .select(file_name().alias("file"), "body")
+        spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+        .select(file_name().alias("file"), F.col("value").alias("body"))
         .withColumn("script", parse_script("file", now))
     )
 

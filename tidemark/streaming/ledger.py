@@ -66,9 +66,8 @@ def apply_change_stream(stream: DataFrame, store: BatchStore, table: str, name:
 def new_scripts(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:
     """Record scripts that appeared below a folder since the last run, with the epoch they came in."""
     found = (
-        spark.readStream.schema("body string").option("wholetext", True)
-        .option("recursiveFileLookup", True).format("text").load(path)
-        .select(file_name().alias("file"), F.length("body").alias("n_chars"))
+        spark.readStream.option("recursiveFileLookup", True).text(path, wholetext=True)
+        .select(file_name().alias("file"), F.length("value").alias("n_chars"))
     )
 
     def write(batch: DataFrame, epoch: int) -> None:
