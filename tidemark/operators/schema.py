@@ -160,18 +160,17 @@ def _cast(value: Column, have: T.DataType, want: T.DataType) -> Column:
 def conform(df: DataFrame, schema: TableSchema | T.StructType) -> DataFrame:
     """Reorder, cast and fill ``df`` to a declared schema, inside nested types as well.
 
-    ``cast`` loses field ids. ``to`` sets them inside nested types, but on a plain column the
-    optimizer may drop them again with the projection, so those get an alias that carries them.
+    The optimizer drops field ids along with projections it merges. An explicit alias carries
+    the id of a column, and a cast to the declared type carries the ids inside it.
     """
     columns = schema.columns if isinstance(schema, TableSchema) else schema
     have = {f.name: f.dataType for f in df.schema.fields}
     selected = [
-        (_cast(F.col(f"`{f.name}`"), have[f.name], f.dataType) if f.name in have
-         else F.lit(None).cast(f.dataType)).alias(f.name)
+        (_cast(F.col(f"`{f.name}`"), have[f.name], f.dataType) if f.name in have else F.lit(None))
+        .cast(f.dataType).alias(f.name, metadata=f.metadata)
         for f in columns.fields
     ]
-    with_ids = [F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in columns.fields]
-    return df.select(selected).to(columns).select(with_ids)
+    return df.select(selected)
 
 
 def write_generation(df: DataFrame, schema: TableSchema, path: str) -> str:
