@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 # Name grammar and limits that results have to agree on.
 VERSION_PATTERN = r"^(\d{6})_(\d{6})_([a-z][a-z0-9_\-]+)\z"
 SCRIPT_PATTERN = r"^(\d{6})_(\d{6})_([a-z][a-z0-9_\-]+)(\.safe)?\.(up|down)\.sql\z"
@@ -19,51 +23,44 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _parse(name: Column, pattern: str, now: Column) -> tuple[Column, Column]:
-    stamp = F.concat(F.lit("20"), F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2))
-    matched = name.rlike(pattern)
-    ts = F.when(matched, F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss"))).cast("timestamp_ntz")
+def _judge(name: Column, pattern: str, now: Column | None, parts: Callable[[Column], list[Column]]) -> Column:
+    """Struct of ``valid``, ``reason``, ``ts`` and the parts made from the valid name."""
+    now = F.current_timestamp() if now is None else now
     latest = (now + F.expr(f"interval {FUTURE_HOURS} hours")).cast("timestamp_ntz")
-    reason = (
-        F.when(name.isNull() | (name == ""), "empty")
-        .when(~matched, "pattern")
-        .when(ts.isNull(), "calendar")
-        .when(ts > latest, "future")
-    )
-    return ts, reason
+    stamp = F.concat(F.lit("20"), F.substring(name, 1, 6), F.substring(name, 8, 6))
+    matched = F.coalesce(name.rlike(pattern), F.lit(False))
+    ts = F.try_to_timestamp(F.when(matched, stamp), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
+
+    def fields(seen: Column) -> Column:
+        reason = (
+            F.when(name.isNull() | (name == ""), "empty")
+            .when(~seen["matched"], "pattern")
+            .when(seen["ts"].isNull(), "calendar")
+            .when(seen["ts"] > latest, "future")
+        )
+        return let(reason, lambda why: F.struct(
+            why.isNull().alias("valid"), why.alias("reason"), F.when(why.isNull(), seen["ts"]).alias("ts"),
+            *parts(F.when(why.isNull(), name)),
+        ))
+
+    return let(F.struct(matched.alias("matched"), ts.alias("ts")), fields)
 
 
 def parse_version(version: Column | str, now: Column | None = None) -> Column:
     """Struct (valid, reason, ts, name) for ``YYMMDD_hhmmss_name``; century 20, at most 8 hours ahead."""
-    version = _col(version)
-    ts, reason = _parse(version, VERSION_PATTERN, F.current_timestamp() if now is None else now)
-    valid = reason.isNull()
-    return F.struct(
-        valid.alias("valid"),
-        reason.alias("reason"),
-        F.when(valid, ts).alias("ts"),
-        F.when(valid, F.regexp_extract(version, VERSION_PATTERN, 3)).alias("name"),
-    )
+    return _judge(_col(version), VERSION_PATTERN, now, lambda v: [
+        F.substring(v, STAMP_LENGTH + 2, 2**31 - 1).alias("name"),
+    ])
 
 
 def parse_script(file_name: Column | str, now: Column | None = None) -> Column:
-    """Struct (valid, reason, ts, name, version, safe, direction) for a script file name."""
-    file_name = _col(file_name)
-    ts, reason = _parse(file_name, SCRIPT_PATTERN, F.current_timestamp() if now is None else now)
-    valid = reason.isNull()
-
-    def part(group: int) -> Column:
-        return F.regexp_extract(file_name, SCRIPT_PATTERN, group)
-
-    return F.struct(
-        valid.alias("valid"),
-        reason.alias("reason"),
-        F.when(valid, ts).alias("ts"),
-        F.when(valid, part(3)).alias("name"),
-        F.when(valid, F.concat_ws("_", part(1), part(2), part(3))).alias("version"),
-        F.when(valid, part(4) != "").alias("safe"),
-        F.when(valid, part(5)).alias("direction"),
-    )
+    """Struct (valid, reason, ts, version, name, safe, direction) for a script file name."""
+    return _judge(_col(file_name), SCRIPT_PATTERN, now, lambda f: [
+        F.substring_index(f, ".", 1).alias("version"),
+        F.substring(F.substring_index(f, ".", 1), STAMP_LENGTH + 2, 2**31 - 1).alias("name"),
+        f.rlike(r"\.safe\.(up|down)\.sql\z").alias("safe"),
+        F.substring_index(F.substring_index(f, ".", -2), ".", 1).alias("direction"),
+    ])
 
 
 def version_key(version: Column | str) -> Column:
@@ -99,34 +96,43 @@ def is_identifier(name: Column | str, max_length: int = OPTION_NAME_LIMIT) -> Co
     return name.rlike(IDENTIFIER_PATTERN) & (F.octet_length(name) <= max_length)
 
 
-def _segments(name: Column, catalog: str) -> Column:
-    parts = F.filter(F.transform(F.split(name, r"\."), lambda p: F.trim(p)), lambda p: p != "")
+def _segments(name: Column) -> Column:
+    return F.filter(F.transform(F.split(name, r"\."), lambda p: F.trim(p)), lambda p: p != "")
+
+
+def _without_catalog(parts: Column, catalog: str) -> Column:
     if not catalog:
         return parts
-    leads_with_catalog = F.lower(F.get(parts, F.lit(0))) == catalog.strip().lower()
-    return F.when(leads_with_catalog, F.slice(parts, 2, F.size(parts))).otherwise(parts)
+    leads = F.lower(F.get(parts, F.lit(0))) == catalog.strip().lower()
+    return F.when(leads, F.slice(parts, 2, F.size(parts))).otherwise(parts)
 
 
 def qualify_name(name: Column | str, catalog: str = "") -> Column:
     """Struct (namespace, table, reason) of a dotted name, without a leading catalog segment."""
     name = _col(name)
-    parts = _segments(name, catalog)
-    reason = (
-        F.when((name != "") & ~name.rlike("^[A-Za-z_]"), "invalid")
-        .when(F.size(_segments(name, "")) == 0, "empty")
-        .when(F.size(parts) < 2, "namespace required")
-    )
-    return F.struct(
-        F.when(reason.isNull(), F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("namespace"),
-        F.when(reason.isNull(), F.element_at(parts, -1)).alias("table"),
-        reason.alias("reason"),
-    )
+
+    def fields(parts: Column) -> Column:
+        reason = (
+            F.when((name != "") & ~name.rlike("^[A-Za-z_]"), "invalid")
+            .when(F.size(parts) == 0, "empty")
+            .when(F.size(_without_catalog(parts, catalog)) < 2, "namespace required")
+        )
+        kept = F.when(reason.isNull(), _without_catalog(parts, catalog))
+        return F.struct(
+            F.slice(kept, F.lit(1), F.size(kept) - 1).alias("namespace"),
+            F.element_at(kept, -1).alias("table"),
+            reason.alias("reason"),
+        )
+
+    return let(_segments(name), fields)
 
 
 def qualify_namespace(name: Column | str, catalog: str = "") -> Column:
     """All segments of a dotted namespace without the catalog; NULL when none is left."""
-    parts = _segments(_col(name), catalog)
-    return F.when(F.size(parts) > 0, parts)
+    return let(
+        let(_segments(_col(name)), lambda parts: _without_catalog(parts, catalog)),
+        lambda kept: F.when(F.size(kept) > 0, kept),
+    )
 
 
 def split_schema_table(name: Column | str, default_schema: str) -> Column:

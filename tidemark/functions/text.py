@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 # Mask, secret parameters and placeholders, in the order they are applied.
 MASK = "****"
 SECRET_PARAMETERS = ("token", "credential", "s3.secret-access-key", "s3.session-token", "password")
@@ -35,14 +37,16 @@ def split_statements(text: Column | str) -> Column:
     semicolon, fails the job.
     """
     text = _col(text)
-    closed = F.regexp_extract_all(text, F.lit(_STATEMENT), F.lit(0))
-    rest = F.substring(text, F.length(F.array_join(closed, "")) + 1, F.length(text))
-    checked = F.when(rest.contains("$$"), F.raise_error(F.lit("closing tag not found"))).otherwise(rest)
 
     def clean(part: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(part, r"(?U)^\s+|\s+\z", ""), r"^;+|;+\z", "")
 
-    return F.filter(F.transform(F.array_append(closed, checked), clean), lambda p: p != "")
+    def with_rest(closed: Column) -> Column:
+        rest = F.substring(text, F.length(F.array_join(closed, "")) + 1, F.length(text))
+        checked = F.when(rest.contains("$$"), F.raise_error(F.lit("closing tag not found"))).otherwise(rest)
+        return F.filter(F.transform(F.array_append(closed, checked), clean), lambda p: p != "")
+
+    return let(F.regexp_extract_all(text, F.lit(_STATEMENT), F.lit(0)), with_rest)
 
 
 def strip_comments(text: Column | str) -> Column:
@@ -72,15 +76,15 @@ def mask_literals(text: Column | str, secrets: Sequence[Column | str]) -> Column
     result = _col(text)
     for secret in secrets:
         value = F.lit(secret) if isinstance(secret, str) else secret
-        result = F.when(value == "", result).otherwise(F.replace(result, value, F.lit(MASK)))
+        # Replacing an empty text changes nothing.
+        result = F.replace(result, F.coalesce(value, F.lit("")), F.lit(MASK))
     return result
 
 
 def mask_literal_array(text: Column | str, secrets: Column | str) -> Column:
     """As :func:`mask_literals` for an array column of secrets."""
     return F.aggregate(
-        _col(secrets), _col(text),
-        lambda acc, s: F.when(s == "", acc).otherwise(F.replace(acc, s, F.lit(MASK))),
+        _col(secrets), _col(text), lambda acc, s: F.replace(acc, F.coalesce(s, F.lit("")), F.lit(MASK))
     )
 
 
@@ -102,61 +106,53 @@ def shorten(text: Column | str, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("..."))).otherwise(text)
 
 
-def _cut(text: Column, mark: str) -> tuple[Column, Column, Column]:
-    """Text before the first mark, text after it, and whether it is there."""
-    at = F.instr(text, mark)
-    before = F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)
-    after = F.when(at > 0, F.substring(text, at + len(mark), F.length(text))).otherwise(F.lit(""))
-    return before, after, at > 0
+# Groups: driver, user, password, hosts, database, options. The first mark of each kind counts.
+_CONNECTION = (
+    r"^((?>[\s\S]*?(?=://)))://(?:([^@:]*)(?::([^@]*))?@)?([^/?]*)(?:/([^?]*))?(?:\?([\s\S]*))?\z"
+)
 
 
 def parse_connection(url: Column | str) -> Column:
-    """Struct (valid, driver, username, password, hosts, database, options) of a connection string.
+    """Struct (driver, username, password, hosts, database, options) of a connection string.
 
     ``hosts`` is an array of (address, host, port); ``options`` maps each key to its values.
+    NULL when there is no driver, no host or an option that cannot be decoded.
     """
     url = _col(url)
-    driver, rest, has_driver = _cut(url, "://")
-    head, tail, has_at = _cut(rest, "@")
-    user, password, _ = _cut(F.when(has_at, head).otherwise(F.lit("")), ":")
-    place, query, _ = _cut(F.when(has_at, tail).otherwise(rest), "?")
-    host_list, database, _ = _cut(place, "/")
-
-    def host(part: Column) -> Column:
-        name, port, _ = _cut(part, ":")
-        return F.struct(part.alias("address"), name.alias("host"), port.alias("port"))
-
-    addresses = F.filter(F.transform(F.split(host_list, ","), lambda p: F.trim(p)), lambda p: p != "")
-    hosts = F.transform(addresses, host)
-
-    def pair(part: Column) -> Column:
-        key, value, _ = _cut(part, "=")
-        return F.struct(F.try_url_decode(key).alias("key"), F.try_url_decode(value).alias("value"))
-
-    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), pair)
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    options = F.map_from_arrays(
-        keys,
-        F.transform(keys, lambda k: F.transform(
-            F.filter(pairs, lambda p: p["key"] == k), lambda p: p["value"])),
-    )
-    readable = ~query.contains(";") & F.forall(
-        pairs, lambda p: p["key"].isNotNull() & p["value"].isNotNull()
-    )
-    valid = (url != "") & has_driver & readable & (F.size(hosts) > 0)
-
-    def when_valid(value: Column, name: str) -> Column:
-        return F.when(valid, value).alias(name)
-
-    return F.struct(
-        F.coalesce(valid, F.lit(False)).alias("valid"),
-        when_valid(driver, "driver"),
-        when_valid(user, "username"),
-        when_valid(password, "password"),
-        when_valid(hosts, "hosts"),
-        when_valid(database, "database"),
-        when_valid(options, "options"),
-    )
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(url, _CONNECTION, group)
+
+    def host(address: Column) -> Column:
+        return F.struct(
+            address.alias("address"), F.substring_index(address, ":", 1).alias("host"),
+            F.regexp_extract(address, r"^[^:]*:([\s\S]*)\z", 1).alias("port"),
+        )
+
+    def option(pair: Column) -> Column:
+        value = F.regexp_extract(pair, r"^[^=]*=([\s\S]*)\z", 1)
+        return F.struct(
+            F.try_url_decode(F.substring_index(pair, "=", 1)).alias("key"), F.try_url_decode(value).alias("value")
+        )
+
+    def by_key(pairs: Column) -> Column:
+        return let(F.array_distinct(pairs["key"]), lambda keys: F.map_from_arrays(keys, F.transform(
+            keys, lambda k: F.filter(pairs, lambda p: p["key"] == k)["value"])))
+
+    addresses = F.filter(F.transform(F.split(part(4), ","), lambda p: F.trim(p)), lambda p: p != "")
+    pairs = F.transform(F.filter(F.split(part(6), "&"), lambda p: p != ""), option)
+
+    def fields(lists: Column) -> Column:
+        readable = ~part(6).contains(";") & F.forall(
+            lists["pairs"], lambda p: p["key"].isNotNull() & p["value"].isNotNull()
+        )
+        return F.when((F.size(lists["hosts"]) > 0) & readable, F.struct(
+            part(1).alias("driver"), part(2).alias("username"), part(3).alias("password"),
+            lists["hosts"].alias("hosts"), part(5).alias("database"), by_key(lists["pairs"]).alias("options"),
+        ))
+
+    return F.when(url.contains("://"), let(
+        F.struct(F.transform(addresses, host).alias("hosts"), pairs.alias("pairs")), fields))
 
 
 def is_cluster(connection: Column | str) -> Column:
@@ -196,11 +192,13 @@ STATEMENT_KINDS = (
 
 def classify_statement(statement: Column | str) -> Column:
     """Struct (kind, conditional): one of 12 kinds or ``unsupported``, and the IF [NOT] EXISTS flag."""
-    body = F.regexp_replace(strip_comments(statement), r"^\s+|[\s;]+\z", "")
-    kind = F.lit("unsupported")
-    for name, pattern in reversed(STATEMENT_KINDS):
-        kind = F.when(body.rlike("(?i)" + pattern), name).otherwise(kind)
-    conditional = body.rlike(
-        r"(?i)^(?:CREATE\s+(?:NAMESPACE|TABLE)\s+IF\s+NOT\s+EXISTS|DROP\s+(?:NAMESPACE|TABLE)\s+IF\s+EXISTS)\b"
-    )
-    return F.struct(kind.alias("kind"), conditional.alias("conditional"))
+    def fields(body: Column) -> Column:
+        kind = F.lit("unsupported")
+        for name, pattern in reversed(STATEMENT_KINDS):
+            kind = F.when(body.rlike("(?i)" + pattern), name).otherwise(kind)
+        conditional = body.rlike(
+            r"(?i)^(?:CREATE\s+(?:NAMESPACE|TABLE)\s+IF\s+NOT\s+EXISTS|DROP\s+(?:NAMESPACE|TABLE)\s+IF\s+EXISTS)\b"
+        )
+        return F.struct(kind.alias("kind"), conditional.alias("conditional"))
+
+    return let(F.regexp_replace(strip_comments(statement), r"^\s+|[\s;]+\z", ""), fields)

@@ -141,7 +141,7 @@ kept AS (SELECT *, CASE WHEN lower(every[1]) = 'www' THEN every[2:] ELSE every E
     WHEN len(p) < 2 THEN 'namespace required' END AS reason FROM kept)
 SELECT page_id, name, CASE WHEN reason IS NULL THEN array_to_string(p[1:len(p) - 1], '/') END AS namespace,
        CASE WHEN reason IS NULL THEN p[-1] END AS table_name, reason,
-       array_to_string(p, '/') AS whole FROM judged""")
+       CASE WHEN len(p) > 0 THEN array_to_string(p, '/') END AS whole FROM judged""")
 def qualify_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.col("page_id") % 5
     host = F.split(F.split("url", "//")[1], "/")[0]
@@ -292,7 +292,7 @@ def decompose_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.when(page % 3 == 0, "://us:pw@").when(page % 3 == 1, "://us@h1:90, h2:91,,").otherwise("://")
     made = F.when(page % 11 == 0, F.split(url, "://")[1]).otherwise(F.replace(url, F.lit("://"), lead))
     return table(spark, sf_dir, "pages").select("page_id", text.parse_connection(made).alias("c")).select(
-        "page_id", "c.valid", "c.driver", "c.username", "c.password",
+        "page_id", F.col("c").isNotNull().alias("valid"), "c.driver", "c.username", "c.password",
         F.array_join("c.hosts.address", "|").alias("hosts"),
         F.col("c.hosts")[0]["host"].alias("host"), F.col("c.hosts")[0]["port"].alias("port"),
         "c.database", F.size("c.options").alias("n_options"),

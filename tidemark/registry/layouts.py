@@ -48,16 +48,16 @@ def spec_add_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""SELECT CAST(ts >= {_HALF} AS INTEGER) AS spec_id, {_DAY_SQL} AS ts_days,
-       CASE WHEN ts < {_HALF} THEN user_id - user_id % 50 END AS user_id_truncate_50, count(*) AS n
+       CASE WHEN ts < {_HALF} THEN user_id - user_id % 500 END AS user_id_truncate_500, count(*) AS n
 FROM events GROUP BY ALL""")
 def spec_drop_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, path = table(spark, sf_dir, "events"), workspace(spark, "spec-drop")
-    by_user = PartitionField("truncate", "user_id", 50)
+    by_user = PartitionField("truncate", "user_id", 500)
     first = Layout(((_DAY, by_user),))
     first.write(events.filter(f"ts < {_HALF}"), path)
-    second = first.drop(PartitionField("truncate", "user_id", 50))
+    second = first.drop(PartitionField("truncate", "user_id", 500))
     second.write(events.filter(f"ts >= {_HALF}"), path)
-    return second.read(spark, path, events.schema).groupBy("spec_id", "ts_days", "user_id_truncate_50").agg(
+    return second.read(spark, path, events.schema).groupBy("spec_id", "ts_days", "user_id_truncate_500").agg(
         F.count(F.lit(1)).alias("n")
     )
 

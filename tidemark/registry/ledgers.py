@@ -268,7 +268,7 @@ _CHUNK = 500
 
 
 @register(f"""WITH lines AS (
-  SELECT strftime(ts, '%y%m%d') || '_000000_' || event_type || '-' || event_id // {_CHUNK} AS version, event_id,
+  SELECT strftime(ts, '%y%m%d') || '_000000_load-' || event_id // {_CHUNK} AS version, event_id,
          CASE WHEN day(ts) % 2 = 1 THEN '.safe' ELSE '' END AS safe,
          'INSERT INTO log VALUES (' || event_id || ');' AS line
   FROM events)
@@ -278,8 +278,7 @@ FROM lines GROUP BY version, safe""")
 def scan_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     version = F.concat(
-        F.date_format("ts", "yyMMdd"), F.lit("_000000_"), F.col("event_type"), F.lit("-"),
-        F.floor(F.col("event_id") / _CHUNK),
+        F.date_format("ts", "yyMMdd"), F.lit("_000000_load-"), F.floor(F.col("event_id") / _CHUNK),
     )
     safe = F.when(F.dayofmonth("ts") % 2 == 1, ".safe").otherwise("")
     lines = events.select(
