@@ -8,6 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Column metadata that keeps a written type Spark has no type for.
+WRITTEN_TYPE = "written_type"
+
 # Written types that Spark spells differently or stores as another type.
 # A time is kept as microseconds of the day, a uuid as its 36 characters.
 _SPELLING = (

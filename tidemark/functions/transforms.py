@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .datatypes import WRITTEN_TYPE
+
 # Executors get the byte hash by value, so they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -225,6 +227,9 @@ class PartitionField:
             case "hours":
                 return hours(c)
             case "bucket":
+                if schema[self.source].metadata.get(WRITTEN_TYPE) == "uuid":
+                    # A uuid is hashed as its 16 bytes, not as its text.
+                    c, kind = F.unhex(F.replace(c, F.lit("-"), F.lit(""))), T.BinaryType()
                 return bucket(self.param, c, kind)
             case _:
                 return truncate(c, self.param, kind)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.datatypes import is_widening, spark_type
+from ..functions.datatypes import WRITTEN_TYPE, is_widening, spark_type
 
 FIELD_ID = "parquet.field.id"
 
@@ -48,17 +48,22 @@ def _number(dtype: T.DataType, next_id: int) -> tuple[T.DataType, int]:
 
 def declare(columns: T.StructType | Mapping[str, str], comments: Mapping[str, str] | None = None) -> TableSchema:
     """A table schema from a StructType or from written types. All columns are nullable."""
+    written = None
     if not isinstance(columns, T.StructType):
+        written = columns
         columns = T.StructType([T.StructField(n, spark_type(t)) for n, t in columns.items()])
     for name in comments or {}:
         if name not in columns.fieldNames():
             raise ValueError(f"no column {name}")
-    with_comments = T.StructType([
-        T.StructField(f.name, f.dataType, True,
-                      {"comment": comments[f.name]} if comments and f.name in comments else {})
+    written = written or {}
+    described = T.StructType([
+        T.StructField(f.name, f.dataType, True, {
+            **({"comment": comments[f.name]} if comments and f.name in comments else {}),
+            **({WRITTEN_TYPE: "uuid"} if written.get(f.name, "").strip().lower() == "uuid" else {}),
+        })
         for f in columns.fields
     ])
-    numbered, next_id = _number(with_comments, 1)
+    numbered, next_id = _number(described, 1)
     return TableSchema(numbered, next_id - 1)
 
 
@@ -191,8 +196,12 @@ def read_generations(spark: SparkSession, schema: TableSchema, paths: Sequence[s
 def narrowing_audit(df: DataFrame, targets: Mapping[str, str]) -> DataFrame:
     """How many values of each column would not survive a change to a narrower type. One pass."""
     def lost(name: str) -> Column:
-        have = df.schema[name].dataType
-        there_and_back = F.col(name).try_cast(spark_type(targets[name])).try_cast(have)
+        have, want = df.schema[name].dataType, spark_type(targets[name])
+        value = F.col(name)
+        if isinstance(have, T.StringType) and isinstance(want, T.IntegralType):
+            # A failing cast of a text costs an exception per row; these texts cannot survive.
+            value = F.when(value.rlike(r"^-?[0-9]{1,19}\z"), value)
+        there_and_back = value.try_cast(want).try_cast(have)
         return F.count_if(~F.col(name).eqNullSafe(there_and_back))
 
     counts = [

@@ -9,6 +9,7 @@ from ..operators import changes as ops
 from ..operators import ledger_state
 from ..session import table, workspace
 from ..sources.batches import LEDGER, AlreadyApplied, BatchStore
+from ..sources.changelog import ChangeLog, TrackedTable
 from . import register
 from .inputs import order_changes, orders_after_sql
 
@@ -144,3 +145,57 @@ def idempotent_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     except AlreadyApplied:
         return store.read("events", events.schema).select("event_id", "ts", "user_id", "event_type")
     raise RuntimeError("an applied version must be refused")
+
+
+def _order_log(spark: SparkSession, sf_dir: str) -> ChangeLog:
+    """``orders`` with its three versions staged and none applied."""
+    changes = order_changes(spark, sf_dir)
+    log = ChangeLog(
+        BatchStore(spark, workspace(spark, "changelog")),
+        {"orders": TrackedTable(table(spark, sf_dir, "orders"), _KEY)}, scope="orders",
+    )
+    for version in ("240101_000000_raise", "240102_000000_close", "240103_000000_copy"):
+        log.add(version, {"orders": changes.filter(F.col("version") == version)})
+    return log
+
+
+@register(orders_after_sql(2))
+def upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _order_log(spark, sf_dir)
+    log.up(2, apply_time=1000)
+    return log.rows("orders")
+
+
+@register(orders_after_sql(1))
+def downgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _order_log(spark, sf_dir)
+    log.up(apply_time=1000)
+    log.down(2)
+    return log.rows("orders")
+
+
+@register(orders_after_sql(2))
+def migrate_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forward to a time between two versions, then to the last one, then back to the second."""
+    log = _order_log(spark, sf_dir)
+    for target in ("2024-01-01 12:00:00", "240103_000000", "240102_000000_close"):
+        log.to(target, apply_time=1000)
+    return log.rows("orders")
+
+
+@register(orders_after_sql(3))
+def redo_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _order_log(spark, sf_dir)
+    log.up(apply_time=1000)
+    log.redo(2, apply_time=2000)
+    return log.rows("orders")
+
+
+@register(orders_after_sql(1))
+def release_and_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One version alone, the other two as one release, which is then rolled back."""
+    log = _order_log(spark, sf_dir)
+    log.up(1, apply_time=1000)
+    log.release(apply_time=2000)
+    log.rollback()
+    return log.rows("orders")

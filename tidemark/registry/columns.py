@@ -161,9 +161,11 @@ def qualify_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPACE = r"[\s\x{0b}\x{85}\x{a0}\p{Z}]"
 
 
-@register(rf"""WITH parts AS (SELECT doc_id, list_filter(list_transform(
-    string_split(replace(replace(text, '$', ''), '.', ';'), ';'),
-    lambda p: regexp_replace(p, '^{_SPACE}+|{_SPACE}+\z', '', 'g')), lambda p: p <> '') AS p FROM documents)
+# White space goes before a statement; before its semicolon it stays.
+@register(rf"""WITH cut AS (SELECT doc_id, string_split(replace(replace(text, '$', ''), '.', ';'), ';') AS p FROM documents),
+parts AS (SELECT doc_id, list_filter(list_append(
+    list_transform(p[1:len(p) - 1], lambda s: regexp_replace(s, '^{_SPACE}+', '')),
+    regexp_replace(p[-1], '^{_SPACE}+|{_SPACE}+\z', '', 'g')), lambda s: s <> '') AS p FROM cut)
 SELECT doc_id, unnest(range(len(p))) AS pos, md5(unnest(p)) AS statement_md5 FROM parts""")
 def split_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     script = F.replace(F.replace("text", F.lit("$"), F.lit("")), F.lit("."), F.lit(";"))
@@ -173,12 +175,12 @@ def split_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.md5("statement").alias("statement_md5"))
 
 
-# Every second line break opens or closes a $$ body, so semicolons inside the body must not split.
+# Every third sentence is a $$ body, whose semicolons must not split.
 @register(rf"""WITH made AS (SELECT conv_id, turn, list_transform(
       string_split(replace(text, '$', ''), '.'),
       lambda p, i: CASE WHEN i % 3 = 0 THEN 'DO $$ begin;' || p || '; end $$ call' ELSE p END) AS p FROM conversations),
 parts AS (SELECT conv_id, turn, list_filter(list_transform(p,
-    lambda s: regexp_replace(regexp_replace(s, '^{_SPACE}+|{_SPACE}+\z', '', 'g'), '^;+|;+\z', '', 'g')),
+    lambda s: regexp_replace(s, '^{_SPACE}+', '')),
     lambda s: s <> '') AS p FROM (
       SELECT conv_id, turn, flatten(list_transform(p, lambda s: CASE WHEN s LIKE 'DO $$%' THEN [s]
         ELSE string_split(s, ';') END)) AS p FROM made))

@@ -264,7 +264,7 @@ def shard_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CHUNK = 500
+_CHUNK = 2000
 
 
 @register(f"""WITH lines AS (

@@ -44,13 +44,13 @@ def stream_apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_changes(orders, stored, ["o_orderkey"])
 
 
-@register("""SELECT strftime(ts, '%y%m%d') || '_000000_load-' || event_id // 500 || '.up.sql' AS file,
+@register("""SELECT strftime(ts, '%y%m%d') || '_000000_load-' || event_id // 2000 || '.up.sql' AS file,
   CAST(min(ts) >= TIMESTAMP '2024-01-16' AS INTEGER) AS epoch, CAST(sum(length(CAST(event_id AS VARCHAR)) + 1) AS INTEGER) AS n_chars
-FROM events GROUP BY strftime(ts, '%y%m%d'), event_id // 500""")
+FROM events GROUP BY strftime(ts, '%y%m%d'), event_id // 2000""")
 def stream_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scripts of the first half of the month come first, the others before the second run."""
     lines = table(spark, sf_dir, "events").select(
-        F.concat(F.date_format("ts", "yyMMdd"), F.lit("_000000_load-"), F.floor(F.col("event_id") / 500),
+        F.concat(F.date_format("ts", "yyMMdd"), F.lit("_000000_load-"), F.floor(F.col("event_id") / 2000),
                  F.lit(".up.sql")).alias("file"),
         F.col("event_id").cast("string").alias("line"), F.col("event_id").alias("at"),
     )
