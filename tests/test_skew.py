@@ -5,8 +5,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import ledger_state as state
-from tidemark.operators.skew import join_per_key, top_per_scope, with_ordinal
+from tidemark.operators import skew
+from tidemark.operators.skew import join_per_key, join_same, top_per_scope, with_ordinal
 from tidemark.plans import steps
+from tidemark.session import materialize
 
 from .plans import final, physical
 
@@ -22,14 +24,20 @@ def hot(spark):
     )
 
 
+@pytest.fixture(scope="module")
+def with_nulls(hot):
+    """Rows without a scope form a group of their own."""
+    return hot.withColumn("scope", F.nullif("scope", F.lit("1")))
+
+
 def expected_ordinal(df, order):
     return df.withColumn("want", F.row_number().over(Window.partitionBy("scope").orderBy(*order)))
 
 
-def test_ordinal_of_a_hot_scope(spark, hot):
+def test_ordinal_of_a_hot_scope(with_nulls):
     order = [F.desc("apply_time"), F.asc("version")]
-    got = with_ordinal(hot, order, ["scope"])
-    both = expected_ordinal(hot, order).join(got, ["scope", "version"])
+    got = with_ordinal(with_nulls, order, ["scope"])
+    both = join_same(expected_ordinal(with_nulls, order), got.select("scope", "version", "ordinal"), ["scope", "version"])
     assert both.count() == 20_000 and both.filter("want <> ordinal").isEmpty()
 
 
@@ -39,26 +47,29 @@ def test_ordinal_without_scope(hot):
     assert [r.version for r in sorted(got)] == sorted(r.version for r in got)
 
 
-def test_ordinal_spreads_the_hot_scope(spark, hot):
-    from tidemark.operators import skew
-
-    seen = {}
-    written = skew.materialize
+def test_ordinal_spreads_the_hot_scope(spark, hot, monkeypatch):
+    parts = []
 
     def spy(df, label):
-        result = written(df, label)
-        parts = result.filter("scope = 'hot'").groupBy(F.shiftright("_row", 33)).count().collect()
-        seen["largest"], seen["parts"] = max(r["count"] for r in parts), len(parts)
+        result = materialize(df, label)
+        parts.extend(result.filter("scope = 'hot'").groupBy(F.shiftright("_row", 33)).count().collect())
         return result
 
-    skew.materialize = spy
+    monkeypatch.setattr(skew, "materialize", spy)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         with_ordinal(hot, [F.asc("version")], ["scope"])
     finally:
-        skew.materialize = written
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert seen["parts"] >= 2 and seen["largest"] < 8_000
+    assert len(parts) >= 2 and max(r["count"] for r in parts) < 8_000
+
+
+@pytest.mark.parametrize("n", [3, 1500, None])
+def test_pending_prefix_keeps_every_group(with_nulls, n):
+    got = steps.pending_prefix(with_nulls.select("scope", "version"), n)
+    totals = {r.scope: r["count"] for r in with_nulls.groupBy("scope").count().collect()}
+    assert {r.scope: r.total for r in got.collect()} == totals
+    assert got.count() == sum(min(t, n or t) for t in totals.values())
 
 
 @pytest.mark.parametrize("n", [3, 1500, None])
@@ -78,22 +89,31 @@ def test_top_per_scope_limits_before_the_shuffle(hot):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_join_per_key(hot, how):
-    per_key = hot.filter("scope <> '1'").groupBy("scope").agg(F.max("seq").alias("top"))
-    got = join_per_key(hot, per_key, ["scope"], ["version"], how)
-    want = hot.join(per_key, "scope", how)
+def test_join_per_key(with_nulls, how):
+    per_key = with_nulls.filter("scope is null or scope <> '2'").groupBy("scope").agg(F.max("seq").alias("top"))
+    got = join_per_key(with_nulls, per_key, ["scope"], ["version"], how)
+    want = join_same(with_nulls, per_key, ["scope"], how)
+    assert got.filter("scope is null and top is not null").count() > 0
+    assert got.filter("scope = '2'").count() == (0 if how == "inner" else with_nulls.filter("scope = '2'").count())
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
 
 
-def test_join_per_key_spreads_the_hot_key(spark, hot):
-    """The join key of the hot scope has many salts; cold scopes have one."""
-    from tidemark.operators import skew
+def test_join_per_key_spreads_the_hot_key(spark, hot, monkeypatch):
+    """Rows of the hot scope are joined under many salts, rows of the others under one."""
+    salted = []
+
+    def spy(left, right, keys, how="inner"):
+        if "_salt" in keys:
+            salted.append(left.groupBy("scope").agg(F.count_distinct("_salt").alias("n")).collect())
+        return join_same(left, right, keys, how)
 
-    # Look at the salted left side just before the join drops the salt.
-    per_key = hot.groupBy("scope").agg(F.max("seq").alias("top"))
-    plan = join_per_key(hot, per_key, ["scope"], ["version"])._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan and "xxhash64" in plan
-    assert skew.HOT_SHARE == 1000
+    monkeypatch.setattr(skew, "join_same", spy)
+    monkeypatch.setattr(skew, "HOT_SHARE", 10)
+    join_per_key(hot, hot.groupBy("scope").agg(F.max("seq").alias("top")), ["scope"], ["version"])
+    [found] = salted
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r.scope: r.n for r in found}["hot"] == salts
+    assert {r.n for r in found if r.scope != "hot"} == {1}
 
 
 def test_newest_batch_per_scope(hot):
@@ -125,10 +145,16 @@ def test_repeated_versions_combine_before_the_shuffle(spark):
 
 def test_plans_avoid_row_products(hot):
     done = state.applied(hot)
-    for df in (state.latest_batch(done), steps.apply_report(hot, done), state.unapplied(hot, done), state.exists(hot, done)):
+    joined = [
+        state.latest_batch(done), state.latest_batch_per_scope(done), steps.apply_report(hot, done),
+        state.unapplied(hot, done), state.exists(hot, done), steps.pending_prefix(hot, 3),
+    ]
+    for df in joined:
         plan = final(df)
         assert "CartesianProduct" not in plan
-        if "BroadcastNestedLoopJoin" in plan:
-            assert "SubqueryBroadcast" not in plan and df.columns
+        # Only one-row totals may be combined with other rows without a key.
+        for line in plan.splitlines():
+            if "BroadcastNestedLoopJoin" in line:
+                assert "_total" in line
     assert "LeftAnti" in physical(state.unapplied(hot, done))
     assert "TakeOrderedAndProject" in physical(state.history(done, 5))

@@ -17,6 +17,15 @@ GROUP_LIMIT = 1000
 HOT_SHARE = 1000
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL equals NULL, as it does in a grouping."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(renamed[f"_right_{k}"])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def with_ordinal(df: DataFrame, order: Sequence[Column], scope: Sequence[str] = (),
                  name: str = "ordinal") -> DataFrame:
     """Add the 1-based position of each row within its scope.
@@ -36,7 +45,7 @@ def with_ordinal(df: DataFrame, order: Sequence[Column], scope: Sequence[str] =
     earlier = Window.partitionBy(*scope).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     return (
-        placed.join(offsets, group)
+        join_same(placed, offsets, group)
         .withColumn(name, F.col("_before") + F.col("_row") - F.col("_first") + 1)
         .drop("_row", "_part", "_first", "_before")
     )
@@ -72,10 +81,10 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str],
     )
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
-    left = rows.join(hot, list(keys), "left").withColumn(
+    left = join_same(rows, hot, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
     ).drop("_hot")
-    right = per_key.join(hot, list(keys), "left").withColumn(
+    right = join_same(per_key, hot, keys, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), all_salts).otherwise(F.array(F.lit(0))))
     ).drop("_hot")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return join_same(left, right, [*keys, "_salt"], how).drop("_salt")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import version_key
 from ..operators.ledger_state import KEY, unapplied, without_base
-from ..operators.skew import join_per_key, top_per_scope, with_ordinal
+from ..operators.skew import join_per_key, join_same, top_per_scope, with_ordinal
 
 
 def pending_prefix(todo: DataFrame, n: int | None, scope: Sequence[str] = ("scope",),
@@ -19,7 +19,7 @@ def pending_prefix(todo: DataFrame, n: int | None, scope: Sequence[str] = ("scop
     first = top_per_scope(todo, [F.col(c) for c in order], scope, n, "step")
     if n is None:
         return join_per_key(first, totals, scope, order)
-    return first.join(totals, list(scope))
+    return join_same(first, totals, scope)
 
 
 def redo_plan(done: DataFrame, n: int | None = 1) -> DataFrame:
