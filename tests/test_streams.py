@@ -27,11 +27,12 @@ def test_merged_state_equals_batch(spark, folder, every):
     assert same(latest(log), ops.read_merged(spark, folder + "/state"))
 
 
-def test_replayed_epochs_change_nothing(spark, folder):
+@pytest.mark.parametrize("every", [1, 2])
+def test_replayed_epochs_change_nothing(spark, folder, every):
     log = ledger_log(spark, SF_DIR)
     stream = as_stream(log, folder + "/in")
     for progress in ("one", "two"):
-        ops.merge_log(stream, folder + "/state", f"{folder}/{progress}", 2).awaitTermination()
+        ops.merge_log(stream, folder + "/state", f"{folder}/{progress}", every).awaitTermination()
     assert same(latest(log), ops.read_merged(spark, folder + "/state"))
 
 

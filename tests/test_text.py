@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -40,6 +41,10 @@ def test_split_long_texts(spark):
     assert [r.n for r in rows.select(F.size(text.split_statements("s")).alias("n")).collect()] == [1, 200_000, 1, 1]
 
 
+def test_split_of_null(spark):
+    assert one(spark, text.split_statements(F.lit(None).cast("string"))) is None
+
+
 def brute_split(script):
     """The rule, one character after the other."""
     found, current, inside, bodies, i = [], "", False, 0, 0
@@ -152,6 +157,18 @@ def test_classify(spark, statement, kind, conditional):
     assert tuple(one(spark, text.classify_statement(F.lit(statement)))) == (kind, conditional)
 
 
+def test_normal_form_against_patterns(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice([" ", ",", "a", "(", ")", "\n", "\u00a0"]) for _ in range(rng.randint(0, 16))) for _ in range(800)]
+
+    def plain(s):
+        s = re.sub(r"[\t\n\f\r ]+", " ", s.strip())
+        return re.sub(r"[\t\n\f\r ]*,[\t\n\f\r ]+", ",", s).replace(" )", ")").replace("( ", "(")
+
+    got = spark.createDataFrame([(s,) for s in texts], "s string").select(text.normal_form("s").alias("v")).collect()
+    assert [r.v for r in got] == [plain(s) for s in texts]
+
+
 def test_normal_form_and_shorten(spark):
     assert one(spark, text.normal_form(F.lit("  f( a ,\n b )\t "))) == "f(a,b)"
     assert one(spark, text.shorten(F.lit("äöü"), 2)) == "äö..."

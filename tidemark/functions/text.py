@@ -14,9 +14,19 @@ MASK = "****"
 SECRET_PARAMETERS = ("token", "credential", "s3.secret-access-key", "s3.session-token", "password")
 PLACEHOLDERS = ("cluster", "placeholder_custom", "username", "password")
 
-# One statement up to its semicolon; a $$ body may hold semicolons. Each match starts where
-# the last one ended, and the possessive parts keep the matching linear on long texts.
-_STATEMENT = r"\G[^;$]*+(?:\$(?!\$)[^;$]*+)*+(?:\$\$[\s\S]*?\$\$[^;]*+)?;"
+# Fixed value: white space that is trimmed from both ends of a text.
+SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+# Group 1 is a statement without its semicolon, or what is left at the end of the text. A $$ body
+# may hold semicolons. Each match starts where the last one ended, and the possessive parts keep
+# the matching linear on long texts.
+_STATEMENT = (
+    r"\G(?=[\s\S]);?(?U:\s*+)"
+    r"([^;$]*+(?:\$(?!\$)[^;$]*+)*+(?:\$\$[\s\S]*?\$\$[^;]*+)?(?=;)|[\s\S]*\z)"
+)
 
 # Group 1 is quoted text, which stays; every other branch is a comment.
 _COMMENT_OR_QUOTED = (
@@ -36,17 +46,17 @@ def split_statements(text: Column | str) -> Column:
     ``$$ ... $$`` bodies stay whole; a body that is not closed, or not followed by a
     semicolon, fails the job.
     """
-    text = _col(text)
-
-    def clean(part: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(part, r"(?U)^\s+|\s+\z", ""), r"^;+|;+\z", "")
-
-    def with_rest(closed: Column) -> Column:
-        rest = F.substring(text, F.length(F.array_join(closed, "")) + 1, F.length(text))
-        checked = F.when(rest.contains("$$"), F.raise_error(F.lit("closing tag not found"))).otherwise(rest)
-        return F.filter(F.transform(F.array_append(closed, checked), clean), lambda p: p != "")
+    def with_last(parts: Column) -> Column:
+        last = F.element_at(parts, -1)
+        checked = F.when(last.contains("$$"), F.raise_error(F.lit("closing tag not found"))).otherwise(
+            F.rtrim(last, F.lit(SPACE))
+        )
+        closed = F.slice(parts, F.lit(1), F.size(parts) - 1)
+        return F.when(F.size(parts) == 0, parts).otherwise(
+            F.filter(F.array_append(closed, checked), lambda p: p != "")
+        )
 
-    return let(F.regexp_extract_all(text, F.lit(_STATEMENT), F.lit(0)), with_rest)
+    return let(F.regexp_extract_all(_col(text), F.lit(_STATEMENT), F.lit(1)), with_last)
 
 
 def strip_comments(text: Column | str) -> Column:
@@ -166,9 +176,10 @@ def has_credentials(connection: Column | str) -> Column:
 
 def normal_form(text: Column | str) -> Column:
     """Text with white space folded, and none around commas and inside parentheses."""
-    folded = F.regexp_replace(F.regexp_replace(_col(text), r"^\s+|\s+\z", ""), r"\s+", " ")
-    tight = F.regexp_replace(folded, r"\s*+,\s+", ",")
-    return F.replace(F.replace(tight, F.lit(" )"), F.lit(")")), F.lit("( "), F.lit("("))
+    folded = F.regexp_replace(F.btrim(_col(text), F.lit(SPACE)), "[\t\n\f\r ]+", " ")
+    for loose, tight in ((" , ", ","), (", ", ","), (" )", ")"), ("( ", "(")):
+        folded = F.replace(folded, F.lit(loose), F.lit(tight))
+    return folded
 
 
 _NAME = r"(?:`[^`]*`|[A-Za-z0-9_.`]+)"

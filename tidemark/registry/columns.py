@@ -303,7 +303,7 @@ def decompose_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(r"""WITH normal AS (SELECT doc_id, replace(replace(regexp_replace(regexp_replace(
-    regexp_replace(text, '^[\s\x{0b}]+|[\s\x{0b}]+\z', '', 'g'), '[\s\x{0b}]+', ' ', 'g'), '\s*,\s+', ',', 'g'),
+    regexp_replace(text, '^[\s\x{0b}\x{85}\p{Z}]+|[\s\x{0b}\x{85}\p{Z}]+\z', '', 'g'), '\s+', ' ', 'g'), '\s*,\s+', ',', 'g'),
     ' )', ')'), '( ', '(') AS form FROM documents)
 SELECT min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) AS n FROM normal GROUP BY form HAVING count(*) > 1""")
 def normalized_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

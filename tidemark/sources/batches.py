@@ -70,13 +70,18 @@ class BatchStore:
             .select("batch_id", "last.*").filter("live").drop("live")
         )
 
+    def _live(self, batch_ids: Sequence[str]) -> dict[str, int]:
+        """Those of the given batches that are live, with their apply time."""
+        wanted = self.spark.createDataFrame([(b,) for b in batch_ids], "batch_id string")
+        return {r.batch_id: r.apply_time for r in self.committed().join(wanted, "batch_id", "left_semi").collect()}
+
     def is_committed(self, batch_id: str) -> bool:
         return not self.committed().filter(F.col("batch_id") == batch_id).isEmpty()
 
     def commit(self, batch_ids: Iterable[str], apply_time: int, strict: bool = True) -> list[str]:
         """Make staged batches visible together. Applied ones raise, or are skipped if not strict."""
         wanted = list(batch_ids)
-        known = {r.batch_id for r in self.committed().filter(F.col("batch_id").isin(wanted)).collect()}
+        known = self._live(wanted)
         if known and strict:
             raise AlreadyApplied(", ".join(sorted(known)))
         new = [b for b in wanted if b not in known]
@@ -87,8 +92,7 @@ class BatchStore:
     def withdraw(self, batch_ids: Iterable[str]) -> None:
         """Take live batches back, newest commit wins; their files stay where they are."""
         wanted = list(batch_ids)
-        live = {r.batch_id: r.apply_time
-                for r in self.committed().filter(F.col("batch_id").isin(wanted)).collect()}
+        live = self._live(wanted)
         if set(wanted) - set(live):
             raise NotApplied(", ".join(sorted(set(wanted) - set(live))))
         self._commit([{"batch_id": b, "apply_time": live[b], "live": False} for b in wanted])

@@ -14,8 +14,6 @@ from ..sources.batches import BatchStore
 from ..sources.ledger import ROWS
 from ..sources.scripts import file_name
 
-_STATE = ROWS
-
 
 def merge_log(stream: DataFrame, path: str, checkpoint: str, compact_every: int = 100) -> StreamingQuery:
     """Keep the latest state of a ledger stream.
@@ -25,28 +23,34 @@ def merge_log(stream: DataFrame, path: str, checkpoint: str, compact_every: int
     compaction merge the folders without the raw log.
     """
     def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
         latest(batch).write.mode("overwrite").parquet(f"{path}/epochs/epoch={epoch}")
-        if epoch and epoch % compact_every == 0:
-            read_merged(batch.sparkSession, path).write.mode("overwrite").parquet(f"{path}/merged/upto={epoch}")
+        # A finished compaction is never written again: a replay would overwrite what it reads.
+        if epoch and epoch % compact_every == 0 and epoch not in _finished(spark, path, "merged"):
+            read_merged(spark, path, epoch).write.mode("overwrite").parquet(f"{path}/merged/upto={epoch}")
 
     return _start(stream, write, checkpoint)
 
 
-def read_merged(spark: SparkSession, path: str) -> DataFrame:
-    """Latest state over the newest compaction and the epochs after it."""
-    def numbers(kind: str) -> list[int]:
-        return [
-            int(n.split("=")[1]) for n in files.names(spark, f"{path}/{kind}")
-            if "=" in n and files.exists(spark, f"{path}/{kind}/{n}/_SUCCESS")
-        ]
+def _finished(spark: SparkSession, path: str, kind: str) -> list[int]:
+    return [
+        int(n.split("=")[1]) for n in files.names(spark, f"{path}/{kind}")
+        if "=" in n and files.exists(spark, f"{path}/{kind}/{n}/_SUCCESS")
+    ]
+
+
+def read_merged(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """Latest state over the newest compaction and the epochs after it, up to an epoch if given."""
+    def wanted(kind: str) -> list[int]:
+        return [e for e in _finished(spark, path, kind) if upto is None or e <= upto]
 
-    base = max(numbers("merged"), default=None)
-    paths = [f"{path}/epochs/epoch={e}" for e in numbers("epochs") if base is None or e > base]
+    base = max(wanted("merged"), default=None)
+    paths = [f"{path}/epochs/epoch={e}" for e in wanted("epochs") if base is None or e > base]
     if base is not None:
         paths.append(f"{path}/merged/upto={base}")
     if not paths:
-        return spark.createDataFrame([], _STATE)
-    return latest(spark.read.schema(_STATE).parquet(*paths))
+        return spark.createDataFrame([], ROWS)
+    return latest(spark.read.schema(ROWS).parquet(*paths))
 
 
 def apply_change_stream(stream: DataFrame, store: BatchStore, table: str, name: str, checkpoint: str) -> StreamingQuery:
