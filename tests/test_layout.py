@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.transforms import PartitionField
 from tidemark.operators import layout
 from tidemark.operators.layout import Layout, SortField, sort_by
+from tidemark.operators.schema import SchemaChange, change_schema, conform, declare
 from tidemark.session import table
 
 from .conftest import SF_DIR
@@ -108,6 +109,32 @@ def test_a_hot_partition_is_cut_into_several_files(spark, folder):
     assert hot.count() == 360_000 and files_read(hot) >= 4
 
 
+@pytest.mark.parametrize("split_copies", [False, True])
+def test_equal_rows_in_an_ordered_write(spark, folder, split_copies):
+    """Two thirds of the rows are equal; only with ``split_copies`` do they leave one file."""
+    rows = spark.range(0, 30_000, 1, 6).select(F.when(F.col("id") % 3 < 2, -5).otherwise(F.col("id")).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        layout.write_table(rows, folder + "/t", (), [sort_by("v")], split_copies=split_copies)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stored = layout.read_table(spark, folder + "/t", rows.schema)
+    assert stored.columns == ["v"] and stored.count() == 30_000 and stored.filter("v = -5").count() == 20_000
+    assert layout.order_violations(spark, folder + "/t", rows.schema, [sort_by("v")]).filter("n_wrong > 0").isEmpty()
+    assert (files_read(stored.filter("v = -5")) > 1) is split_copies
+
+
+def test_written_tables_keep_field_ids_and_maps(spark, folder):
+    schema = declare({"k": "long", "m": "map<string,int>", "s": "struct<x:int>"})
+    rows = spark.range(4).select(F.col("id").alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m"), F.struct(F.lit(1).alias("x")).alias("s"))
+    spec = [PartitionField("truncate", "k", 2)]
+    for name, order in (("a", ()), ("b", [sort_by("k")])):
+        layout.write_table(conform(rows, schema), f"{folder}/{name}", spec, order)
+        renamed = change_schema(change_schema(schema, SchemaChange("rename", "k", new_name="key")), SchemaChange("rename", "s.x", new_name="y"))
+        stored = spark.read.schema(renamed.columns).option("recursiveFileLookup", True).parquet(f"{folder}/{name}")
+        assert sorted((r.key, r.s.y, r.m["a"]) for r in stored.collect()) == [(i, 1, 1) for i in range(4)]
+
+
 def test_shards_are_balanced(spark):
     rows = spark.range(10_000).select(F.col("id").cast("string").alias("version"))
     sizes = [r["count"] for r in layout.shard(rows, 8).groupBy("shard").count().collect()]

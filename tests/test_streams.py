@@ -55,6 +55,19 @@ def test_new_scripts_are_seen_once(spark, folder):
     assert seen == [[("240101", 4, 0)], [("240101", 4, 0), ("240102", 4, 1)]]
 
 
+@pytest.mark.parametrize("hot_keys", [False, True])
+def test_one_key_in_most_deliveries(spark, folder, hot_keys):
+    rows = spark.range(0, 3_000, 1, 3).select(
+        F.when(F.col("id") % 3 < 2, -1).otherwise(F.col("id") % 500).alias("key"),
+        F.timestamp_seconds(1_700_000_000 + F.col("id") % 60).alias("t"))
+    once = ops.drop_redelivered(as_stream(rows, folder + "/in"), ["key"], "t", "1 hour", hot_keys)
+    out = folder + "/out"
+    once.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder + "/p").trigger(
+        availableNow=True).start().awaitTermination()
+    got = [r.key for r in spark.read.schema(once.schema).parquet(out).collect()]
+    assert sorted(got) == sorted(r.key for r in rows.select("key").distinct().collect())
+
+
 def test_redelivery_inside_the_delay(spark, folder):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:05:00"), (2, "2024-01-01 00:06:00")], "id int, t string")
     stream = as_stream(rows.withColumn("t", F.col("t").cast("timestamp")), folder + "/in", 1)

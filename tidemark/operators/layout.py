@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.transforms import PartitionField
+from ..session import materialize
 
 
 @dataclass(frozen=True)
@@ -45,31 +46,37 @@ def with_partitions(df: DataFrame, spec: Sequence[PartitionField]) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, spec: Sequence[PartitionField] = (),
                 order: Sequence[SortField] = (), distribution: str = "range",
-                mode: str = "errorifexists") -> None:
+                mode: str = "errorifexists", split_copies: bool = False) -> None:
     """Write under a partition spec and a write order.
 
     Without an order the rows are rebalanced by the partition columns: small partitions share
     a task, a partition with a large share of the rows is cut into several files. With an
     order, ``range`` gives files disjoint key ranges (the row hash splits long runs of equal
-    keys), and ``hash`` rebalances and sorts each file.
+    keys), and ``hash`` rebalances and sorts each file. ``split_copies`` also spreads rows that
+    are equal in every column, for the price of writing the rows once with a number each.
     """
     if distribution not in ("range", "hash"):
         raise ValueError(f"unknown distribution {distribution}")
-    columns = [f.column for f in spec]
+    schema, columns, tie = df.schema, [f.column for f in spec], _row_hash(df.schema)
+    if split_copies:
+        # A number made while shuffling could differ when a task runs again; a stored one cannot.
+        df, tie = materialize(df.withColumn("_copy", F.monotonically_increasing_id()), "copies"), F.col("_copy")
     placed = with_partitions(df, spec)
     if order:
-        by = [F.col(c).asc() for c in columns] + [s.expression(df.schema) for s in order]
-        if distribution == "range":
-            placed = placed.repartitionByRange(*by, F.xxhash64(*df.columns))
-        else:
-            placed = placed.hint("rebalance", *columns)
+        by = [F.col(c).asc() for c in columns] + [s.expression(schema) for s in order]
+        placed = placed.repartitionByRange(*by, tie) if distribution == "range" else placed.hint("rebalance", *columns)
         placed = placed.sortWithinPartitions(*by)
     elif columns:
         placed = placed.hint("rebalance", *columns)
-    writer = placed.write.mode(mode)
+    writer = placed.drop("_copy").write.mode(mode)
     (writer.partitionBy(*columns) if columns else writer).parquet(path)
 
 
+def _row_hash(schema: T.StructType) -> Column:
+    """Hash of all columns Spark can hash, that is, all without a map inside."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in schema.fields if "map<" not in f.dataType.simpleString()])
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType,
                spec: Sequence[PartitionField] = ()) -> DataFrame:
     """Read a table with its partition columns, whose types are declared and not guessed."""
