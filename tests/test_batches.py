@@ -87,7 +87,8 @@ def test_two_writers_do_not_share_a_commit(spark, folder):
 def test_a_broken_commit_file_is_ignored(spark, store, folder):
     store.stage("t", rows(spark, 1), "b1")
     files.create_once(spark, folder + "/store/commits/00000001.json", "")
-    files.create_once(spark, folder + "/store/commits/00000002.json", '{"n": 2, "batch')
+    whole = '{"n": 2, "entries": [{"batch_id": "b1", "apply_time": 1, "live": true}, {"batch_id": "b2"'
+    files.create_once(spark, folder + "/store/commits/00000002.json", whole)
     assert ids(store) == []
     store.commit(["b1"], 5)
     assert ids(store) == [1] and "00000003.json" in files.names(spark, folder + "/store/commits")

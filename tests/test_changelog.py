@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tidemark.operators.changes import change_schema
-from tidemark.sources.batches import BatchStore, Refused
+from tidemark.sources.batches import AlreadyApplied, BatchStore, NotApplied, Refused
 from tidemark.sources.changelog import ChangeLog, TrackedTable
 
 ROW = "id bigint, v string"
@@ -77,6 +77,9 @@ def test_random_commands(log, seed):
     rng, model = random.Random(seed), Model()
     for i in range(9):
         command = rng.choice(["up", "down", "redo", "release", "rollback", "to"])
+        if i % 3 == 2:
+            log.fold(rng.choice([None, *VERSIONS]))
+            assert {r.id: r.v for r in log.rows("t").collect()} == model.rows(), (seed, i)
         arg = rng.choice(VERSIONS + ["240103_120000", "240101_000000"]) if command == "to" else rng.choice([1, 2, None])
         at = 100 * (i + 1)
         model.run(command, arg, at)
@@ -106,6 +109,29 @@ def test_bad_versions_and_counts(log):
             call(0)
 
 
+def test_single_versions(log):
+    with pytest.raises(Refused, match="not defined"):
+        log.apply("240109_000000_v9")
+    log.apply(VERSIONS[2], 10)
+    with pytest.raises(AlreadyApplied):
+        log.apply(VERSIONS[2], 11)
+    assert {r.id: r.v for r in log.rows("t").collect()} == {1: "a", 2: "b", 3: "c", 5: "e"}
+    log.revert(VERSIONS[2])
+    with pytest.raises(NotApplied):
+        log.revert(VERSIONS[2])
+
+
+def test_folds_are_used_only_while_they_fit(log):
+    log.up(3, 10)
+    assert log.fold() == 1
+    assert log._best_fold({*VERSIONS[:2]}) == (1, set(VERSIONS[:2]))
+    log.apply(VERSIONS[4], 20)
+    assert log._best_fold({VERSIONS[0], VERSIONS[1], VERSIONS[4]})[0] == 1
+    assert log._best_fold({VERSIONS[0], VERSIONS[2]}) == (None, set())
+    log.revert(VERSIONS[1])
+    assert {r.id: r.v for r in log.rows("t").collect()} == {1: "A", 2: "b", 3: "C", 5: "e"}
+
+
 def test_a_version_staged_in_part_is_not_defined(spark, log):
     log.store.stage("t", spark.createDataFrame([], log.store.staged("t", log.tables["t"].base.schema).schema), "240106_000000_v6")
     assert log.pending().count() == len(VERSIONS)

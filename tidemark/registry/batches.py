@@ -199,3 +199,24 @@ def release_and_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     log.release(apply_time=2000)
     log.rollback()
     return log.rows("orders")
+
+
+@register(orders_after_sql(3))
+def fold_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions folded into the base, the third merged on top."""
+    log = _order_log(spark, sf_dir)
+    log.up(apply_time=1000)
+    log.fold()
+    return log.rows("orders")
+
+
+@register(orders_after_sql(1))
+def revert_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions are reverted after they were folded."""
+    log = _order_log(spark, sf_dir)
+    log.up(1, apply_time=1000)
+    log.fold("240101_000000")
+    log.up(apply_time=2000)
+    log.fold("240103_000000")
+    log.down(2)
+    return log.rows("orders")

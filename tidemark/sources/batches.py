@@ -16,7 +16,7 @@ from . import files
 from .ledger import ROWS, ledger_rows
 
 LEDGER = "_ledger"
-COMMITS = "n bigint, batch_id string, apply_time bigint, live boolean"
+ENTRY = "batch_id string, apply_time bigint, live boolean"
 
 # Up to this many batch ids become a literal filter on the partition column.
 LITERAL_IDS = 1000
@@ -52,15 +52,17 @@ class BatchStore:
         while True:
             taken = [int(n.split(".")[0]) for n in files.names(self.spark, folder) if n.endswith(".json")]
             n = max(taken, default=0) + 1
-            text = "".join(json.dumps({"n": n, **row}) + "\n" for row in rows)
+            # One line whose last field says that it was written to the end.
+            text = json.dumps({"n": n, "entries": list(rows), "complete": True}) + "\n"
             if files.create_once(self.spark, f"{folder}/{n:08d}.json", text):
                 return
 
     def commits(self) -> DataFrame:
         folder = f"{self.path}/commits"
         if not files.names(self.spark, folder):
-            return self.spark.createDataFrame([], COMMITS)
-        return self.spark.read.schema(COMMITS).json(folder).filter("batch_id is not null")
+            return self.spark.createDataFrame([], f"n bigint, {ENTRY}")
+        stored = f"n bigint, entries array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>, complete boolean"
+        return self.spark.read.schema(stored).json(folder).filter("complete").select("n", F.inline("entries"))
 
     def committed(self) -> DataFrame:
         """Batches that are live now, with their apply time."""

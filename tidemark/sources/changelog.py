@@ -2,11 +2,13 @@
 
 A version holds the changes of one or more tables. Its rows are staged when it is added, and
 it is applied or reverted by one entry in the commit list, so no table is rewritten for it.
-Readers merge the changes of the applied versions into the base tables.
+Readers merge the changes of the applied versions into the base tables; folding writes that
+merge down, so that later reads merge less.
 """
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -72,9 +74,51 @@ class ChangeLog:
 
     def rows(self, table: str) -> DataFrame:
         """The table with the changes of every applied version, in version order."""
+        return self._rows(table, set(self._versions(self.applied())))
+
+    def _rows(self, table: str, live: set[str]) -> DataFrame:
         tracked = self.tables[table]
-        changes = self.store.read(table, change_schema(tracked.base.schema, tracked.keys)).drop("batch_id")
-        return apply_changes(tracked.base, changes, tracked.keys)
+        fold, folded = self._best_fold(live)
+        base = tracked.base
+        if fold is not None:
+            base = self.spark.read.schema(base.schema).parquet(f"{self.store.path}/folds/{fold}/{table}")
+        wanted = self.spark.createDataFrame([(v,) for v in sorted(live - folded)], "batch_id string")
+        changes = self.store.read(table, change_schema(tracked.base.schema, tracked.keys))
+        changes = changes.join(F.broadcast(wanted), "batch_id", "left_semi").drop("batch_id")
+        return apply_changes(base, changes, tracked.keys)
+
+    def _folds(self) -> dict[int, set[str]]:
+        folder = f"{self.store.path}/folds"
+        done = [n for n in files.names(self.spark, folder) if n.endswith(".json")]
+        if not done:
+            return {}
+        found = self.spark.read.schema("fold int, versions array<string>, complete boolean").json(
+            [f"{folder}/{n}" for n in done])
+        return {r.fold: set(r.versions) for r in found.filter("complete").collect()}
+
+    def _best_fold(self, live: set[str]) -> tuple[int | None, set[str]]:
+        """The newest fold that holds exactly the live versions up to its last one."""
+        for fold, versions in sorted(self._folds().items(), reverse=True):
+            if versions == {v for v in live if v <= max(versions)}:
+                return fold, versions
+        return None, set()
+
+    def fold(self, upto: str | None = None) -> int | None:
+        """Write all tables with the applied versions up to one, by default all but the newest batch.
+
+        Older folds and the change rows stay, so a version can still be reverted afterwards:
+        reads then start from the newest fold without it.
+        """
+        live = set(self._versions(self.applied()))
+        last = upto if upto is not None else max(live - set(self.store.newest()), default="")
+        wanted = {v for v in live if v[:13] <= last[:13]}
+        if not wanted:
+            return None
+        fold = max((int(n.split(".")[0]) for n in files.names(self.spark, f"{self.store.path}/folds")), default=0) + 1
+        for table in self.tables:
+            self._rows(table, wanted).write.parquet(f"{self.store.path}/folds/{fold}/{table}")
+        text = json.dumps({"fold": fold, "versions": sorted(wanted), "complete": True}) + "\n"
+        return fold if files.create_once(self.spark, f"{self.store.path}/folds/{fold}.json", text) else None
 
     # -- commands
 
@@ -123,6 +167,16 @@ class ChangeLog:
             return self._apply(self._versions(plan), apply_time)
         return self._revert(self._versions(plan))
 
+    def apply(self, version: str, apply_time: int | None = None) -> None:
+        """Apply one version; raises when it is not defined or applied already."""
+        if self.defined().filter(F.col("version") == version).isEmpty():
+            raise Refused(f"{version} is not defined")
+        self.store.commit([version], int(time.time()) if apply_time is None else apply_time)
+
+    def revert(self, version: str) -> None:
+        """Revert one version; raises when it is not applied."""
+        self.store.withdraw([version])
+
     def release(self, apply_time: int | None = None) -> list[str]:
         """Apply everything pending as one batch with one apply time, all or nothing."""
         todo = self._versions(self.pending())
