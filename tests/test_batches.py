@@ -101,6 +101,7 @@ def test_few_ids_prune_and_many_ids_join(spark, store, monkeypatch):
     plan = store.read("t", ROW)._jdf.queryExecution().executedPlan().toString()
     assert "batch_id" in plan.split("PartitionFilters: [")[1].split("]")[0] and "Join" not in plan
     monkeypatch.setattr(batches, "LITERAL_IDS", 1)
+    assert sorted(r.id for r in store.of_batches("t", ROW, ["b0", "b3"]).collect()) == [0, 3]
     assert "Join" in store.read("t", ROW)._jdf.queryExecution().executedPlan().toString()
     assert ids(store) == [0, 2]
 

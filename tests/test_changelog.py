@@ -72,10 +72,10 @@ class Model:
         return {k: v for k, v in state.items() if v is not None}
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(3))
 def test_random_commands(log, seed):
     rng, model = random.Random(seed), Model()
-    for i in range(9):
+    for i in range(8):
         command = rng.choice(["up", "down", "redo", "release", "rollback", "to"])
         if i % 3 == 2:
             log.fold(rng.choice([None, *VERSIONS]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.transforms import PartitionField
-from ..session import materialize
+from ..session import local_frame, materialize
 
 
 @dataclass(frozen=True)
@@ -80,8 +80,8 @@ def _row_hash(schema: T.StructType) -> Column:
 def read_table(spark: SparkSession, path: str, schema: T.StructType,
                spec: Sequence[PartitionField] = ()) -> DataFrame:
     """Read a table with its partition columns, whose types are declared and not guessed."""
-    sample = with_partitions(spark.createDataFrame([], schema), spec).schema
-    return spark.read.schema(sample).parquet(path)
+    added = with_partitions(local_frame(spark, schema), spec).schema.fields[len(schema):]
+    return spark.read.schema(T.StructType(schema.fields + added)).parquet(path)
 
 
 def between(df: DataFrame, schema: T.StructType, spec: Sequence[PartitionField], source: str,

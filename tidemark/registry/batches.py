@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes as ops
@@ -56,7 +56,7 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("batch_id", F.date_format("ts", "'b'yyyyMMdd"))
 
 
-def _version(day: str = "ts") -> F.Column:
+def _version(day: str = "ts") -> Column:
     return F.concat(F.date_format(day, "yyMMdd"), F.lit("_000000_load"))
 
 

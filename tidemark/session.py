@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -71,3 +75,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = workspace(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def local_frame(spark: SparkSession, schema: T.StructType | str,
+                columns: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """A short list of the driver as a frame whose size Catalyst knows; empty without columns."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
+    rows = pa.table(dict(columns), schema=arrow) if columns else arrow.empty_table()
+    return spark.createDataFrame(rows, schema)

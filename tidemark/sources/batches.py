@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ledger_state import KEY, duplicate_keys, missing_counterparts
+from ..session import local_frame
 from . import files
 from .ledger import ROWS, ledger_rows
 
 LEDGER = "_ledger"
-ENTRY = "batch_id string, apply_time bigint, live boolean"
+COMMITS = "n bigint, batch_id string, apply_time bigint, live boolean"
+COMMIT_FILE = "n bigint, entries array<struct<batch_id: string, apply_time: bigint, live: boolean>>, complete boolean"
 
 # Up to this many batch ids become a literal filter on the partition column.
 LITERAL_IDS = 1000
@@ -60,9 +62,8 @@ class BatchStore:
     def commits(self) -> DataFrame:
         folder = f"{self.path}/commits"
         if not files.names(self.spark, folder):
-            return self.spark.createDataFrame([], f"n bigint, {ENTRY}")
-        stored = f"n bigint, entries array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>, complete boolean"
-        return self.spark.read.schema(stored).json(folder).filter("complete").select("n", F.inline("entries"))
+            return local_frame(self.spark, COMMITS)
+        return self.spark.read.schema(COMMIT_FILE).json(folder).filter("complete").select("n", F.inline("entries"))
 
     def committed(self) -> DataFrame:
         """Batches that are live now, with their apply time."""
@@ -74,8 +75,8 @@ class BatchStore:
 
     def _live(self, batch_ids: Sequence[str]) -> dict[str, int]:
         """Those of the given batches that are live, with their apply time."""
-        wanted = self.spark.createDataFrame([(b,) for b in batch_ids], "batch_id string")
-        return {r.batch_id: r.apply_time for r in self.committed().join(wanted, "batch_id", "left_semi").collect()}
+        found = self.committed().join(self._frame(batch_ids), "batch_id", "left_semi")
+        return {r.batch_id: r.apply_time for r in found.collect()}
 
     def is_committed(self, batch_id: str) -> bool:
         return not self.committed().filter(F.col("batch_id") == batch_id).isEmpty()
@@ -113,17 +114,26 @@ class BatchStore:
     def staged(self, table: str, schema: T.StructType | str) -> DataFrame:
         schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         if not files.exists(self.spark, f"{self.path}/tables/{table}"):
-            return self.spark.createDataFrame([], schema).withColumn("batch_id", F.lit(None).cast("string"))
+            return local_frame(self.spark, schema).withColumn("batch_id", F.lit(None).cast("string"))
         declared = T.StructType([f for f in schema.fields if f.name != "batch_id"]).add("batch_id", "string")
         return self.spark.read.schema(declared).parquet(f"{self.path}/tables/{table}")
 
     def read(self, table: str, schema: T.StructType | str) -> DataFrame:
-        """Rows of live batches. Few ids prune the folders; very many are joined instead."""
-        rows = self.staged(table, schema)
+        """Rows of live batches."""
         ids = [r.batch_id for r in self.committed().select("batch_id").limit(LITERAL_IDS + 1).collect()]
         if len(ids) <= LITERAL_IDS:
-            return rows.filter(F.col("batch_id").isin(ids))
-        return rows.join(self.committed().select("batch_id"), "batch_id", "left_semi")
+            return self.of_batches(table, schema, ids)
+        return self.staged(table, schema).join(self.committed().select("batch_id"), "batch_id", "left_semi")
+
+    def of_batches(self, table: str, schema: T.StructType | str, batch_ids: Sequence[str]) -> DataFrame:
+        """Rows of the given batches. Few ids prune the folders; very many are joined instead."""
+        rows = self.staged(table, schema)
+        if len(batch_ids) <= LITERAL_IDS:
+            return rows.filter(F.col("batch_id").isin(list(batch_ids)))
+        return rows.join(self._frame(batch_ids), "batch_id", "left_semi")
+
+    def _frame(self, batch_ids: Sequence[str]) -> DataFrame:
+        return local_frame(self.spark, "batch_id string", {"batch_id": list(batch_ids)})
 
     def applied(self) -> DataFrame:
         return self.read(LEDGER, ROWS)

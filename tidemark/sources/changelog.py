@@ -20,6 +20,7 @@ from ..functions.names import normalize_target, parse_version, version_key
 from ..operators import ledger_state as state
 from ..operators.changes import apply_changes, change_schema
 from ..plans import steps
+from ..session import local_frame
 from . import files
 from .batches import BatchStore, Refused
 
@@ -54,10 +55,11 @@ class ChangeLog:
     def defined(self) -> DataFrame:
         folder = f"{self.store.path}/tables/{_MARK}"
         found = [
-            (self.scope, n.split("=", 1)[1]) for n in files.names(self.spark, folder)
+            n.split("=", 1)[1] for n in files.names(self.spark, folder)
             if n.startswith("batch_id=") and files.exists(self.spark, f"{folder}/{n}/_SUCCESS")
         ]
-        return self.spark.createDataFrame(found, "scope string, version string")
+        return local_frame(self.spark, "version string", {"version": found}).select(
+            F.lit(self.scope).alias("scope"), "version")
 
     def applied(self) -> DataFrame:
         return self.store.committed().select(
@@ -82,9 +84,8 @@ class ChangeLog:
         base = tracked.base
         if fold is not None:
             base = self.spark.read.schema(base.schema).parquet(f"{self.store.path}/folds/{fold}/{table}")
-        wanted = self.spark.createDataFrame([(v,) for v in sorted(live - folded)], "batch_id string")
-        changes = self.store.read(table, change_schema(tracked.base.schema, tracked.keys))
-        changes = changes.join(F.broadcast(wanted), "batch_id", "left_semi").drop("batch_id")
+        schema = change_schema(tracked.base.schema, tracked.keys)
+        changes = self.store.of_batches(table, schema, sorted(live - folded)).drop("batch_id")
         return apply_changes(base, changes, tracked.keys)
 
     def _folds(self) -> dict[int, set[str]]:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ledger_state import BASE_VERSION, KEY, applied, guard_reserved, latest
+from ..session import local_frame
 from . import files
 
 ROWS = "scope string, version string, apply_time bigint, seq bigint, is_deleted int, batch_id string"
@@ -116,7 +117,7 @@ class Ledger:
         """All stored rows. An empty ledger reads as no rows, as a dry run needs it."""
         current = self._generations()
         if not current:
-            return self.spark.createDataFrame([], STORED)
+            return local_frame(self.spark, STORED)
         rows = self.spark.read.schema(STORED).parquet(self._folder(current[-1]))
         return rows if months is None else rows.filter(F.col("yyyymm").isin(list(months)))
 

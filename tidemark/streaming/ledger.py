@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ledger_state import latest
+from ..session import local_frame
 from ..sources import files
 from ..sources.batches import BatchStore
 from ..sources.ledger import ROWS
@@ -49,7 +50,7 @@ def read_merged(spark: SparkSession, path: str, upto: int | None = None) -> Data
     if base is not None:
         paths.append(f"{path}/merged/upto={base}")
     if not paths:
-        return spark.createDataFrame([], ROWS)
+        return local_frame(spark, ROWS)
     return latest(spark.read.schema(ROWS).parquet(*paths))
 
 
