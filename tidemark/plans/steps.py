@@ -38,8 +38,8 @@ def redo_plan(done: DataFrame, n: int | None = 1) -> DataFrame:
     return sized.select(*KEY, F.inline(both))
 
 
-def plan_to(defined: DataFrame, done: DataFrame, target: str) -> DataFrame:
-    """The way to one target stamp for a whole ledger, as numbered steps.
+def plan_to(defined: DataFrame, done: DataFrame, target: str, numbered: bool = True) -> DataFrame:
+    """The way to one target stamp for a whole ledger, as numbered steps or just in order.
 
     When the target is applied, everything later is reverted, newest first; otherwise the
     pending rows up to the target are applied in ascending order.
@@ -63,7 +63,8 @@ def plan_to(defined: DataFrame, done: DataFrame, target: str) -> DataFrame:
         F.when(~is_revert, F.col("version")).asc(),
         F.col("scope").asc(),
     ]
-    return with_ordinal(reverts.unionByName(applies), order, name="step").drop("apply_time")
+    plan = reverts.unionByName(applies)
+    return (with_ordinal(plan, order, name="step") if numbered else plan.orderBy(*order)).drop("apply_time")
 
 
 def plan_to_per_scope(defined: DataFrame, done: DataFrame, target: str) -> DataFrame:

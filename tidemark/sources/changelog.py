@@ -163,7 +163,7 @@ class ChangeLog:
     def to(self, target: str, apply_time: int | None = None) -> list[str]:
         """Go to a target: back to it when it is applied, otherwise forward up to it."""
         stamp = self.spark.range(1).select(normalize_target(F.lit(target), strict=True)).first()[0]
-        plan = steps.plan_to(self.defined(), self.applied(), stamp).orderBy("step")
+        plan = steps.plan_to(self.defined(), self.applied(), stamp, numbered=False)
         if self.applied().filter(version_key("version") == stamp).isEmpty():
             return self._apply(self._versions(plan), apply_time)
         return self._revert(self._versions(plan))
