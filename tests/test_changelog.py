@@ -130,6 +130,16 @@ def test_folds_are_used_only_while_they_fit(log):
     assert log._best_fold({VERSIONS[0], VERSIONS[2]}) == (None, set())
     log.revert(VERSIONS[1])
     assert {r.id: r.v for r in log.rows("t").collect()} == {1: "A", 2: "b", 3: "C", 5: "e"}
+    with pytest.raises(Refused, match="part of a fold"):
+        log.add(VERSIONS[1], {})
+
+
+def test_an_applied_version_is_not_staged_again(spark, log):
+    log.up(1, 10)
+    with pytest.raises(AlreadyApplied):
+        log.add(VERSIONS[0], {"t": log.store.staged("t", log.tables["t"].base.schema)})
+    log.down()
+    log.add(VERSIONS[0], {})
 
 
 def test_a_version_staged_in_part_is_not_defined(spark, log):

@@ -9,7 +9,6 @@ from ..operators.changes import apply_changes, change_schema
 from ..session import table, workspace
 from ..sources import scripts
 from ..sources.batches import BatchStore
-from ..sources.ledger import ROWS
 from ..streaming import ledger as ops
 from . import register
 from .inputs import LEDGER_SQL, ledger_log, order_changes, orders_after_sql

@@ -103,6 +103,9 @@ class BatchStore:
     # -- tables
 
     def stage(self, table: str, rows: DataFrame, batch_id: str) -> None:
+        """Write the rows of a batch. Staging again replaces them, unless readers see them."""
+        if self.is_committed(batch_id):
+            raise AlreadyApplied(batch_id)
         rows.write.mode("overwrite").parquet(f"{self.path}/tables/{table}/batch_id={batch_id}")
 
     def stage_many(self, table: str, rows: DataFrame) -> None:
@@ -154,8 +157,6 @@ class BatchStore:
         """Apply all versions and their rows as one batch with one apply time, or nothing."""
         at = int(time.time()) if apply_time is None else apply_time
         batch_id = batch_id or f"b{at}-{uuid.uuid4().hex[:8]}"
-        if self.is_committed(batch_id):
-            raise AlreadyApplied(batch_id)
         new = versions.select(*KEY)
         if not self.applied().join(new, list(KEY), "left_semi").isEmpty():
             raise AlreadyApplied("a version of the batch is applied")

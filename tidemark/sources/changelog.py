@@ -48,6 +48,8 @@ class ChangeLog:
         seen = self.spark.range(1).select(parse_version(F.lit(version)).alias("v")).first().v
         if not seen.valid or version == state.BASE_VERSION:
             raise Refused(f"{version}: {seen.reason or 'reserved'}")
+        if any(version in versions for versions in self._folds().values()):
+            raise Refused(f"{version} is part of a fold; give the changed version a new name")
         for name, rows in changes.items():
             self.store.stage(name, rows.drop("batch_id"), version)
         self.store.stage(_MARK, self.spark.range(1), version)
