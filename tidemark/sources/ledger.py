@@ -13,6 +13,7 @@ from ..session import local_frame
 from . import files
 
 ROWS = "scope string, version string, apply_time bigint, seq bigint, is_deleted int, batch_id string"
+COLUMNS = ("scope", "version", "apply_time", "seq", "is_deleted", "batch_id")
 STORED = f"{ROWS}, apply_date date, yyyymm string"
 
 # Fixed value: prefix of the property keys that hold applied versions.
@@ -92,9 +93,8 @@ class Ledger:
 
     def _write(self, rows: DataFrame, folder: str, mode: str) -> None:
         # A month with most of the rows is cut into several files; small months share a task.
-        stored_columns(rows.select([f.split()[0] for f in ROWS.split(", ")])).hint("rebalance", "yyyymm").write.mode(
-            mode
-        ).partitionBy("yyyymm").parquet(folder)
+        placed = stored_columns(rows.select(*COLUMNS)).hint("rebalance", "yyyymm")
+        placed.write.mode(mode).partitionBy("yyyymm").parquet(folder)
 
     def append(self, rows: DataFrame) -> None:
         """Append ledger rows as they are; the base row is refused."""
