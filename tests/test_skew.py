@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import ledger_state as state
-from tidemark.operators import skew
+from tidemark.operators import changes, skew
 from tidemark.operators.skew import join_per_key, join_same, top_per_scope, with_ordinal
 from tidemark.plans import steps
 from tidemark.session import materialize
@@ -158,3 +158,20 @@ def test_plans_avoid_row_products(hot):
                 assert "_total" in line
     assert "LeftAnti" in physical(state.unapplied(hot, done))
     assert "TakeOrderedAndProject" in physical(state.history(done, 5))
+
+
+def test_one_key_with_most_changes(spark):
+    """Every third change hits the same row; each task passes on one change of it."""
+    base = spark.range(0, 300).select("id", F.lit("old").alias("v"))
+    step = F.col("id")
+    key = F.when(step % 3 == 0, 7).otherwise(step % 300)
+    rows = spark.range(0, 9_000, 1, 4).select(
+        key.alias("id"), F.format_string("v%02d", F.floor(step / 1000)).alias("version"), step.alias("seq"),
+        F.lit("update").alias("op"), F.struct(key.alias("id"), F.lit("old").alias("v")).alias("before"),
+        F.struct(key.alias("id"), step.cast("string").alias("v")).alias("after"))
+    now = changes.apply_changes(base, rows, ["id"])
+    assert now.count() == 300
+    assert now.filter("id = 7").first().v == "8997", "the last multiple of three"
+    assert now.filter("v = 'old'").count() == base.join(rows, "id", "left_anti").count() > 0
+    back = changes.revert_changes(now, rows, ["id"])
+    assert back.filter("v <> 'old'").isEmpty() and back.count() == 300

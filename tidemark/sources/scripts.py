@@ -31,7 +31,8 @@ def scan_scripts(spark: SparkSession, path: str, direction: str | None = "up",
                  now: Column | None = None, strict: bool = True) -> DataFrame:
     """Scripts below a folder as (file, body, version, name, safe, direction).
 
-    One bad name fails the whole listing when ``strict``; otherwise see :func:`rejected`.
+    One bad name fails the whole listing when ``strict``; otherwise see :func:`rejected`. Only
+    files of the wanted direction are opened.
     """
     rows = _named(spark, path, now)
     if direction is not None:
