@@ -59,7 +59,8 @@ def test_layout_changes(spark, folder):
     first.write(events.filter("event_id < 500"), folder + "/t")
     second.write(events.filter("event_id >= 500"), folder + "/t")
     third = second.drop("ts_days")
-    both = third.read(spark, folder + "/t", events.schema, [0, 1])
+    assert third.read(spark, folder + "/none", events.schema).isEmpty()
+    both = third.read(spark, folder + "/t", events.schema)
     assert both.count() == 1000
     assert both.filter("spec_id = 0 and user_id_bucket_8 is not null").count() == 0
     assert both.filter("spec_id = 1 and user_id_bucket_8 is null").count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.transforms import PartitionField
 from ..session import local_frame, materialize
+from ..sources import files
 
 
 @dataclass(frozen=True)
@@ -148,18 +150,14 @@ class Layout:
         """Append rows under the current spec."""
         write_table(df, f"{path}/spec={self.spec_id}", self.current, order, mode="append")
 
-    def read(self, spark: SparkSession, path: str, schema: T.StructType,
-             spec_ids: Sequence[int] | None = None) -> DataFrame:
+    def read(self, spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         """All rows with the spec they are stored under; missing partition columns are NULL."""
-        wanted = range(len(self.specs)) if spec_ids is None else spec_ids
         parts = [
-            read_table(spark, f"{path}/spec={i}", schema, self.specs[i]).withColumn("spec_id", F.lit(i))
-            for i in wanted
+            read_table(spark, f"{path}/spec={i}", schema, spec).withColumn("spec_id", F.lit(i))
+            for i, spec in enumerate(self.specs) if files.exists(spark, f"{path}/spec={i}")
         ]
-        result = parts[0]
-        for part in parts[1:]:
-            result = result.unionByName(part, allowMissingColumns=True)
-        return result
+        empty = with_partitions(local_frame(spark, schema), self.current).withColumn("spec_id", F.lit(self.spec_id))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts, empty)
 
 
 def order_violations(spark: SparkSession, path: str, schema: T.StructType,
