@@ -21,9 +21,9 @@ def linked_components(members: DataFrame, check: Callable[[DataFrame], DataFrame
     """(item, component) of the items that have a link, given ``members`` (key, item, n).
 
     Two items are compared when they share a key, their sizes ``n`` allow ``percent``, and no
-    chain of links joins them yet. ``check`` takes pairs (a, b) and returns the linked ones.
+    chain of links joins them yet. ``check`` takes pairs (a, b) and adds the boolean ``linked``.
 
-    Each round names one leader per key and hash slot, twice as many slots as the round before.
+    Each round names one leader per key and hash slot, four times as many slots as the round before.
     Every other member of the key is compared with the leaders outside its component. A leader
     has then met its whole key, so it leaves the key; a key whose members have become one
     component leaves altogether. The rounds end when no key holds two components, so the
@@ -32,8 +32,8 @@ def linked_components(members: DataFrame, check: Callable[[DataFrame], DataFrame
     """
     spark = members.sparkSession
     item_type = members.schema["item"].dataType.simpleString()
-    links = local_frame(spark, f"a {item_type}, b {item_type}")
-    tried = links
+    tried = local_frame(spark, f"a {item_type}, b {item_type}, linked boolean")
+    now = None
     active = members.select("key", "item", "n", F.col("item").alias("component"))
     turn = 0
     while True:
@@ -44,7 +44,7 @@ def linked_components(members: DataFrame, check: Callable[[DataFrame], DataFrame
         active = materialize(active.join(open_keys, "key", "left_semi"), "members")
         if active.isEmpty():
             break
-        slot = F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(1 << min(turn, 20)))
+        slot = F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(1 << min(2 * turn, 20)))
         leaders = materialize(
             active.groupBy("key", slot.alias("slot"))
             .agg(F.min(F.struct("item", "component", "n")).alias("leader"))
@@ -56,15 +56,12 @@ def linked_components(members: DataFrame, check: Callable[[DataFrame], DataFrame
                     & (100 * F.least("n", "its_n") >= percent * F.greatest("n", "its_n")))
             .select(F.least("item", "leader").alias("a"), F.greatest("item", "leader").alias("b")).distinct()
         )
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(check(pairs).select("a", "b"), "links")
-        tried, links = tried.union(pairs), links.union(found)
-        left = active.join(leaders.select("key", F.col("leader").alias("item")), ["key", "item"], "left_anti")
-        if found.isEmpty():
-            active = left
-        else:
-            now = components(links).withColumnRenamed("component", "now")
-            active = (left.join(now, "item", "left")
-                      .select("key", "item", "n", F.coalesce("now", "item").alias("component")))
+        checked = materialize(check(pairs.join(tried, ["a", "b"], "left_anti")).select("a", "b", "linked"), "pairs")
+        tried = tried.union(checked)
+        active = active.join(leaders.select("key", F.col("leader").alias("item")), ["key", "item"], "left_anti")
+        if not checked.filter("linked").isEmpty():
+            now = components(tried.filter("linked"))
+            active = (active.select("key", "item", "n").join(now, "item", "left")
+                      .withColumn("component", F.coalesce("component", "item")))
         turn += 1
-    return components(links)
+    return components(tried.filter("linked")) if now is None else now

@@ -6,9 +6,10 @@
    64 smallest values of its union, and fewer than 28 with a probability of about 1e-8. So it
    also shares one of the 37 rarest values of either sketch, and only those are listed: a passage
    that many documents quote is common, hence rarely among them.
-3. Members of a list meet in rounds (``linking``). The union sketch of a pair, the 64 smallest
-   values of both, estimates the similarity and drops clear cases.
-4. What remains is confirmed on the full sets, and components are formed.
+3. Items that met another in a list are hashed again in full. The same rule on their whole sets, where it
+   is exact (a quarter of the set), makes their lists short: a text with its own quarter leaves them.
+4. Members of a list meet in rounds (``linking``). The union sketch of a pair, the 64 smallest
+   values of both, estimates the similarity and drops clear cases; the full sets confirm the rest.
 """
 
 from __future__ import annotations
@@ -101,16 +102,20 @@ def _estimated(a: Column, b: Column) -> Column:
     return shared >= _need(F.size(union))
 
 
-def rare_postings(items: DataFrame) -> DataFrame:
-    """(key, item, n): the listed values of each item, without those that only one item retains."""
-    postings = items.select("item", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("key"))
+def rare_postings(items: DataFrame, values: str, need: Column) -> DataFrame:
+    """(key, item, n): of each item's ``values`` (array) the rarest that a linked pair cannot all miss.
+
+    A pair that shares ``need`` values also shares one of the size - need + 1 that come first in any
+    common order; the order here is by number of items, then value. Values of one item alone come
+    first of all and are not returned.
+    """
+    postings = items.select("item", "n", F.size(values).alias("kept"), need.alias("need"), F.explode(values).alias("key"))
     common = postings.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     listed = (
-        postings.join(common, "key").groupBy("item", "n", "kept")
+        postings.join(common, "key").groupBy("item", "n", "kept", "need")
         .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("shared"))
     )
-    # Values of one item alone are the rarest; they take their places of the prefix first.
-    room = F.col("kept") - _need(F.col("kept")) + 1 - (F.col("kept") - F.size("shared"))
+    room = F.size("shared") - F.col("need") + 1
     return (
         listed.filter(room > 0).select("item", "n", F.explode(F.slice("shared", F.lit(1), room)).alias("at"))
         .select(F.col("at.key").alias("key"), "item", "n")
@@ -130,10 +135,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     items = materialize(
         rows.filter(F.col("item").isNotNull()).groupBy("item")
         .agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "items")
-    members = materialize(rare_postings(items), "postings")
-    lonely = members.groupBy("key").agg(F.count("*").alias("size")).filter("size < 2").select("key")
-    members = materialize(members.join(lonely, "key", "left_anti"), "postings")
-    met = members.select("item").distinct()
+    listed = materialize(rare_postings(items, "sketch", _need(F.size("sketch"))), "postings")
+    shared = listed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    met = materialize(listed.join(shared, "key", "left_semi").select("item").distinct(), "met")
     # One document stands for each item that met another; only their texts are hashed again.
     chosen = items.join(met, "item", "left_semi").select("low")
     texts = docs.select(F.col(id_column).alias("low"), F.col(text_column).cast("string").alias("text"))
@@ -141,17 +145,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         texts.join(chosen.distinct(), texts["low"].eqNullSafe(chosen["low"]), "left_semi").select("text")
         .mapInArrow(_set_batches, "item binary, shingles array<bigint>")
         .join(met, "item", "left_semi").dropDuplicates(["item"]), "sets")
-    short = items.select("item", "sketch")
+    full = full.withColumn("n", F.size("shingles").cast("long"))
+    members = materialize(rare_postings(full, "shingles", F.ceil(F.col("n") * PERCENT / 100).cast("int")), "postings")
 
     def check(pairs: DataFrame) -> DataFrame:
-        def both(pairs, side, column):
-            a = side.select(F.col("item").alias("a"), F.col(column).alias("of_a"))
-            b = side.select(F.col("item").alias("b"), F.col(column).alias("of_b"))
-            return pairs.join(a, "a").join(b, "b")
-
-        likely = materialize(both(pairs, short, "sketch").filter(_estimated(F.col("of_a"), F.col("of_b")))
-                             .select("a", "b"), "likely")
-        return both(likely, full, "shingles").filter(similar(F.col("of_a"), F.col("of_b"), PERCENT))
+        a = full.select(F.col("item").alias("a"), F.col("shingles").alias("of_a"))
+        b = full.select(F.col("item").alias("b"), F.col("shingles").alias("of_b"))
+        # The shingles are sorted, so a sketch is the beginning of its set.
+        likely = _estimated(F.slice("of_a", 1, SKETCH), F.slice("of_b", 1, SKETCH))
+        linked = likely & similar(F.col("of_a"), F.col("of_b"), PERCENT)
+        return pairs.join(a, "a").join(b, "b").select("a", "b", linked.alias("linked"))
 
     found = linked_components(members, check, PERCENT)
     # A component may hold a third of all items: its smallest id is an aggregate, joined back.
