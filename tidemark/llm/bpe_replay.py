@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import heapq
 from collections.abc import Callable, Iterable, Iterator, Mapping
@@ -16,14 +15,11 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-#: Parts of text whose encoding a task keeps from one slice to the next; beyond, it starts anew.
-KEPT_PARTS = 300_000
-
 SHIFT = 20
 GAP, GONE = -1, -2
 NO_PAIR = np.int32(np.iinfo(np.int32).max)
 #: Text whose distinct words are merged together.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 32 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,7 +34,6 @@ class Merges:
     def __init__(self, ranks: Mapping[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.digits = {rank: str(rank) for rank in self.tokens}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for token, rank in ranks.items():
@@ -56,8 +51,8 @@ class Merges:
         return np.where((self.keys[slot] == key) & (right >= 0) & (left >= 0), self.results[slot], NO_PAIR)
 
 
-def replay(words: Iterable[bytes], merges: Merges) -> dict[bytes, list[int]]:
-    """Token ids of each word (not empty).
+def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all ``words`` (none empty) after one another, and where each word's begin and end.
 
     All words lie after one another as single bytes. An inverted index holds, for the rank of every
     mergeable neighbour pair, the positions of that pair. Ranks are taken from the lowest. All words
@@ -66,19 +61,14 @@ def replay(words: Iterable[bytes], merges: Merges) -> dict[bytes, list[int]]:
     a word sees its merges exactly as if its lowest pair, leftmost first, were merged each time.
     Words are independent of each other.
     """
-    found, open_words = {}, []
-    for w in dict.fromkeys(words):
-        if w in merges.ranks:
-            found[w] = [merges.ranks[w]]
-        else:
-            open_words.append(w)
-    if not open_words:
-        return found
-    sizes = np.array([len(w) for w in open_words])
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    whole = np.array([merges.ranks.get(w, GAP) for w in words])
+    sizes = np.array([len(w) for w in words])
     last = np.cumsum(sizes + 1) - 1
-    current = merges.of_byte[np.frombuffer(b"\0".join(open_words) + b"\0", np.uint8)]
+    current = merges.of_byte[np.frombuffer(b"\0".join(words) + b"\0", np.uint8)]
     current[last] = GAP
-    word = np.repeat(np.arange(len(open_words), dtype=np.int32), sizes + 1)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes + 1)
     total = len(current)
     after = np.arange(1, total + 1, dtype=np.int32)
     before = np.arange(-1, total - 1, dtype=np.int32)
@@ -86,6 +76,8 @@ def replay(words: Iterable[bytes], merges: Merges) -> dict[bytes, list[int]]:
 
     pair = np.full(total, NO_PAIR, np.int32)
     pair[:-1] = lookup(current[:-1], current[1:])
+    # A word that is a token is that token, whatever its merges.
+    pair[whole[word] >= 0] = NO_PAIR
     at = np.flatnonzero(pair != NO_PAIR).astype(np.int32)
     index: dict[int, list[np.ndarray]] = {}
     open_ranks: list[int] = []
@@ -142,65 +134,59 @@ def replay(words: Iterable[bytes], merges: Merges) -> dict[bytes, list[int]]:
         good = fresh != NO_PAIR
         if good.any():
             add(fresh[good], np.concatenate([places, ahead])[good])
+    first = np.append(0, last[:-1] + 1)
+    known = np.flatnonzero(whole >= 0)
+    current[(whole >= 0)[word]] = GONE
+    current[first[known]] = whole[known]
     kept = current >= 0
-    ends = np.cumsum(kept)[last].tolist()
-    ids = current[kept].tolist()
-    low = 0
-    for w, high in zip(open_words, ends):
-        found[w] = ids[low:high]
-        low = high
-    return found
+    return current[kept], np.append(0, np.cumsum(kept)[last])
 
 
-class Codec:
-    """Encoding and decoding of one task, which remembers what it has met between two spaces.
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``values[starts[i]:starts[i] + sizes[i]]`` for all i, after one another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
 
-    In a text without two white-space characters in a row, a match of the pattern never reaches
-    over the space before a word: each space begins a match. So such a text is cut at its spaces and the
-    pattern is applied once to each distinct part, with its leading space. Any other text goes through
-    the pattern as a whole.
-    """
+
+class Table:
+    """Byte strings by token id, to be put together for many ids at once."""
+
+    def __init__(self, strings: Mapping[int, bytes]):
+        size = max(strings) + 1
+        rows = [strings.get(i, b"") for i in range(size)]
+        self.sizes = np.array([len(r) for r in rows], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(rows), np.uint8)
+
+    def join(self, ids: np.ndarray) -> bytes:
+        return _gather(self.data, self.starts[ids], self.sizes[ids]).tobytes()
+
+
+class Codec:
+    """Encoding and decoding of the texts of one slice."""
 
     def __init__(self, merges: Merges, pattern: str):
         self.merges = merges
         self.split = regex.compile(pattern).findall
-        self.digits: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
-
-    def _parts(self, text: str) -> list[str]:
-        if regex.search(r"\s\s", text):
-            return self.split(text)
-        parts = text.split(" ")
-        rest = [" " + p for p in parts[1:]]
-        return [parts[0], *rest] if parts[0] else rest
-
-    def learn(self, texts: Iterable[list[str]]) -> None:
-        new = set().union(*texts).difference(self.digits)
-        if len(self.digits) + len(new) > KEPT_PARTS:
-            self.digits, self.decoded = {}, {}
-            new = set().union(*texts)
-        split, tokens, digits = self.split, self.merges.tokens, self.merges.digits
-        matches = [split(part) for part in new]
-        encoded = replay([m.encode() for m in set().union(*matches)], self.merges)
-        written = {w.decode(): ",".join([digits[i] for i in ids]) for w, ids in encoded.items()}
-        read = {w.decode(): b"".join([tokens[i] for i in ids]) for w, ids in encoded.items()}
-        for part, found in zip(new, matches):
-            if len(found) == 1:
-                self.digits[part], self.decoded[part] = written[found[0]], read[found[0]]
-            else:
-                self.digits[part] = ",".join([written[m] for m in found])
-                self.decoded[part] = b"".join([read[m] for m in found])
+        self.tokens = Table(merges.tokens)
+        self.digits = Table({rank: b"%d," % rank for rank in merges.tokens})
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The token ids of each text. Distinct words are merged once for all texts."""
+        vocabulary: dict[str, int] = {}
+        known = vocabulary.setdefault
+        found = [np.array([known(w, len(vocabulary)) for w in self.split(t)], np.int64) for t in texts]
+        flat, bounds = replay([w.encode() for w in vocabulary], self.merges)
+        sizes = np.diff(bounds)
+        for at in found:
+            yield _gather(flat, bounds[at], sizes[at])
+
+    def decimal(self, ids: np.ndarray) -> bytes:
+        return self.digits.join(ids)[:-1]
 
-    def texts(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """For each text its token ids, in decimal and joined by commas, and the bytes they decode to."""
-        parts = [self._parts(t) for t in texts]
-        gc.disable()
-        try:
-            self.learn(parts)
-        finally:
-            gc.enable()
-        for found in parts:
-            yield ",".join(map(self.digits.__getitem__, found)), b"".join(map(self.decoded.__getitem__, found))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.tokens.join(ids)
 
 
 def _per_slice(ranks, pattern: str, row: Callable, columns: list[str]):
@@ -209,20 +195,19 @@ def _per_slice(ranks, pattern: str, row: Callable, columns: list[str]):
         for batch in batches:
             for low, high in W.slices(batch.column(1), SLICE_BYTES):
                 texts = [t or "" for t in batch.column(1).slice(low, high - low).to_pylist()]
-                rows = [row(ids, decoded) for ids, decoded in codec.texts(texts)]
+                rows = [row(codec, ids) for ids in codec.ids(texts)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low), *map(pa.array, zip(*rows))], ["id", *columns])
 
     return run
 
 
-def _ids(ids: str, decoded: bytes) -> tuple[list[int], bytes]:
-    return [int(i) for i in ids.split(",")] if ids else [], decoded
+def _ids(codec: Codec, ids: np.ndarray) -> tuple[np.ndarray, bytes]:
+    return ids.astype(np.int32), codec.decode(ids)
 
 
-def _digest(ids: str, decoded: bytes) -> tuple[int, str, str]:
-    n = ids.count(",") + 1 if ids else 0
-    return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+def _digest(codec: Codec, ids: np.ndarray) -> tuple[int, str, str]:
+    return (len(ids), hashlib.sha256(codec.decimal(ids)).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest())
 
 
 def _apply(docs: DataFrame, path: str, pattern: str, row: Callable, columns: str, id_column: str, text_column: str):
