@@ -82,3 +82,17 @@ def op9_byte_bpe(spark, sf_dir):
 
     rows = digests(documents(spark, sf_dir), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
     return rows.withColumnRenamed("id", "doc_id")
+
+
+@register()
+def op6_secret_scan(spark, sf_dir):
+    from .secrets import BASE_KINDS, secrets, written
+
+    found = secrets(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] < len(BASE_KINDS))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["name"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(F.col("id").alias("doc_id"), *map(count, BASE_KINDS),
+                        F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
