@@ -96,3 +96,39 @@ def op6_secret_scan(spark, sf_dir):
 
     return found.select(F.col("id").alias("doc_id"), *map(count, BASE_KINDS),
                         F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+#: Windows of 1, 2, 4, ... lines of a table (doc_id, text) and the lines that later copies cover, in DuckDB's SQL.
+LINES_SQL = r"""
+WITH RECURSIVE lines AS (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line
+  FROM {documents}),
+windows AS (
+  SELECT 1::BIGINT AS n, doc_id, pos, md5(line) AS k, length(line)::BIGINT AS chars FROM lines
+  UNION ALL
+  SELECT 2 * a.n, a.doc_id, a.pos, md5(a.k || b.k), a.chars + b.chars
+  FROM windows a JOIN windows b ON a.doc_id = b.doc_id AND b.pos = a.pos + a.n),
+copies AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n, k ORDER BY doc_id, pos) AS nth FROM windows)
+  WHERE nth > 1 AND chars >= 50),
+gone AS (SELECT DISTINCT l.doc_id, l.pos FROM lines l JOIN copies c
+  ON l.doc_id = c.doc_id AND l.pos >= c.pos AND l.pos < c.pos + c.n),
+deduped AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_deleted,
+    coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS text
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+"""
+
+
+@register(LINES_SQL.format(documents="documents") + "SELECT doc_id, n_lines, n_deleted, text FROM deduped")
+def op4_line_dedup(spark, sf_dir):
+    from .line_runs import without_later_copies
+
+    return without_later_copies(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_deleted", "text")
+
+
+@register()
+def op8_minhash_near_dedup(spark, sf_dir):
+    from .minhash_dedup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
