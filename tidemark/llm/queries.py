@@ -132,3 +132,66 @@ def op8_minhash_near_dedup(spark, sf_dir):
     from .minhash_dedup import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@register(r"""
+WITH hosts AS (
+  SELECT page_id, url, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)', 1) AS section FROM pages),
+changes AS (
+  SELECT CASE e.event_type WHEN 'signup' THEN h.host || '/' || h.section
+      WHEN 'click' THEN array_to_string(list_slice(string_split(h.host, '.'), -2, -1), '.') ELSE h.host END AS rule,
+    CASE WHEN e.event_id % 3 = 0 THEN 'adult' ELSE 'spam' END AS category, epoch_us(e.ts) AS at_us, e.event_id AS seq,
+    e.event_type <> 'error' AS listed
+  FROM events e JOIN hosts h ON e.user_id = h.page_id WHERE h.host IS NOT NULL),
+latest AS (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY rule, category, at_us ORDER BY seq DESC, listed DESC) = 1),
+intervals AS (SELECT rule, category, listed, at_us AS since, lead(at_us) OVER (PARTITION BY rule, category ORDER BY at_us) AS until FROM latest),
+captures AS (
+  SELECT page_id, host, section, 1704067200000000 + (page_id * 7919) % 2592000 * 1000000 AS at_us FROM hosts),
+asked AS (SELECT DISTINCT page_id, at_us, unnest([host, host || '/' || section,
+    array_to_string(list_slice(string_split(host, '.'), -2, -1), '.'), array_to_string(list_slice(string_split(host, '.'), -3, -1), '.'),
+    array_to_string(list_slice(string_split(host, '.'), -4, -1), '.')]) AS rule FROM captures),
+met AS (
+  SELECT a.page_id, count(*) AS n, string_agg(DISTINCT i.category, ',' ORDER BY i.category) AS categories
+  FROM asked a JOIN intervals i ON a.rule = i.rule AND i.listed AND i.since <= a.at_us AND (i.until IS NULL OR a.at_us < i.until)
+  GROUP BY a.page_id)
+SELECT c.page_id, h.url, c.at_us AS fetched_us, m.n IS NOT NULL AS blocked, coalesce(m.n, 0) AS n_entries,
+  coalesce(m.categories, '') AS categories
+FROM captures c JOIN hosts h USING (page_id) LEFT JOIN met m USING (page_id)
+""")
+def op2_url_filters(spark, sf_dir):
+    """Every page as a capture, against a list whose changes are the events on the pages' hosts."""
+    from .url_filters import host, section, url_decisions
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    name = host(F.col("url"))
+    parts = F.split(name, r"\.")
+    parent = F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".")
+    rule = (F.when(F.col("event_type") == "signup", F.concat_ws("/", name, section(F.col("url"))))
+            .when(F.col("event_type") == "click", parent).otherwise(name))
+    changes = (
+        table(spark, sf_dir, "events").join(pages.filter(name.isNotNull()), F.col("user_id") == F.col("page_id"))
+        .select(rule.alias("rule"), F.when(F.col("event_id") % 3 == 0, "adult").otherwise("spam").alias("category"),
+                F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"),
+                (F.col("event_type") != "error").alias("listed"))
+    )
+    fetched = F.lit(1_704_067_200_000_000) + F.pmod(F.col("page_id") * 7919, F.lit(2_592_000)) * 1_000_000
+    captures = pages.select(F.col("page_id").alias("id"), "url", fetched.alias("at"))
+    return url_decisions(captures, changes).withColumnsRenamed({"id": "page_id", "at": "fetched_us"})
+
+
+@register(r"""
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+  FROM whole q JOIN whole d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+""")
+def op3_voronoi_top_k(spark, sf_dir):
+    from .voronoi_knn import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
