@@ -195,3 +195,14 @@ def op3_voronoi_top_k(spark, sf_dir):
     from .voronoi_knn import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+@register()
+def op10_toxicity(spark, sf_dir):
+    from .toxicity import held_out, scores, train
+
+    docs = documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    found = scores(docs, train(docs, labels))
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score",
+                        (F.col("score") >= 0.3).cast("int").alias("predicted"))

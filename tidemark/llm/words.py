@@ -16,6 +16,8 @@ PIECE_BYTES = 4 << 20
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
+#: Runs of letters and digits: every other ASCII byte separates.
+_IS_NOT_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -48,10 +50,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]] if len(texts) else data[:0], offsets - offsets[0] if len(texts) else offsets
 
 
-def _piece(data: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece(data: np.ndarray, breaks: np.ndarray, lower: bool,
+           separates: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word of one piece; a word never crosses a position of ``breaks``."""
     b = _LOWER[data] if lower else data
-    word = ~_IS_SPACE[b]
+    word = ~separates[b]
     first = word.copy()
     first[1:] &= ~word[:-1]
     if len(breaks):
@@ -68,8 +71,12 @@ def _piece(data: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.ndarra
     return mix(np.add.reduceat(values, starts - starts[0])), starts, starts + lengths
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, ...]:
-    """Hash, start and end of every word, and the first word of each text (one more entry than texts)."""
+def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, letters: bool = False) -> tuple[np.ndarray, ...]:
+    """Hash, start and end of every word, and the first word of each text (one more entry than texts).
+
+    With ``letters``, punctuation and symbols of ASCII separate words as white space does.
+    """
+    separates = _IS_NOT_LETTER if letters else _IS_SPACE
     hashes, starts, ends, low = [], [], [], 0
     while low < len(data):
         high = min(len(data), low + PIECE_BYTES)
@@ -87,7 +94,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> t
                 if len(space):
                     high = low + 1 + int(space[-1])
         inner = offsets[(offsets >= low) & (offsets < high)] - low
-        h, s, e = _piece(data[low:high], inner, lower)
+        h, s, e = _piece(data[low:high], inner, lower, separates)
         hashes.append(h), starts.append(s + low), ends.append(e + low)
         low = high
     if not hashes:
