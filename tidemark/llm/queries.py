@@ -206,3 +206,10 @@ def op10_toxicity(spark, sf_dir):
     found = scores(docs, train(docs, labels))
     return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score",
                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register()
+def op7_quality_rules(spark, sf_dir):
+    from .quality_trees import verdicts
+
+    return verdicts(documents(spark, sf_dir), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
