@@ -18,10 +18,10 @@ def similar(a: Column, b: Column, percent: int) -> Column:
 
 
 def linked_components(members: DataFrame, check: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(item, component) of the items that have a link, given ``members`` (key, item, n).
+    """(item, component) of every item of ``members`` (key, item, n); one without a link is its own component.
 
     Two items are compared when they share a key, their sizes ``n`` allow ``percent``, and no
-    chain of links joins them yet. ``check`` takes pairs (a, b) and adds the boolean ``linked``.
+    chain of links joins them yet. ``check`` takes pairs (a, b, ...) and adds the boolean ``linked``.
 
     Each round names one leader per key and hash slot, four times as many slots as the round before.
     Every other member of the key is compared with the leaders outside its component. A leader
@@ -30,11 +30,10 @@ def linked_components(members: DataFrame, check: Callable[[DataFrame], DataFrame
     components are those of comparing all pairs. A key of n copies of one text costs n
     comparisons, and only a key whose members are truly unlike each other needs more.
     """
-    spark = members.sparkSession
     item_type = members.schema["item"].dataType.simpleString()
-    tried = local_frame(spark, f"a {item_type}, b {item_type}, linked boolean")
-    now = None
+    tried = local_frame(members.sparkSession, f"a {item_type}, b {item_type}")
     active = members.select("key", "item", "n", F.col("item").alias("component"))
+    known = members.select("item", F.col("item").alias("component")).distinct()
     turn = 0
     while True:
         open_keys = (
@@ -43,7 +42,7 @@ def linked_components(members: DataFrame, check: Callable[[DataFrame], DataFrame
         )
         active = materialize(active.join(open_keys, "key", "left_semi"), "members")
         if active.isEmpty():
-            break
+            return known
         slot = F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(1 << min(2 * turn, 20)))
         leaders = materialize(
             active.groupBy("key", slot.alias("slot"))
@@ -54,14 +53,20 @@ def linked_components(members: DataFrame, check: Callable[[DataFrame], DataFrame
             active.join(leaders, "key")
             .filter((F.col("component") != F.col("its_component"))
                     & (100 * F.least("n", "its_n") >= percent * F.greatest("n", "its_n")))
-            .select(F.least("item", "leader").alias("a"), F.greatest("item", "leader").alias("b")).distinct()
+            .select(F.least("item", "leader").alias("a"), F.greatest("item", "leader").alias("b"),
+                    F.least("component", "its_component").alias("low"), F.greatest("component", "its_component").alias("high"))
+            .distinct()
         )
-        checked = materialize(check(pairs.join(tried, ["a", "b"], "left_anti")).select("a", "b", "linked"), "pairs")
-        tried = tried.union(checked)
+        checked = materialize(check(pairs.join(tried, ["a", "b"], "left_anti")), "pairs")
+        tried = tried.union(checked.select("a", "b"))
         active = active.join(leaders.select("key", F.col("leader").alias("item")), ["key", "item"], "left_anti")
-        if not checked.filter("linked").isEmpty():
-            now = components(tried.filter("linked"))
-            active = (active.select("key", "item", "n").join(now, "item", "left")
-                      .withColumn("component", F.coalesce("component", "item")))
+        joined = checked.filter("linked").select(F.col("low").alias("a"), F.col("high").alias("b"))
+        if not joined.isEmpty():
+            # Components grow together: only they, not all links so far, are followed.
+            moved = components(joined).select(F.col("item").alias("component"), F.col("component").alias("now"))
+            known, active = (
+                rows.join(moved, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+                for rows in (known, active)
+            )
+            known = materialize(known.select("item", "component"), "known")
         turn += 1
-    return components(tried.filter("linked")) if now is None else now

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import words as W
+from .columns import WORD
 from .linking import linked_components, similar
 
 SHINGLE = 5
@@ -154,7 +155,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         # The shingles are sorted, so a sketch is the beginning of its set.
         likely = _estimated(F.slice("of_a", 1, SKETCH), F.slice("of_b", 1, SKETCH))
         linked = likely & similar(F.col("of_a"), F.col("of_b"), PERCENT)
-        return pairs.join(a, "a").join(b, "b").select("a", "b", linked.alias("linked"))
+        return pairs.join(a, "a").join(b, "b").withColumn("linked", linked).drop("of_a", "of_b")
 
     found = linked_components(members, check, PERCENT)
     # A component may hold a third of all items: its smallest id is an aggregate, joined back.
@@ -165,3 +166,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     done = rows.select("id", F.col("n").alias("n_shingles"), "item").join(known, "item", "left")
     component = F.when(F.col("item").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return done.select("id", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component is kept, in all their columns.
+
+    Of a component the document whose id is the component's stays; among several rows of that id, one with the
+    smallest text digest. Rows without words have no links and all stay.
+    """
+    identity, text = F.col(id_column), F.col(text_column).cast("string")
+    at = F.struct(identity.isNull().alias("unnamed"), identity.alias("id"), F.md5(text).alias("digest"))
+    has_words = F.coalesce(F.rlike(text, F.lit(WORD)), F.lit(False))
+    found = near_duplicates(docs.filter(has_words).select(at.alias("at"), text.alias("text")), "at", "text")
+    stays = materialize(found.select(F.col("component_id").alias("__at")).distinct(), "stays")
+    one = docs.filter(has_words).withColumn("__at", at).join(stays, "__at", "left_semi").dropDuplicates(["__at"])
+    return one.select(*docs.columns).unionByName(docs.filter(~has_words))

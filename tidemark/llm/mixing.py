@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .columns import word_count
+from .columns import WORD, word_count
 
 MOST = 3
 LEVELS = 5
@@ -78,33 +78,60 @@ def thresholds(units: DataFrame, budgets: DataFrame) -> DataFrame:
     return edge.select("source", F.col("prefix").alias("last"), half.alias("takes_last"))
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-        source_column: str = "source") -> DataFrame:
-    """(id, size, source_size, target, taken) of each row of ``docs``.
+def _source_key(source_column: str) -> Column:
+    """The source as a key that is never null: a null source and one named like its stand-in stay apart."""
+    source = F.col(source_column)
+    return F.concat(F.when(source.isNull(), "n").otherwise("s"), F.coalesce(source.cast("string"), F.lit("")))
 
-    Every document of a source is taken as many whole times as its target covers the source; what
-    remains of the target is a budget that takes documents in hash order once more, up to the hash
-    where it is used up. So no document is taken more than three times, and rerunning gives the
-    same mix. Rows with one id (or, without an id, one text) share a hash and go together. A null source is a
-    source of its own; a null or wordless text has size 0. Other columns are not read.
-    """
-    # A null source and a source named like its stand-in stay apart by the leading mark.
-    key = F.concat(F.when(F.col(source_column).isNull(), "n").otherwise("s"), F.coalesce(F.col(source_column).cast("string"), F.lit("")))
+
+def _copies(document: Column, of: str = "") -> Column:
+    """How often a document with this hash is taken, beside its source's row of the plan."""
+    last = F.col(f"{of}last")
+    more = (document < last) | ((document == last) & F.col(f"{of}takes_last"))
+    return F.col(f"{of}copies") + F.when((F.col(f"{of}budget") > 0) & F.coalesce(more, F.lit(False)), 1).otherwise(0)
+
+
+def _plan(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> tuple[DataFrame, DataFrame]:
+    """Sizes and hashes of all documents, and per source its target, whole copies, budget and last hash."""
     units = materialize(docs.select(
-        F.col(id_column).alias("id"), key.alias("source"),
+        F.col(id_column).alias("id"), _source_key(source_column).alias("source"),
         document_hash(F.col(id_column), F.col(text_column)).alias("hash"),
         word_count(F.col(text_column)).alias("size")), "sizes")
     sizes = units.groupBy("source").agg(F.sum("size").alias("source_size"))
     named = sizes.select(F.when(F.col("source") != "n", F.substr("source", F.lit(2))).alias("source"), "source_size")
-    aims = targets(named).select(
-        F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))).alias("source"),
-        "source_size", "target")
+    aims = targets(named).select(_source_key("source").alias("source"), "source_size", "target")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     aims = materialize(aims.withColumn("copies", whole).withColumn(
         "budget", F.col("target") - F.col("copies") * F.col("source_size")), "targets")
     last = thresholds(units.select("source", "hash", "size"), aims.filter("budget > 0").select("source", "budget"))
-    plan = materialize(aims.join(last, "source", "left"), "plan")
-    more = (F.col("hash") < F.col("last")) | ((F.col("hash") == F.col("last")) & F.col("takes_last"))
-    copies = F.col("copies") + F.when((F.col("budget") > 0) & F.coalesce(more, F.lit(False)), 1).otherwise(0)
-    return units.join(plan, "source").select("id", "size", "source_size", "target",
-                                             (F.col("size") * copies).cast("long").alias("taken"))
+    return units, materialize(aims.join(last, "source", "left"), "plan")
+
+
+def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+        source_column: str = "source") -> DataFrame:
+    """(id, size, source_size, target, taken) of each row of ``docs``.
+
+    Every document of a source is taken as many whole times as its target covers the source; what
+    remains of the target is a budget that takes documents in hash order once more, up to the hash
+    where it is used up. So no document is taken more than three times, and rerunning gives the
+    same mix. Rows with one id (or, without an id, one text) share a hash and go together. A null source is a
+    source of its own; a null or wordless text has size 0. Other columns are not read.
+    """
+    units, plan = _plan(docs, id_column, text_column, source_column)
+    return units.join(plan, "source").select(
+        "id", "size", "source_size", "target", (F.col("size") * _copies(F.col("hash"))).cast("long").alias("taken"))
+
+
+def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+             source_column: str = "source") -> DataFrame:
+    """Each row of ``docs`` as many times as ``mix`` takes it, in its own columns; rows without words go."""
+    plan = _plan(docs, id_column, text_column, source_column)[1]
+    inner = docs.withColumns({
+        "__source": _source_key(source_column),
+        "__hash": document_hash(F.col(id_column), F.col(text_column)),
+    })
+    taken = inner.join(plan.select(F.col("source").alias("__source"), F.struct("copies", "budget", "last", "takes_last").alias("__plan")),
+                       "__source")
+    times = F.when(F.rlike(F.col(text_column), F.lit(WORD)), _copies(F.col("__hash"), "__plan.")).otherwise(0)
+    return (taken.withColumn("__times", times).filter("__times > 0")
+            .withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns))

@@ -213,3 +213,11 @@ def op7_quality_rules(spark, sf_dir):
     from .quality_trees import verdicts
 
     return verdicts(documents(spark, sf_dir), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
+@register()
+def op1_substring_dedup(spark, sf_dir):
+    from .substring_dedup import repeated_passages
+
+    found = repeated_passages(documents(spark, sf_dir))
+    return found.withColumnsRenamed({"id": "doc_id", "kept_id": "kept_doc_id"})

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -387,3 +388,14 @@ def scores(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
 def held_out(doc_id: Column) -> Column:
     """Rows that no training sees: crc32 of the id as text leaves 2 when divided by 4; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def probability(spark, model: Model):
+    """A column function: the probability that a text is toxic, as in ``scores``."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.probability(pa.array(texts.where(texts.notna(), None), pa.large_string())))
+
+    return of
