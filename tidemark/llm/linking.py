@@ -11,6 +11,10 @@ from ..session import local_frame, materialize
 from .components import components
 
 
+#: Keys of an item that go with each of its rows, one per hash slot, so that their number is bounded.
+CARRIED = 32
+
+
 def similar(a: Column, b: Column, percent: int) -> Column:
     """100 * intersection >= percent * union, for arrays without repetitions."""
     shared = F.size(F.array_intersect(a, b))
@@ -28,11 +32,18 @@ def linked_components(members: DataFrame, check: Callable[[DataFrame], DataFrame
     has then met its whole key, so it leaves the key; a key whose members have become one
     component leaves altogether. The rounds end when no key holds two components, so the
     components are those of comparing all pairs. A key of n copies of one text costs n
-    comparisons, and only a key whose members are truly unlike each other needs more.
+    comparisons, and only a key whose members are truly unlike each other needs more. Items that share
+    many keys meet in the first of them: every row carries the ``CARRIED`` first keys of its
+    item, and a join row with a smaller common one is not made. A pair beyond those may meet
+    again and is found out by its ids.
     """
     item_type = members.schema["item"].dataType.simpleString()
     tried = local_frame(members.sparkSession, f"a {item_type}, b {item_type}")
-    active = members.select("key", "item", "n", F.col("item").alias("component"))
+    firsts = (
+        members.groupBy("item", F.pmod(F.xxhash64("key"), F.lit(CARRIED)).alias("slot")).agg(F.min("key").alias("first"))
+        .groupBy("item").agg(F.array_sort(F.collect_set("first")).alias("firsts"))
+    )
+    active = members.join(firsts, "item").select("key", "item", "n", "firsts", F.col("item").alias("component"))
     known = members.select("item", F.col("item").alias("component")).distinct()
     turn = 0
     while True:
@@ -46,13 +57,14 @@ def linked_components(members: DataFrame, check: Callable[[DataFrame], DataFrame
         slot = F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(1 << min(2 * turn, 20)))
         leaders = materialize(
             active.groupBy("key", slot.alias("slot"))
-            .agg(F.min(F.struct("item", "component", "n")).alias("leader"))
+            .agg(F.min(F.struct("item", "component", "n", "firsts")).alias("leader"))
             .select("key", F.col("leader.item").alias("leader"), F.col("leader.component").alias("its_component"),
-                    F.col("leader.n").alias("its_n")), "leaders")
+                    F.col("leader.n").alias("its_n"), F.col("leader.firsts").alias("its_firsts")), "leaders")
         pairs = (
             active.join(leaders, "key")
             .filter((F.col("component") != F.col("its_component"))
-                    & (100 * F.least("n", "its_n") >= percent * F.greatest("n", "its_n")))
+                    & (100 * F.least("n", "its_n") >= percent * F.greatest("n", "its_n"))
+                    & (F.coalesce(F.array_min(F.array_intersect("firsts", "its_firsts")), F.col("key")) >= F.col("key")))
             .select(F.least("item", "leader").alias("a"), F.greatest("item", "leader").alias("b"),
                     F.least("component", "its_component").alias("low"), F.greatest("component", "its_component").alias("high"))
             .distinct()

@@ -96,8 +96,8 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
     Paragraphs count as the same if 100 * shared >= 75 * all five-word shingles, directly or over a chain of
     others; letters A-Z count as small ones. Of each cluster the document with the smallest id,
-    ``kept_id``, keeps its text. In all others the paragraphs are to be removed; overlapping ones of a text make
-    one row, from code point ``start`` to before ``end``, ``kept_id`` being the smallest of theirs. A passage of 50 words or more
+    ``kept_id``, keeps its text. In all others the paragraphs are to be removed; those of a text that begin at most
+    28 words apart (two anchors are never further, so at most 8 words lie between) make one row, from code point ``start`` to before ``end``, ``kept_id`` being the smallest of theirs. A passage of 50 words or more
     that repeats exactly is always found, at least 20 words of it; one that repeats within one document only is
     not reported. Texts of fewer than 20 words, null texts and rows with a null id take no part;
     rows equal in id are one document. Other columns are not read.
@@ -138,8 +138,8 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     owners = spread.join(across, "cluster").select("item", "kept_id")
     gone = places.select("id", "word", "start", "end", "item").join(owners, "item").filter(F.col("id") > F.col("kept_id"))
     in_text = Window.partitionBy("id").orderBy("word")
-    reached = F.max("end").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
-    opened = gone.withColumn("opens", (F.coalesce(reached, F.lit(-1)) < F.col("start")).cast("int"))
+    reached = F.max(F.col("word") + REACH).over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    opened = gone.withColumn("opens", (F.coalesce(reached, F.lit(-1)) < F.col("word")).cast("int"))
     return (
         opened.withColumn("run", F.sum("opens").over(in_text)).groupBy("id", "run")
         .agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"),
