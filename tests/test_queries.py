@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidemark import registry
 
 from .conftest import SF_DIR
 
@@ -36,13 +37,17 @@ def _comparable(rows):
     return sorted((tuple(value(v) for v in row) for row in rows), key=lambda r: [(v is None, str(v)) for v in r])
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(registry.QUERIES))
 def test_query_agrees_with_sql(spark, duck, key):
-    df = entry.queries()[key](spark, SF_DIR)
+    agrees(spark, duck, entry.queries()[key], entry.oracle_sql()[key])
+
+
+def agrees(spark, duck, query, sql):
+    df = query(spark, SF_DIR)
     columns = sorted(df.columns)
     rows = _comparable(df.select(columns).collect())
     assert rows, "a query must find something on the small tables"
-    relation = duck.sql(entry.oracle_sql()[key])
+    relation = duck.sql(sql)
     assert sorted(relation.columns) == columns
     types = dict(zip(relation.columns, map(str, relation.types)))
     assert {f.name: SAME_TYPES[f.dataType.simpleString()] for f in df.schema} == types

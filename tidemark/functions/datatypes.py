@@ -47,13 +47,21 @@ def spark_type(text: str) -> T.DataType:
 _DECIMAL = r"^decimal\((\d+),(\d+)\)\z"
 
 
+def _written(text: Column) -> Column:
+    """One spelling per type: small letters, no blanks, ``int`` and ``bigint``."""
+    text = F.regexp_replace(F.lower(text), r"\s+", "")
+    for pattern, spelling in ((r"\binteger\b(?!:)", "int"), (r"\blong\b(?!:)", "bigint")):
+        text = F.regexp_replace(text, pattern, spelling)
+    return text
+
+
 def type_change(old: Column | str, new: Column | str) -> Column:
     """``same``, ``widen`` or ``refuse`` for a change between two written types.
 
-    Spark alone is no guard: some narrowing reads fail late, others silently succeed.
+    Case, blanks and synonyms do not matter. Spark alone is no guard: some narrowing reads fail
+    late, others silently succeed.
     """
-    old = F.col(old) if isinstance(old, str) else old
-    new = F.col(new) if isinstance(new, str) else new
+    old, new = (_written(F.col(c) if isinstance(c, str) else c) for c in (old, new))
 
     def digits(c: Column, group: int) -> Column:
         return F.regexp_extract(c, _DECIMAL, group).try_cast("int")

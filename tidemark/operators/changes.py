@@ -29,12 +29,14 @@ def _replace_rows(table: DataFrame, per_key: DataFrame, keys: Sequence[str], ima
     # anti-join broadcasts a small change set and the table itself is not shuffled.
     changed = materialize(per_key, "changes")
     kept = table.join(changed.select(*keys), list(keys), "left_anti")
-    rows = changed.filter(F.col("op") != gone).select(f"{image}.*")
+    message = F.concat(F.lit(f"no image {image} the "), F.col("op"), F.lit(" of a row"))
+    whole = F.when(F.col(image).isNotNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    rows = changed.filter(F.col("op") != gone).filter(whole).select(f"{image}.*")
     return kept.unionByName(rows.select(*table.columns))
 
 
 def apply_changes(table: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The table after the changes; the last change of each key counts."""
+    """The table after the changes; the last change of each key counts. Fails if its image is missing."""
     last = changes.groupBy(*keys).agg(
         F.max_by(F.struct("op", "after"), F.struct("version", "seq")).alias("last")
     ).select(*keys, "last.*")
@@ -42,7 +44,10 @@ def apply_changes(table: DataFrame, changes: DataFrame, keys: Sequence[str]) ->
 
 
 def revert_changes(table: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The table before the changes; the first change of each key holds the older image."""
+    """The table before the changes; the first change of each key holds the older image.
+
+    Fails if that image is missing; see :func:`irreversible`.
+    """
     first = changes.groupBy(*keys).agg(
         F.min_by(F.struct("op", "before"), F.struct("version", "seq")).alias("first")
     ).select(*keys, "first.*")

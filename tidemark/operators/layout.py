@@ -90,21 +90,24 @@ def between(df: DataFrame, schema: T.StructType, spec: Sequence[PartitionField],
             low: Column, high: Column) -> DataFrame:
     """Rows with ``low <= source <= high``, pruned to the partitions that can hold them.
 
-    Every transform but the bucket keeps the order of its source, so the bounds carry over.
+    Every transform but the bucket keeps the order of its source, so the bounds carry over. A NULL
+    partition column says nothing about a row: its file may be older than the field.
     """
     result = df.filter(F.col(source).between(low, high))
     for f in spec:
         if f.source == source and f.transform != "bucket":
             kind = schema[source].dataType
-            result = result.filter(
-                F.col(f.column).between(f.value(schema, low.cast(kind)), f.value(schema, high.cast(kind)))
-            )
+            inside = F.col(f.column).between(f.value(schema, low.cast(kind)), f.value(schema, high.cast(kind)))
+            result = result.filter(inside | F.col(f.column).isNull())
     return result
 
 
 def equal_to(df: DataFrame, schema: T.StructType, spec: Sequence[PartitionField], source: str,
              value) -> DataFrame:
-    """Rows whose source equals a literal, pruned by every transform of it, buckets included."""
+    """Rows whose source equals a literal, pruned by every transform of it, buckets included.
+
+    As in :func:`between`, files older than a partition field are read as well.
+    """
     kind = schema[source].dataType
     literal = F.lit(value).cast(kind)
     fields = [f for f in spec if f.source == source]
@@ -113,7 +116,8 @@ def equal_to(df: DataFrame, schema: T.StructType, spec: Sequence[PartitionField]
         # One row on the driver: a bucket of a text is not a constant Catalyst can fold.
         known = df.sparkSession.range(1).select(*[f.value(schema, literal).alias(f.column) for f in fields]).first()
         for f in fields:
-            result = result.filter(F.col(f.column) == F.lit(known[f.column]))
+            column = F.col(f.column)
+            result = result.filter((column == F.lit(known[f.column])) | column.isNull())
     return result
 
 

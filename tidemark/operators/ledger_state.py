@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import join_per_key, top_per_scope
+from .skew import top_per_scope
 
 KEY = ("scope", "version")
 
@@ -42,6 +44,13 @@ def applied(log: DataFrame) -> DataFrame:
     return latest(log).filter("is_deleted = 0")
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``left`` joined to ``right`` on keys of which NULL equals NULL, as it does in :func:`latest`."""
+    right = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return left.join(right, same, how).drop(*[f"_of_{k}" for k in keys])
+
+
 def pending(defined: DataFrame, done: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Defined rows whose key has not been applied, in ascending key order."""
     return unapplied(defined, done, keys).orderBy(*keys)
@@ -49,14 +58,14 @@ def pending(defined: DataFrame, done: DataFrame, keys: Sequence[str] = KEY) -> D
 
 def unapplied(defined: DataFrame, done: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """As :func:`pending` without the order, for plans that sort or aggregate later."""
-    return defined.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    return join_keys(defined, done.select(*keys).distinct(), keys, "left_anti")
 
 
 def exists(asked: DataFrame, done: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """For each asked key: how often it was asked and whether it is applied."""
     per_key = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_asked"))
     present = done.select(*keys).distinct().withColumn("is_applied", F.lit(True))
-    return per_key.join(present, list(keys), "left").withColumn(
+    return join_keys(per_key, present, keys, "left").withColumn(
         "is_applied", F.coalesce("is_applied", F.lit(False))
     )
 
@@ -80,12 +89,9 @@ def latest_batch(done: DataFrame) -> DataFrame:
 
 
 def latest_batch_per_scope(done: DataFrame) -> DataFrame:
-    per_scope = done.groupBy("scope").agg(F.max("apply_time").alias("_newest"))
-    return (
-        join_per_key(done, per_scope, ["scope"], spread_by=["version"])
-        .filter("apply_time = _newest")
-        .drop("_newest")
-    )
+    """Rows that share the greatest apply time of their scope. The time spreads a hot scope over the join."""
+    newest = done.groupBy("scope").agg(F.max("apply_time").alias("apply_time")).filter("apply_time IS NOT NULL")
+    return join_keys(done, newest, ("scope", "apply_time"), "left_semi")
 
 
 def count_applied(done: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import version_key
-from ..operators.ledger_state import KEY, unapplied, without_base
+from ..operators.ledger_state import KEY, join_keys, unapplied, without_base
 from ..operators.skew import join_per_key, join_same, top_per_scope, with_ordinal
 
 
@@ -88,7 +88,7 @@ def apply_report(planned: DataFrame, done: DataFrame) -> DataFrame:
     """How far a plan got in each scope: steps applied, steps cancelled, steps in all."""
     present = done.select(*KEY).distinct().withColumn("_present", F.lit(1))
     return (
-        planned.select(*KEY).join(present, list(KEY), "left")
+        join_keys(planned.select(*KEY), present, KEY, "left")
         .groupBy("scope")
         .agg(
             F.count("_present").alias("n_applied"),

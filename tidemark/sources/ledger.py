@@ -49,7 +49,9 @@ def from_properties(bags: DataFrame, properties: str = "properties") -> DataFram
         .select(
             *others,
             F.substring("key", len(PROPERTY_PREFIX) + 1, 2**31 - 1).alias("version"),
-            F.col("value").cast("bigint").alias("apply_time"),
+            F.when(F.rlike("value", F.lit(r"^[+-]?\d+\z")), F.col("value").cast("bigint"))
+            .otherwise(F.raise_error(F.concat(F.lit("no integer: "), F.coalesce("value", F.lit("NULL")))).cast("bigint"))
+            .alias("apply_time"),
         )
     )
 

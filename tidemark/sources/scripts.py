@@ -39,7 +39,8 @@ def scan_scripts(spark: SparkSession, path: str, direction: str | None = "up",
         rows = rows.filter(F.col("file").endswith(f".{direction}.sql"))
     if strict:
         message = F.concat(F.lit("bad script name: "), F.col("file"))
-        rows = rows.withColumn("file", F.when(F.col("script.valid"), F.col("file")).otherwise(F.raise_error(message)))
+        # A condition is evaluated whatever columns are read later.
+        rows = rows.filter(F.when(F.col("script.valid"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
     else:
         rows = rows.filter("script.valid")
     return rows.select("file", "body", "script.version", "script.name", "script.safe", "script.direction")
