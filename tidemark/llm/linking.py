@@ -27,7 +27,7 @@ def linked_components(members: DataFrame, check: Callable[[DataFrame], DataFrame
     Two items are compared when they share a key, their sizes ``n`` allow ``percent``, and no
     chain of links joins them yet. ``check`` takes pairs (a, b, ...) and adds the boolean ``linked``.
 
-    Each round names one leader per key and hash slot, four times as many slots as the round before.
+    Each round names one leader per key and hash slot, sixteen times as many slots as the round before.
     Every other member of the key is compared with the leaders outside its component. A leader
     has then met its whole key, so it leaves the key; a key whose members have become one
     component leaves altogether. The rounds end when no key holds two components, so the
@@ -54,7 +54,7 @@ def linked_components(members: DataFrame, check: Callable[[DataFrame], DataFrame
         active = materialize(active.join(open_keys, "key", "left_semi"), "members")
         if active.isEmpty():
             return known
-        slot = F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(1 << min(2 * turn, 20)))
+        slot = F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(1 << min(4 * turn, 20)))
         leaders = materialize(
             active.groupBy("key", slot.alias("slot"))
             .agg(F.min(F.struct("item", "component", "n", "firsts")).alias("leader"))
