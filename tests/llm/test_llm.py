@@ -259,6 +259,21 @@ def test_a_group_of_edited_copies(spark):
     assert got == want and len(set(want.values())) > 1
 
 
+def test_a_shared_passage_links_only_what_it_fills(spark):
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    few = [f"f{i}" for i in range(9)]
+    rows = []
+    for i in range(90):
+        own = [rng.choice(few) if i % 3 else f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(24))]
+        cut = rng.randrange(len(own) + 1)
+        rows.append((i, " ".join(own[:cut] + passage + own[cut:])))
+    sets = {i: shingles(t) for i, t in rows}
+    want = near(sets)
+    got = {r.id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 1 < len(set(want.values())) < len(rows)
+
+
 # op 9
 
 def test_merge_replay_like_the_library():

@@ -22,9 +22,12 @@ def similar(a: Column, b: Column, percent: int) -> Column:
 
 
 def linked_components(members: DataFrame, check: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(item, component) of every item of ``members`` (key, item, n); one without a link is its own component.
+    """(item, component) of every item of ``members`` (key, item, n[, left]); one without a link is its own component.
 
-    Two items are compared when they share a key, their sizes ``n`` allow ``percent``, and no
+    ``left`` is the number of values of the item that others have too, from ``key`` on in the order of the keys (``n``
+    if not given). A pair
+    shares no more than the smaller ``left`` at its first common key, so a pair that is compared there or nowhere loses
+    no link. Two items are compared when they share a key, ``left`` and their sizes ``n`` allow ``percent``, and no
     chain of links joins them yet. ``check`` takes pairs (a, b, ...) and adds the boolean ``linked``.
 
     Each round names one leader per key and hash slot, sixteen times as many slots as the round before.
@@ -38,12 +41,14 @@ def linked_components(members: DataFrame, check: Callable[[DataFrame], DataFrame
     again and is found out by its ids.
     """
     item_type = members.schema["item"].dataType.simpleString()
+    if "left" not in members.columns:
+        members = members.withColumn("left", F.col("n"))
     tried = local_frame(members.sparkSession, f"a {item_type}, b {item_type}")
     firsts = (
         members.groupBy("item", F.pmod(F.xxhash64("key"), F.lit(CARRIED)).alias("slot")).agg(F.min("key").alias("first"))
         .groupBy("item").agg(F.array_sort(F.collect_set("first")).alias("firsts"))
     )
-    active = members.join(firsts, "item").select("key", "item", "n", "firsts", F.col("item").alias("component"))
+    active = members.join(firsts, "item").select("key", "item", "n", "left", "firsts", F.col("item").alias("component"))
     known = members.select("item", F.col("item").alias("component")).distinct()
     turn = 0
     while True:
@@ -57,13 +62,15 @@ def linked_components(members: DataFrame, check: Callable[[DataFrame], DataFrame
         slot = F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(1 << min(4 * turn, 20)))
         leaders = materialize(
             active.groupBy("key", slot.alias("slot"))
-            .agg(F.min(F.struct("item", "component", "n", "firsts")).alias("leader"))
+            .agg(F.min(F.struct("item", "component", "n", "left", "firsts")).alias("leader"))
             .select("key", F.col("leader.item").alias("leader"), F.col("leader.component").alias("its_component"),
-                    F.col("leader.n").alias("its_n"), F.col("leader.firsts").alias("its_firsts")), "leaders")
+                    F.col("leader.n").alias("its_n"), F.col("leader.left").alias("its_left"), F.col("leader.firsts").alias("its_firsts")), "leaders")
         pairs = (
             active.join(leaders, "key")
             .filter((F.col("component") != F.col("its_component"))
                     & (100 * F.least("n", "its_n") >= percent * F.greatest("n", "its_n"))
+                    # The intersection of a linked pair is percent / (100 + percent) of both sizes together.
+                    & ((100 + percent) * F.least("left", "its_left") >= percent * (F.col("n") + F.col("its_n")))
                     & (F.coalesce(F.array_min(F.array_intersect("firsts", "its_firsts")), F.col("key")) >= F.col("key")))
             .select(F.least("item", "leader").alias("a"), F.greatest("item", "leader").alias("b"),
                     F.least("component", "its_component").alias("low"), F.greatest("component", "its_component").alias("high"))

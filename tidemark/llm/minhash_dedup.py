@@ -104,11 +104,11 @@ def _estimated(a: Column, b: Column) -> Column:
 
 
 def rare_postings(items: DataFrame, values: str, need: Column) -> DataFrame:
-    """(key, item, n): of each item's ``values`` (array) the rarest that a linked pair cannot all miss.
+    """(key, item, n, left): of each item's ``values`` (array) the rarest that a linked pair cannot all miss.
 
     A pair that shares ``need`` values also shares one of the size - need + 1 that come first in any
-    common order; the order here is by number of items, then value. Values of one item alone come
-    first of all and are not returned.
+    common order; the order here is by number of items, then value, and a key is the struct of both. Values of one item
+    alone come first of all and are not returned. ``left`` counts the values from the key on, itself included.
     """
     postings = items.select("item", "n", F.size(values).alias("kept"), need.alias("need"), F.explode(values).alias("key"))
     common = postings.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
@@ -118,8 +118,9 @@ def rare_postings(items: DataFrame, values: str, need: Column) -> DataFrame:
     )
     room = F.size("shared") - F.col("need") + 1
     return (
-        listed.filter(room > 0).select("item", "n", F.explode(F.slice("shared", F.lit(1), room)).alias("at"))
-        .select(F.col("at.key").alias("key"), "item", "n")
+        listed.filter(room > 0)
+        .select("item", "n", F.size("shared").alias("size"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("at", "key"))
+        .select("key", "item", "n", (F.col("size") - F.col("at")).alias("left"))
     )
 
 
