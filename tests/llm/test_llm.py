@@ -128,6 +128,25 @@ def test_lines(spark, awkward, nothing):
     assert line_runs.without_later_copies(nothing).count() == 0
 
 
+def test_runs_of_every_length(spark):
+    rng = random.Random(8)
+    three, seven = [f"{i:020d}" for i in range(3)], [f"s{i:011d}" for i in range(7)]
+    rows = [(1, "\n".join([*three, "x", *seven])), (2, "\n".join(["y", *three, "z"])), (3, "\n".join([*seven, "u", *three]))]
+    pool = ["", "ab", "cde" * 3, "f" * 11, "g" * 23, "h" * 60]
+    rows += [(10 + i, "\n".join(rng.choices(pool, [5, 4, 3, 3, 2, 1], k=rng.randrange(1, 40)))) for i in range(25)]
+    seen, places = {}, [(i, p, n) for i, t in rows for p in range(len(t.split("\n"))) for n in range(1, len(t.split("\n")) - p + 1)]
+    lines = {i: t.split("\n") for i, t in rows}
+    gone = {i: set() for i in lines}
+    for i, p, n in sorted(places):
+        run = tuple(lines[i][p:p + n])
+        if seen.setdefault(run, (i, p)) < (i, p) and sum(map(len, run)) >= 50:
+            gone[i] |= set(range(p, p + n))
+    got = line_runs.without_later_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = {i: "\n".join(x for p, x in enumerate(lines[i]) if p not in gone[i]) for i in lines}
+    assert {r.doc_id: (r.text, r.n_deleted) for r in got.collect()} == {i: (want[i], len(gone[i])) for i in lines}
+    assert want[2] == "y\nz" and want[3] == "u"
+
+
 # op 5
 
 def test_mix_keeps_to_its_targets(spark, awkward, nothing):

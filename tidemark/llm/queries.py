@@ -124,7 +124,8 @@ deduped AS (
 def op4_line_dedup(spark, sf_dir):
     from .line_runs import without_later_copies
 
-    return without_later_copies(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_deleted", "text")
+    # The SQL above says windows of 1, 2, 4, ... lines; the pipeline cuts runs of every length.
+    return without_later_copies(documents(spark, sf_dir), every_length=False).select("doc_id", "n_lines", "n_deleted", "text")
 
 
 @register()
