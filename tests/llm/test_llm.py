@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,25 @@ def test_clean_documents_are_left_alone(spark):
     assert {(r.id, r.kept_id) for r in found} == {(21, 20)}
 
 
+def test_no_link_of_paragraphs_is_lost(spark):
+    # Pairs of 20-word paragraphs that share 14 of 18 shingles, the loosest link that there is.
+    rng = random.Random(3)
+    rows = []
+    while len(rows) < 800:
+        text = [f"{rng.randrange(10**6)}" for _ in range(20)]
+        pair = [" ".join(text), " ".join([*text[:18], "edited", text[19]])]
+        if all(len(p[2]) for p in substring_dedup._paragraphs(pa.array(pair[:1]))) and all(
+                len(p[2]) for p in substring_dedup._paragraphs(pa.array(pair[1:]))):
+            rows += [(len(rows), pair[0]), (len(rows) + 1, pair[1])]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.id, r.kept_id) for r in found} == {(i + 1, i) for i in range(0, len(rows), 2)}
+
+
+def test_smallest_shingles_skip_repetitions():
+    rows = np.array([[7] * 12 + [9, 3, 8, 5], [1] * 16, list(range(16))], np.uint64)
+    assert [sorted(set(r)) for r in substring_dedup.smallest(rows).tolist()] == [[3, 5, 7, 8, 9], [1], [0, 1, 2, 3, 4]]
+
+
 # op 4
 
 def test_lines(spark, awkward, nothing):

@@ -1,4 +1,4 @@
-"""Repeated passages by MinHash banding of paragraphs.
+"""Repeated passages by the smallest shingle hashes of paragraphs.
 
 A paragraph is 20 words that begin at an anchor: among every 28 neighbouring three-word
 positions the one with the smallest hash is an anchor, so equal passages have equal anchors wherever they
@@ -21,10 +21,10 @@ from .minhash_dedup import rare_postings
 
 LENGTH, ANCHOR, REACH = 20, 3, 28
 SHINGLE, PERCENT = 5, 75
-#: Bands of two MinHash values each: one paragraph pair at 0.75 collides with a probability of 0.92, and a
-#: passage holds one paragraph per 15 words.
-BANDS, ROWS = 3, 2
 _INDEX = np.arange(LENGTH - SHINGLE + 1)
+#: Linked paragraphs share at least 75 of 100 shingles of either, so also one of the smallest n - ceil(0.75 n) + 1 of each; this
+#: is the most that any number n of different shingles needs.
+SMALLEST = max(n - -(-n * PERCENT // 100) + 1 for n in range(1, len(_INDEX) + 1))
 
 
 def anchors(words: np.ndarray) -> np.ndarray:
@@ -72,17 +72,22 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(sizes, pa.array(values.view(np.int64).ravel()))
 
 
+def smallest(shingles: np.ndarray) -> np.ndarray:
+    """The ``SMALLEST`` smallest different shingles of each paragraph; the smallest again where there are fewer."""
+    found = np.sort(shingles, 1)
+    again = np.zeros(found.shape, bool)
+    again[:, 1:] = found[:, 1:] == found[:, :-1]
+    order = np.argsort(again, 1, kind="stable")[:, :SMALLEST]
+    return np.where(np.take_along_axis(again, order, 1), found[:, :1], np.take_along_axis(found, order, 1))
+
+
 def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salts = W.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     for batch in batches:
         for low, text, at, begin, end, shingles, prints in _paragraphs(batch.column(1)):
-            least = [W.mix(shingles ^ s).min(1) for s in salts] if len(text) else [np.zeros(0, np.uint64)] * len(salts)
-            bands = [W.mix(sum((least[b * ROWS + r] * np.uint64(2 * r + 3) for r in range(ROWS)), np.uint64(b)))
-                     for b in range(BANDS)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(low + text)), pa.array(at.astype(np.int32)), pa.array(begin.astype(np.int32)),
-                 pa.array(end.astype(np.int32)), _binary(prints), _lists(np.stack(bands, 1))],
-                ["id", "word", "start", "end", "item", "bands"])
+                 pa.array(end.astype(np.int32)), _binary(prints), _lists(np.ascontiguousarray(smallest(shingles)))],
+                ["id", "word", "start", "end", "item", "smallest"])
 
 
 def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,13 +111,13 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).filter(
         F.col("id").isNotNull() & F.col("text").isNotNull())
     places = materialize(texts.mapInArrow(
-        _place_batches, f"id {id_type}, word int, start int, end int, item binary, bands array<bigint>"), "paragraphs")
-    # Bands of one text alone cannot collide; equal paragraphs are one item.
-    items = places.groupBy("item").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("bands").alias("bands"))
+        _place_batches, f"id {id_type}, word int, start int, end int, item binary, smallest array<bigint>"), "paragraphs")
+    # Equal paragraphs are one item. A linked pair shares one of the smallest shingles of both, so none is lost here.
+    items = places.groupBy("item").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("smallest").alias("smallest"))
     items = materialize(items, "items")
-    keys = items.select("item", F.posexplode("bands").alias("band", "key"))
-    crowded = keys.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key")
-    met = materialize(keys.join(crowded, ["band", "key"], "left_semi").select("item").distinct(), "met")
+    keys = items.select("item", F.explode(F.array_distinct("smallest")).alias("key"))
+    crowded = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    met = materialize(keys.join(crowded, "key", "left_semi").select("item").distinct(), "met")
     chosen = items.join(met, "item", "left_semi").select(F.col("low").alias("id")).distinct()
     full = materialize(
         texts.join(chosen, "id", "left_semi").select("text").mapInArrow(_shingle_batches, "item binary, shingles array<bigint>")
