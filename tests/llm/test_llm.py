@@ -131,6 +131,28 @@ def test_no_link_of_paragraphs_is_lost(spark):
     assert {(r.id, r.kept_id) for r in found} == {(i + 1, i) for i in range(0, len(rows), 2)}
 
 
+def test_repeated_passages_are_covered(spark, docs):
+    rng = random.Random(13)
+    text = lambda n: [f"\u00e9{rng.randrange(10**6)}" for _ in range(n)]
+    passage = text(200)
+    rows = [(10**6 + i, " ".join(text(rng.randrange(60)) + passage[a:a + n] + text(rng.randrange(60))))
+            for i in range(60) for a, n in [(rng.randrange(140), rng.randrange(50, 61))]]
+    rows += [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    spans = {}
+    for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        spans.setdefault(r.id, []).append((r.start, r.end, r.n_words))
+    seen, checked = {}, 0
+    for i, t in sorted(rows):
+        w, places = words(t), [m.span() for m in WORD.finditer(t or "")]
+        for k in range(len(w) - 49):
+            if seen.setdefault(tuple(w[k:k + 50]), i) < i:
+                checked += 1
+                assert any(a <= places[k][0] and places[k + 49][1] <= b for a, b, _ in spans.get(i, [])), (i, k)
+        for a, b, n in spans.get(i, []):
+            assert len(words(t[a:b])) == n
+    assert checked > 100
+
+
 def test_smallest_shingles_skip_repetitions():
     rows = np.array([[7] * 12 + [9, 3, 8, 5], [1] * 16, list(range(16))], np.uint64)
     assert [sorted(set(r)) for r in substring_dedup.smallest(rows).tolist()] == [[3, 5, 7, 8, 9], [1], [0, 1, 2, 3, 4]]

@@ -41,6 +41,13 @@ def anchors(words: np.ndarray) -> np.ndarray:
     return picked[picked < n]
 
 
+def _prints(shingles: np.ndarray) -> np.ndarray:
+    """Fingerprints of paragraphs by their shingles in order."""
+    marks = W.mix(np.arange(1, 2 * len(_INDEX) + 1, dtype=np.uint64)) | np.uint64(1)
+    parts = [W.mix((shingles * marks[i * len(_INDEX):(i + 1) * len(_INDEX)]).sum(1, dtype=np.uint64)) for i in (0, 1)]
+    return np.ascontiguousarray(np.stack(parts, 1))
+
+
 def _paragraphs(texts: pa.Array) -> Iterator[tuple]:
     """Per slice: text numbers, first words, first and last code point, shingles (paragraphs x 16), fingerprints."""
     for low, high in W.slices(texts):
@@ -55,9 +62,7 @@ def _paragraphs(texts: pa.Array) -> Iterator[tuple]:
             shingles = W.shingle_hashes(words, SHINGLE)[place[:, None] + _INDEX]
         else:
             shingles = np.zeros((0, len(_INDEX)), np.uint64)
-        marks = W.mix(np.arange(1, 2 * len(_INDEX) + 1, dtype=np.uint64)) | np.uint64(1)
-        parts = [W.mix((shingles * marks[i * len(_INDEX):(i + 1) * len(_INDEX)]).sum(1, dtype=np.uint64)) for i in (0, 1)]
-        prints = np.ascontiguousarray(np.stack(parts, 1))
+        prints = _prints(shingles)
         begin = points[offsets[:-1]][text]
         yield low, text, at, points[start[place]] - begin, points[end[place + LENGTH - 1]] - begin, shingles, prints
 
@@ -96,14 +101,87 @@ def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([_binary(prints), _lists(shingles)], ["item", "shingles"])
 
 
+def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The 1 to ``REACH`` words before (side 0) or behind (side 1) the asked paragraphs, each as one key with the paragraph's item."""
+    steps = np.arange(REACH)
+    weights = W.mix(np.arange(1, REACH + 1, dtype=np.uint64)) | np.uint64(1)
+    for batch in batches:
+        for low, high in W.slices(batch.column(1)):
+            data, offsets = W.buffers(batch.column(1).slice(low, high - low))
+            words, start, end, first = W.hashed_words(data, offsets)
+            if len(words) < LENGTH:
+                continue
+            points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+            asked = batch.column(2).slice(low, high - low)
+            text = np.repeat(np.arange(high - low), asked.value_lengths().to_numpy())
+            asked = asked.flatten()
+            word, side = (asked.field(c).to_numpy() for c in ("word", "side"))
+            prints = np.frombuffer(b"".join(asked.field("item").to_pylist()), np.uint64).reshape(-1, 2)
+            # Of rows equal in id, only those whose text has the paragraph there.
+            fits = np.flatnonzero(word + LENGTH <= first[text + 1] - first[text])
+            shingles = W.shingle_hashes(words, SHINGLE)
+            fits = fits[(_prints(shingles[(first[text] + word)[fits][:, None] + _INDEX]) == prints[fits]).all(1)]
+            text, word, side, prints = text[fits], word[fits], side[fits], prints[fits]
+            at = (first[text] + word)[:, None] + np.where(side[:, None] == 0, -1 - steps, LENGTH + steps)
+            inside = (at >= first[text][:, None]) & (at < first[text + 1][:, None])
+            at = np.clip(at, 0, len(words) - 1)
+            keys = W.mix(np.cumsum(np.where(inside, words[at], np.uint64(0)) * weights, 1, dtype=np.uint64)
+                         + (2 * steps + 2 + side[:, None]).astype(np.uint64))
+            edge = np.where(side[:, None] == 0, points[start[at]], points[end[at]]) - points[offsets[:-1]][text][:, None]
+            row, step = np.nonzero(inside)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(low + text[row])), pa.array(word[row].astype(np.int32)),
+                 pa.array(side[row].astype(np.int32)), _binary(np.ascontiguousarray(prints[row])),
+                 pa.array(keys[row, step].view(np.int64)), pa.array((step + 1).astype(np.int32)),
+                 pa.array(edge[row, step].astype(np.int32))],
+                ["id", "word", "side", "item", "key", "reach", "edge"])
+
+
+def _extended(runs: DataFrame, texts: DataFrame, places: DataFrame, items: DataFrame) -> DataFrame:
+    """``runs`` with the words before and behind them that an earlier document has in the same place too.
+
+    The first and the last paragraph of a run are looked up with the 1, 2, ... words that go on from them in every text that
+    has the paragraph. A passage that repeats ends less than ``REACH`` words behind its last paragraph, and so before its first.
+    """
+    id_type = texts.schema["id"].dataType.simpleString()
+    ends = runs.select("id", "run", F.inline(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("first.word").alias("word"), F.col("first.item").alias("item")),
+        F.struct(F.lit(1).alias("side"), F.col("last.word").alias("word"), F.col("last.item").alias("item")))))
+    wanted = ends.select("item", "side").distinct().join(items.filter("low < high").select("item"), "item", "left_semi")
+    asked = (
+        places.select("id", "word", "item").join(wanted, "item").distinct()
+        .groupBy("id").agg(F.collect_list(F.struct("word", "item", "side")).alias("asked"))
+    )
+    contexts = materialize(texts.join(asked, "id").select("id", "text", "asked").mapInArrow(
+        _context_batches, f"id {id_type}, word int, side int, item binary, key bigint, reach int, edge int"), "contexts")
+    repeated = (
+        contexts.groupBy("item", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").drop("high")
+    )
+    grown = (
+        contexts.join(ends.select("id", "word", "side").distinct(), ["id", "word", "side"], "left_semi")
+        .join(repeated, ["item", "key"]).filter(F.col("id") > F.col("low"))
+        .groupBy("id", "word", "side").agg(F.max(F.struct("reach", "edge")).alias("far"))
+    )
+    by_run = (
+        ends.join(grown, ["id", "word", "side"]).groupBy("id", "run")
+        .agg(*[F.max(F.when(F.col("side") == n, F.col("far"))).alias(c) for n, c in enumerate(("before", "behind"))])
+    )
+    return runs.join(by_run, ["id", "run"], "left").select(
+        "id", "kept_id",
+        (F.col("first.word") - F.coalesce("before.reach", F.lit(0))).alias("from"),
+        (F.col("last.word") + LENGTH + F.coalesce("behind.reach", F.lit(0))).alias("to"),
+        F.coalesce("before.edge", "first.start").alias("start"), F.coalesce("behind.edge", "last.end").alias("end"))
+
+
 def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, start, end, n_words, kept_id): every passage of a document that an earlier document has too.
 
     Paragraphs count as the same if 100 * shared >= 75 * all five-word shingles, directly or over a chain of
     others; letters A-Z count as small ones. Of each cluster the document with the smallest id,
     ``kept_id``, keeps its text. In all others the paragraphs are to be removed; those of a text that begin at most
-    28 words apart (two anchors are never further, so at most 8 words lie between) make one row, from code point ``start`` to before ``end``, ``kept_id`` being the smallest of theirs. A passage of 50 words or more
-    that repeats exactly is always found, at least 20 words of it; one that repeats within one document only is
+    28 words apart (two anchors are never further, so at most 8 words lie between) make one row, from code point ``start`` to before ``end``, ``kept_id`` being the smallest of theirs. A row
+    goes on to both sides as far as an earlier document has the same words next to the same paragraph; rows that then meet are one. A passage of 50 words or more
+    that repeats exactly is always found, from its first to its last word; one that repeats within one document only is
     not reported. Texts of fewer than 20 words, null texts and rows with a null id take no part;
     rows equal in id are one document. Other columns are not read.
     """
@@ -145,9 +223,17 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     in_text = Window.partitionBy("id").orderBy("word")
     reached = F.max(F.col("word") + REACH).over(in_text.rowsBetween(Window.unboundedPreceding, -1))
     opened = gone.withColumn("opens", (F.coalesce(reached, F.lit(-1)) < F.col("word")).cast("int"))
+    runs = materialize(
+        opened.withColumn("run", F.sum("opens").over(in_text)).groupBy("id", "run")
+        .agg(F.min(F.struct("word", "start", "item")).alias("first"), F.max(F.struct("word", "end", "item")).alias("last"),
+             F.min("kept_id").alias("kept_id")), "runs")
+    spans = _extended(runs, texts, places, items)
+    in_text = Window.partitionBy("id").orderBy("from", "to")
+    reached = F.max("to").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("opens", (F.coalesce(reached, F.lit(-1)) < F.col("from")).cast("int"))
     return (
         opened.withColumn("run", F.sum("opens").over(in_text)).groupBy("id", "run")
         .agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"),
-             (F.max("word") - F.min("word") + LENGTH).cast("long").alias("n_words"), F.min("kept_id").alias("kept_id"))
+             (F.max("to") - F.min("from")).cast("long").alias("n_words"), F.min("kept_id").alias("kept_id"))
         .drop("run")
     )
