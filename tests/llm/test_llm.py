@@ -453,6 +453,18 @@ def test_rules_of_a_url(spark):
     assert not got[1] and not got[2]
 
 
+def test_deep_hosts_and_paths_are_covered(spark):
+    entries = ["b.c.shop.co.uk", "uk", "co.uk/s/t", "h.org/a/b", "h.org/a/b/c", "h.org/a/bc", "org/a", "c.shop.co.uk/s", "x.shop.co.uk"]
+    changes = [(e, e, 1, n, True) for n, e in enumerate(entries)]
+    captures = [(1, "http://a.x.b.c.shop.co.uk/s/t/?q", 5), (2, "https://h.org/a/b", 5), (3, "http://q.h.org/a/b/c/d#f", 5),
+                (4, "http://h.org", 5), (5, "http://uk/", 5), (6, None, 5)]
+    got = url_filters.url_decisions(
+        spark.createDataFrame(captures, "id long, url string, at long"),
+        spark.createDataFrame(changes, "rule string, category string, at long, seq long, listed boolean"))
+    assert {r.id: r.categories for r in got.collect()} == {
+        1: "b.c.shop.co.uk,c.shop.co.uk/s,co.uk/s/t,uk", 2: "h.org/a/b,org/a", 3: "h.org/a/b,h.org/a/b/c,org/a", 4: "", 5: "uk", 6: ""}
+
+
 def test_entries_hold_from_change_to_change(spark):
     changes = [("x.com", "c", 10, 1, True), ("x.com", "c", 20, 2, False), ("x.com", "c", 20, 3, True), ("x.com", "c", 10**11, 4, False),
                ("y.com", None, 5, 5, True), (None, "c", 1, 6, True), ("z.com", "c", None, 7, True)]

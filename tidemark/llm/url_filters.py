@@ -9,7 +9,7 @@ from ..session import materialize
 
 #: Width of the time buckets that spread a hot rule, in microseconds: one hour.
 BUCKET = 3_600_000_000
-#: Host names are looked up with this many trailing labels at most, besides the whole name.
+#: ``rules`` has the parent domains of two up to this many labels; ``covering`` has all.
 LABELS = 4
 
 
@@ -25,12 +25,27 @@ def section(url: Column) -> Column:
 
 
 def rules(url: Column) -> Column:
-    """The list entries that cover a URL: its host, that host's parent domains, and host with section."""
+    """The nearest list entries that cover a URL: its host, that host's parent domains up to ``LABELS``, and host with section."""
     name = host(url)
     parts = F.split(name, r"\.")
     parents = F.transform(F.sequence(F.lit(2), F.lit(LABELS)), lambda n: F.array_join(F.slice(
         parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), n), "."))
-    return F.array_compact(F.array_distinct(F.concat(F.array(name, F.concat_ws("/", name, section(url))), parents)))
+    return F.array_compact(F.array_distinct(F.concat(F.array(name, F.concat(name, F.lit("/"), section(url))), parents)))
+
+
+def covering(url: Column) -> Column:
+    """All list entries that cover a URL: its host and every parent domain, alone and with every prefix of the path.
+
+    A prefix is one or more whole parts of the path, without a slash at its end; ``rules`` has the host with a slash for an empty path.
+    """
+    labels = F.split(host(url), r"\.")
+    names = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    path = F.rtrim(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1), F.lit("/"))
+    parts = F.split(path, "/")
+    prefixes = F.transform(parts, lambda _, i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i + 1), "/")))
+    tails = F.concat(F.array(F.lit("")), F.filter(prefixes, lambda p: p != "/"))
+    pairs = F.flatten(F.transform(names, lambda name: F.transform(tails, lambda tail: F.concat(name, tail))))
+    return F.array_distinct(F.concat(rules(url), F.coalesce(pairs, F.array().cast("array<string>"))))
 
 
 def validity(changes: DataFrame) -> DataFrame:
@@ -74,7 +89,7 @@ def url_decisions(captures: DataFrame, changes: DataFrame) -> DataFrame:
     rows = materialize(captures.select(F.monotonically_increasing_id().alias("row"), "id", "url", "at"), "captures")
     span = rows.agg(F.min("at").alias("low"), F.max("at").alias("high"))
     asked = rows.filter(F.col("at").isNotNull()).select(
-        "row", "at", F.floor(F.col("at") / BUCKET).alias("bucket"), F.explode(rules(F.col("url"))).alias("rule"))
+        "row", "at", F.floor(F.col("at") / BUCKET).alias("bucket"), F.explode(covering(F.col("url"))).alias("rule"))
     # One row: the captures' first and last time.
     intervals = validity(changes).join(F.broadcast(span)).withColumn("low", F.greatest("since", "low")).withColumn(
         "high", F.least(F.coalesce(F.col("until") - 1, F.col("high")), "high"))
