@@ -146,3 +146,24 @@ def test_a_version_staged_in_part_is_not_defined(spark, log):
     log.store.stage("t", spark.createDataFrame([], log.store.staged("t", log.tables["t"].base.schema).schema), "240106_000000_v6")
     assert log.pending().count() == len(VERSIONS)
     assert log.up() == VERSIONS and log.up() == []
+
+
+def test_very_many_versions_are_read_and_folded(log):
+    log.up(2, 10)
+    log.store.commit([f"230101_{n:06d}_old" for n in range(100_001)], 5)
+    want = {1: "A", 3: "c", 4: "d"}
+    assert {r.id: r.v for r in log.rows("t").collect()} == want
+    assert log.fold() == 1
+    assert {r.id: r.v for r in log.rows("t").collect()} == want
+    assert log._fitting_fold(log.applied())[0] == 1
+
+
+def test_a_command_is_one_commit(log):
+    def commits():
+        return log.store.commits().select("n").distinct().count()
+
+    for n, call in enumerate((lambda: log.up(None, 10), lambda: log.redo(3, 100), lambda: log.down(4), lambda: log.up(2, 200),
+                              lambda: log.to(VERSIONS[0])), 1):
+        call()
+        assert commits() == n
+    assert log.down(1) == VERSIONS[:1] and log.down(1) == [] and commits() == 6

@@ -81,17 +81,27 @@ class BatchStore:
     def is_committed(self, batch_id: str) -> bool:
         return not self.committed().filter(F.col("batch_id") == batch_id).isEmpty()
 
-    def commit(self, batch_ids: Iterable[str], apply_time: int, strict: bool = True) -> list[str]:
-        """Make staged batches visible together. Applied ones raise, or are skipped if not strict."""
+    def commit(self, batch_ids: Iterable[str], apply_time: int, strict: bool = True, step: int = 0) -> list[str]:
+        """Make staged batches visible together, each ``step`` later. Applied ones raise, or are skipped if not strict."""
         wanted = list(batch_ids)
         known = self._live(wanted)
         if known and strict:
             raise AlreadyApplied(", ".join(sorted(known)))
         new = [b for b in wanted if b not in known]
         if new:
-            self._commit([{"batch_id": b, "apply_time": apply_time, "live": True} for b in new])
+            self._commit([{"batch_id": b, "apply_time": apply_time + i * step, "live": True} for i, b in enumerate(new)])
         return new
 
+    def renew(self, batch_ids: Iterable[str], apply_time: int, step: int = 0) -> list[str]:
+        """Give live batches new apply times together, as if they were taken back and made visible again."""
+        wanted = list(batch_ids)
+        gone = set(wanted) - set(self._live(wanted))
+        if gone:
+            raise NotApplied(", ".join(sorted(gone)))
+        if wanted:
+            self._commit([{"batch_id": b, "apply_time": apply_time + i * step, "live": True} for i, b in enumerate(wanted)])
+        return wanted
+
     def withdraw(self, batch_ids: Iterable[str]) -> None:
         """Take live batches back, newest commit wins; their files stay where they are."""
         wanted = list(batch_ids)

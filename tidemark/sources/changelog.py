@@ -26,9 +26,6 @@ from .batches import BatchStore, Refused
 
 _MARK = "_versions"
 
-# Versions are scripts written by people. A plan longer than this is refused, not cut.
-PLAN_LIMIT = 100_000
-
 
 @dataclass(frozen=True)
 class TrackedTable:
@@ -48,7 +45,7 @@ class ChangeLog:
         seen = self.spark.range(1).select(parse_version(F.lit(version)).alias("v")).first().v
         if not seen.valid or version == state.BASE_VERSION:
             raise Refused(f"{version}: {seen.reason or 'reserved'}")
-        if any(version in versions for versions in self._folds().values()):
+        if not self._folds().filter(F.col("version") == version).isEmpty():
             raise Refused(f"{version} is part of a fold; give the changed version a new name")
         for name, rows in changes.items():
             self.store.stage(name, rows.drop("batch_id"), version)
@@ -78,33 +75,48 @@ class ChangeLog:
 
     def rows(self, table: str) -> DataFrame:
         """The table with the changes of every applied version, in version order."""
-        return self._rows(table, set(self._versions(self.applied())))
+        return self._rows(table, self.applied().select("version"))
 
-    def _rows(self, table: str, live: set[str]) -> DataFrame:
+    def _rows(self, table: str, live: DataFrame) -> DataFrame:
         tracked = self.tables[table]
-        fold, folded = self._best_fold(live)
+        fold, folded = self._fitting_fold(live)
         base = tracked.base
         if fold is not None:
             base = self.spark.read.schema(base.schema).parquet(f"{self.store.path}/folds/{fold}/{table}")
         schema = change_schema(tracked.base.schema, tracked.keys)
-        changes = self.store.of_batches(table, schema, sorted(live - folded)).drop("batch_id")
+        unfolded = live.join(folded, "version", "left_anti").select(F.col("version").alias("batch_id"))
+        changes = self.store.staged(table, schema).join(unfolded, "batch_id", "left_semi").drop("batch_id")
         return apply_changes(base, changes, tracked.keys)
 
-    def _folds(self) -> dict[int, set[str]]:
+    def _folds(self) -> DataFrame:
+        """(fold, version) of every complete fold. Older folds hold their versions in the marker, newer ones beside the tables."""
         folder = f"{self.store.path}/folds"
         done = [n for n in files.names(self.spark, folder) if n.endswith(".json")]
         if not done:
-            return {}
-        found = self.spark.read.schema("fold int, versions array<string>, complete boolean").json(
-            [f"{folder}/{n}" for n in done])
-        return {r.fold: set(r.versions) for r in found.filter("complete").collect()}
+            return local_frame(self.spark, "fold int, version string")
+        marks = self.spark.read.schema("fold int, versions array<string>, complete boolean").json(
+            [f"{folder}/{n}" for n in done]).filter("complete")
+        found = marks.select("fold", F.explode("versions").alias("version"))
+        for row in marks.filter("versions IS NULL").select("fold").collect():
+            listed = self.spark.read.schema("version string").parquet(f"{folder}/{row.fold}/{_MARK}")
+            found = found.union(listed.select(F.lit(row.fold).alias("fold"), "version"))
+        return found
+
+    def _fitting_fold(self, live: DataFrame) -> tuple[int | None, DataFrame]:
+        """The newest fold that holds exactly the ``live`` versions up to its last one, and its versions."""
+        folds, live = self._folds().distinct(), live.select("version").distinct()
+        ends = folds.groupBy("fold").agg(F.count("*").alias("n"), F.max("version").alias("last"))
+        held = folds.join(live, "version", "left_semi").groupBy("fold").agg(F.count("*").alias("held"))
+        # One row per fold.
+        upto = live.join(F.broadcast(ends), F.col("version") <= F.col("last")).groupBy("fold").agg(F.count("*").alias("upto"))
+        fits = ends.join(held, "fold").join(upto, "fold").filter("n = held AND n = upto")
+        fold = fits.agg(F.max("fold")).first()[0]
+        return fold, folds.filter(F.col("fold") == F.lit(fold)).select("version")
 
     def _best_fold(self, live: set[str]) -> tuple[int | None, set[str]]:
-        """The newest fold that holds exactly the live versions up to its last one."""
-        for fold, versions in sorted(self._folds().items(), reverse=True):
-            if versions == {v for v in live if v <= max(versions)}:
-                return fold, versions
-        return None, set()
+        """``_fitting_fold`` for a set of versions."""
+        fold, versions = self._fitting_fold(local_frame(self.spark, "version string", {"version": sorted(live)}))
+        return fold, {r.version for r in versions.collect()}
 
     def fold(self, upto: str | None = None) -> int | None:
         """Write all tables with the applied versions up to one, by default all but the newest batch.
@@ -112,24 +124,29 @@ class ChangeLog:
         Older folds and the change rows stay, so a version can still be reverted afterwards:
         reads then start from the newest fold without it.
         """
-        live = set(self._versions(self.applied()))
-        last = upto if upto is not None else max(live - set(self.store.newest()), default="")
-        wanted = {v for v in live if v[:13] <= last[:13]}
-        if not wanted:
+        live = self.applied()
+        last = upto
+        if last is None:
+            newest = F.broadcast(live.agg(F.max("apply_time").alias("top")))
+            last = live.join(newest, F.col("apply_time") < F.col("top")).agg(F.max("version")).first()[0]
+        wanted = live.filter(F.substring("version", 1, 13) <= F.lit((last or "")[:13])).select("version")
+        if wanted.isEmpty():
             return None
-        fold = max((int(n.split(".")[0]) for n in files.names(self.spark, f"{self.store.path}/folds")), default=0) + 1
+        folder = f"{self.store.path}/folds"
+        fold = max((int(n.split(".")[0]) for n in files.names(self.spark, folder)), default=0) + 1
+        # Written first, so that all tables hold the same versions.
+        wanted.write.parquet(f"{folder}/{fold}/{_MARK}")
+        wanted = self.spark.read.schema("version string").parquet(f"{folder}/{fold}/{_MARK}")
         for table in self.tables:
-            self._rows(table, wanted).write.parquet(f"{self.store.path}/folds/{fold}/{table}")
-        text = json.dumps({"fold": fold, "versions": sorted(wanted), "complete": True}) + "\n"
-        return fold if files.create_once(self.spark, f"{self.store.path}/folds/{fold}.json", text) else None
+            self._rows(table, wanted).write.parquet(f"{folder}/{fold}/{table}")
+        text = json.dumps({"fold": fold, "complete": True}) + "\n"
+        return fold if files.create_once(self.spark, f"{folder}/{fold}.json", text) else None
 
     # -- commands
 
     def _versions(self, plan: DataFrame) -> list[str]:
-        found = [r.version for r in plan.select("version").limit(PLAN_LIMIT + 1).collect()]
-        if len(found) > PLAN_LIMIT:
-            raise Refused(f"more than {PLAN_LIMIT} versions in one plan")
-        return found
+        """The versions of one command, which become one commit."""
+        return [r.version for r in plan.select("version").collect()]
 
     @staticmethod
     def _check(n: int | None) -> None:
@@ -137,30 +154,30 @@ class ChangeLog:
             raise ValueError("n must be at least 1")
 
     def _apply(self, versions: Sequence[str], apply_time: int | None) -> list[str]:
-        for i, version in enumerate(versions):
-            self.store.commit([version], int(time.time()) if apply_time is None else apply_time + i)
-        return list(versions)
+        """One commit; the apply times still count up, so each version is a batch of its own."""
+        return self.store.commit(versions, int(time.time()) if apply_time is None else apply_time, step=1)
 
     def _revert(self, versions: Sequence[str]) -> list[str]:
-        for version in versions:
-            self.store.withdraw([version])
+        if versions:
+            self.store.withdraw(versions)
         return list(versions)
 
     def up(self, n: int | None = None, apply_time: int | None = None) -> list[str]:
-        """Apply the first ``n`` pending versions one by one, oldest first; ``None`` means all."""
+        """Apply the first ``n`` pending versions in one commit, oldest first; ``None`` means all."""
         self._check(n)
         todo = self.pending()
         return self._apply(self._versions(todo if n is None else todo.limit(n)), apply_time)
 
     def down(self, n: int | None = 1) -> list[str]:
-        """Revert the newest ``n`` applied versions one by one, newest first."""
+        """Revert the newest ``n`` applied versions in one commit, newest first."""
         self._check(n)
         return self._revert(self._versions(self.history(n)))
 
     def redo(self, n: int | None = 1, apply_time: int | None = None) -> list[str]:
-        """Revert the newest ``n`` versions and apply them again, oldest first."""
-        reverted = self.down(n)
-        return self._apply(reverted[::-1], apply_time)
+        """Revert the newest ``n`` versions and apply them again, oldest first, in one commit."""
+        self._check(n)
+        again = self._versions(self.history(n))[::-1]
+        return self.store.renew(again, int(time.time()) if apply_time is None else apply_time, step=1)
 
     def to(self, target: str, apply_time: int | None = None) -> list[str]:
         """Go to a target: back to it when it is applied, otherwise forward up to it."""
