@@ -29,7 +29,7 @@ def test_query_agrees_with_sql(spark, duck, key):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {int(k[2:].split("_")[0]) for k in names if k.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(k[2:].split("_")[0]) for k in names if k.startswith("op")} == set(range(1, 14)) and "pipeline" in names
 
 
 def test_stages_work_on_what_is_left(spark):

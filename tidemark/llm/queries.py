@@ -222,3 +222,67 @@ def op1_substring_dedup(spark, sf_dir):
 
     found = repeated_passages(documents(spark, sf_dir))
     return found.withColumnsRenamed({"id": "doc_id", "kept_id": "kept_doc_id"})
+
+
+@register()
+def op11_passage_quality(spark, sf_dir):
+    from .passage_quality import held_out, scores, train
+
+    docs = documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    found = scores(docs, train(docs, labels))
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score",
+                        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register(r"""
+WITH whole AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, d.id, a.label = d.label AS same, list_inner_product(a.v, d.v)::BIGINT AS score
+  FROM whole a JOIN whole d ON a.id <> d.id WHERE a.id % 100 = 0),
+positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INTEGER AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+  AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5
+""")
+def op12_hard_negatives(spark, sf_dir):
+    from .hard_negatives import hard_negatives
+
+    def moved(vec_id, label):
+        return F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, label=moved)
+
+
+@register(r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l,
+    sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+drawn AS (
+  SELECT *, len(l) AS n, ('0x' || substr(d, 1, 8))::BIGINT AS h1, ('0x' || substr(d, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(d, 17, 8))::BIGINT AS h3, ('0x' || substr(d, 25, 8))::BIGINT AS h4 FROM lines),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100
+      THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+sections AS (
+  SELECT *, array_to_string(list_slice(l, 1, low), '') AS prefix, array_to_string(list_slice(l, low + 1, high), '') AS middle,
+    array_to_string(list_slice(l, high + 1, n), '') AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM sections
+""")
+def op13_fill_in_middle(spark, sf_dir):
+    from .fill_middle import digests
+
+    return digests(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
