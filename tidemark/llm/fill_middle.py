@@ -15,14 +15,16 @@ from typing import NamedTuple
 
 from pyspark import RDD, TaskContext
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Marks before the prefix, the middle and the suffix. Fixed values.
 MARKS = ("<P>", "<M>", "<S>")
 #: Sections of the output by form, as places in MARKS.
 ORDERS = {"plain": (0,), "psm": (0, 2, 1), "spm": (2, 0, 1)}
-#: Characters of a piece at most.
+#: Characters of a piece at most, and bytes of text in a partition: its sort then stays in memory.
 PIECE = 1 << 15
+PARTITION_BYTES = 64 << 20
 _HEAD = -1
 
 
@@ -175,14 +177,16 @@ def _joined(rows: Iterator[tuple]) -> Iterator[tuple]:
         yield (*head, b"".join(piece for _, piece in pieces).decode())
 
 
-def _partitions(docs: DataFrame) -> int:
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _partitions(docs: DataFrame, text_column: str) -> int:
+    """Partitions for the pieces: those of the session, and more where they would hold over ``PARTITION_BYTES`` of text."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_column).cast("string")))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
 
 
-def _arranged(docs: DataFrame, rate: int, spm: int, seed: int, id_column: str, text_column: str) -> RDD:
+def _arranged(docs: DataFrame, partitions: int, rate: int, spm: int, seed: int, id_column: str, text_column: str) -> RDD:
     split = _output_pieces(rate, spm, seed)
     texts = docs.select(id_column, docs[text_column].cast("string").alias("text")).rdd
-    return _sorted(texts.mapPartitions(lambda rows: _keyed(rows, split)), _partitions(docs))
+    return _sorted(texts.mapPartitions(lambda rows: _keyed(rows, split)), partitions)
 
 
 def _schema(docs: DataFrame, id_column: str, *more: str) -> T.StructType:
@@ -203,7 +207,8 @@ def fill_in_middle(docs: DataFrame, rate: int = 100, spm: int = 50, seed: int =
     and those that hold a mark stay plain, with null sizes. Sizes are in code points. Repeated rows give repeated
     results; other columns are not read. A task holds one document's output at a time.
     """
-    rows = _arranged(docs, rate, spm, seed, id_column, text_column).mapPartitions(_joined)
+    partitions = _partitions(docs, text_column)
+    rows = _arranged(docs, partitions, rate, spm, seed, id_column, text_column).mapPartitions(_joined)
     return docs.sparkSession.createDataFrame(rows, _schema(docs, id_column, "output"))
 
 
@@ -235,7 +240,7 @@ def restored(outputs: DataFrame, id_column: str = "id", form_column: str = "form
 
     rows = outputs.select(id_column, output_column, form_column).rdd.mapPartitions(lambda rows: _keyed(rows, split))
     schema = T.StructType([T.StructField("id", outputs.schema[id_column].dataType), T.StructField("text", T.StringType())])
-    return outputs.sparkSession.createDataFrame(_sorted(rows, _partitions(outputs)).mapPartitions(_joined), schema)
+    return outputs.sparkSession.createDataFrame(_sorted(rows, _partitions(outputs, output_column)).mapPartitions(_joined), schema)
 
 
 def digests(docs: DataFrame, rate: int = 100, spm: int = 50, seed: int = 7, id_column: str = "doc_id",
@@ -245,6 +250,8 @@ def digests(docs: DataFrame, rate: int = 100, spm: int = 50, seed: int = 7, id_c
     Digests grow piece by piece, so a task holds no whole output. The restored text comes from the output's
     pieces and form: they are keyed by section and sorted again in the partition where they are.
     """
-    outputs = _arranged(docs, rate, spm, seed, id_column, text_column).mapPartitions(_digest_outputs, preservesPartitioning=True)
-    texts = _sorted(outputs, _partitions(docs)).mapPartitions(_digest_texts)
+    partitions = _partitions(docs, text_column)
+    arranged = _arranged(docs, partitions, rate, spm, seed, id_column, text_column)
+    outputs = arranged.mapPartitions(_digest_outputs, preservesPartitioning=True)
+    texts = _sorted(outputs, partitions).mapPartitions(_digest_texts)
     return docs.sparkSession.createDataFrame(texts, _schema(docs, id_column, "output_sha256", "restored_sha256"))

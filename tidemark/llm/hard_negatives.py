@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.skew import with_ordinal
 from ..session import materialize
 
 #: Rows of a block of candidates, anchors that meet a block in one task, and zone maps that they meet in one task.
@@ -117,16 +118,12 @@ def _along_curve(axes: list[tuple[int, float, float]]):
 
 
 def _in_blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """``rows`` in the order of (place, hash of id), written, numbered in blocks of at most ``size`` neighbours.
+    """``rows`` in the order of (place, hash of id), written, numbered from 0 in blocks of ``size`` neighbours.
 
-    The hash spreads rows of one place over partitions.
+    The hash spreads rows of one place over partitions; blocks are full however many partitions there are.
     """
-    order = ["place", F.xxhash64("id")]
-    at = F.monotonically_increasing_id()
-    inside = (1 << 33) - 1
-    block = F.shiftleft(F.shiftright(at, 33), 24) + (at.bitwiseAND(inside) / size).cast("long")
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialize(ordered.withColumn(name, block), name)
+    placed = with_ordinal(rows, [F.col("place"), F.xxhash64("id"), F.col("id")], name="at")
+    return materialize(placed.withColumn(name, ((F.col("at") - 1) / size).cast("long")).drop("at"), name)
 
 
 def _zone_parts(scale: int):
