@@ -47,9 +47,9 @@ def spark_type(text: str) -> T.DataType:
 _DECIMAL = r"^decimal\((\d+),(\d+)\)\z"
 
 
-def _written(text: Column) -> Column:
+def written_type(text: Column | str) -> Column:
     """One spelling per type: small letters, no blanks, ``int`` and ``bigint``."""
-    text = F.regexp_replace(F.lower(text), r"\s+", "")
+    text = F.regexp_replace(F.lower(F.col(text) if isinstance(text, str) else text), r"\s+", "")
     for pattern, spelling in ((r"\binteger\b(?!:)", "int"), (r"\blong\b(?!:)", "bigint")):
         text = F.regexp_replace(text, pattern, spelling)
     return text
@@ -61,7 +61,7 @@ def type_change(old: Column | str, new: Column | str) -> Column:
     Case, blanks and synonyms do not matter. Spark alone is no guard: some narrowing reads fail
     late, others silently succeed.
     """
-    old, new = (_written(F.col(c) if isinstance(c, str) else c) for c in (old, new))
+    old, new = map(written_type, (old, new))
 
     def digits(c: Column, group: int) -> Column:
         return F.regexp_extract(c, _DECIMAL, group).try_cast("int")

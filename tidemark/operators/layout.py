@@ -87,18 +87,19 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType,
 
 
 def between(df: DataFrame, schema: T.StructType, spec: Sequence[PartitionField], source: str,
-            low: Column, high: Column) -> DataFrame:
+            low: Column, high: Column, one_spec: bool = False) -> DataFrame:
     """Rows with ``low <= source <= high``, pruned to the partitions that can hold them.
 
     Every transform but the bucket keeps the order of its source, so the bounds carry over. A NULL
-    partition column says nothing about a row: its file may be older than the field.
+    partition column says nothing about a row: its file may be older than the field. With ``one_spec`` all
+    files have been written under ``spec``.
     """
     result = df.filter(F.col(source).between(low, high))
     for f in spec:
         if f.source == source and f.transform != "bucket":
             kind = schema[source].dataType
             inside = F.col(f.column).between(f.value(schema, low.cast(kind)), f.value(schema, high.cast(kind)))
-            result = result.filter(inside | F.col(f.column).isNull())
+            result = result.filter(inside if one_spec else inside | F.col(f.column).isNull())
     return result
 
 

@@ -26,22 +26,22 @@ class TableSchema:
         return self.columns.fieldNames()
 
 
-def _number(dtype: T.DataType, next_id: int) -> tuple[T.DataType, int]:
+def number_fields(dtype: T.DataType, next_id: int) -> tuple[T.DataType, int]:
     """Give ids to the fields inside a type; children come before the field that holds them."""
     match dtype:
         case T.StructType():
             fields = []
             for f in dtype.fields:
-                inner, next_id = _number(f.dataType, next_id)
+                inner, next_id = number_fields(f.dataType, next_id)
                 fields.append(T.StructField(f.name, inner, True, {**f.metadata, FIELD_ID: next_id}))
                 next_id += 1
             return T.StructType(fields), next_id
         case T.ArrayType():
-            inner, next_id = _number(dtype.elementType, next_id)
+            inner, next_id = number_fields(dtype.elementType, next_id)
             return T.ArrayType(inner, True), next_id
         case T.MapType():
-            key, next_id = _number(dtype.keyType, next_id)
-            value, next_id = _number(dtype.valueType, next_id)
+            key, next_id = number_fields(dtype.keyType, next_id)
+            value, next_id = number_fields(dtype.valueType, next_id)
             return T.MapType(key, value, True), next_id
     return dtype, next_id
 
@@ -63,7 +63,7 @@ def declare(columns: T.StructType | Mapping[str, str], comments: Mapping[str, st
         })
         for f in columns.fields
     ])
-    numbered, next_id = _number(described, 1)
+    numbered, next_id = number_fields(described, 1)
     return TableSchema(numbered, next_id - 1)
 
 
@@ -103,7 +103,7 @@ def change_schema(schema: TableSchema, change: SchemaChange) -> TableSchema:
         if change.kind == "add":
             if name in names:
                 raise ValueError(f"column {name} exists")
-            inner, next_id = _number(spark_type(change.type), last_id + 1)
+            inner, next_id = number_fields(spark_type(change.type), last_id + 1)
             last_id = next_id
             comment = {"comment": change.comment} if change.comment else {}
             return T.StructType([*struct.fields, T.StructField(name, inner, True, {**comment, FIELD_ID: next_id})])

@@ -29,4 +29,4 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import batches, columns, layouts, ledgers, schemas, streams  # noqa: F401
+    from . import batches, columns, layouts, ledgers, schemas, streams, tables  # noqa: F401
