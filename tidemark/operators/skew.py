@@ -88,3 +88,55 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str],
         "_salt", F.explode(F.when(F.col("_hot"), all_salts).otherwise(F.array(F.lit(0))))
     ).drop("_hot")
     return join_same(left, right, [*keys, "_salt"], how).drop("_salt")
+
+
+def _in_parts(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` written in the order of (keys, order), with ``_part`` and ``_row``.
+
+    A key that lies in several parts is the last key of all of them but the last, and the first of all but the first.
+    """
+    by = [F.col(k) for k in keys] + list(order)
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id())
+    return materialize(placed, "parts").withColumn("_part", F.shiftright("_row", 33))
+
+
+def _key_of(keys: Sequence[str]) -> Column:
+    return F.struct(*[F.col(k) for k in keys])
+
+
+def with_following(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """Add ``value`` of the next row of the same key, null for the last one.
+
+    As a window with ``lead`` would, but a key may have any share of the rows: they are range-partitioned by (keys, order),
+    and only one row per partition is looked at to go on from one to the next. ``order`` has to be total within a key.
+    """
+    placed = _in_parts(df.withColumn("_value", F.struct(value.alias("v"))), keys, order)
+    edges = placed.groupBy("_part").agg(F.min_by(F.struct(_key_of(keys).alias("k"), "_value"), "_row").alias("_first"),
+                                        F.max_by(_key_of(keys), "_row").alias("_key"))
+    after = F.lead("_first").over(Window.orderBy("_part"))
+    edges = edges.select("_part", "_key", after.alias("_next")).filter(F.col("_key").eqNullSafe(F.col("_next.k")))
+    inside = F.lead("_value").over(Window.partitionBy("_part", *keys).orderBy("_row"))
+    edges = edges.select("_part", "_key.*", F.col("_next._value").alias("_edge"))
+    joined = join_same(placed.withColumn("_inside", inside), edges, ["_part", *keys], "left")
+    return joined.withColumn(name, F.coalesce("_inside", "_edge")["v"]).drop("_value", "_inside", "_edge", "_row", "_part")
+
+
+def with_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """Add the newest ``value`` that is not null, up to and including each row of the same key: an as-of join by one sort.
+
+    Like :func:`with_following`, no task holds a key as a whole. ``order`` has to be total within a key.
+    """
+    placed = _in_parts(df.withColumn("_value", value), keys, order)
+    inside = F.last("_value", ignorenulls=True).over(
+        Window.partitionBy("_part", *keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = placed.groupBy("_part").agg(F.min_by(_key_of(keys), "_row").alias("_start"), F.max_by(_key_of(keys), "_row").alias("_key"))
+    lasts = join_same(placed.filter("_value is not null"), ends.select("_part", "_key.*"), ["_part", *keys], "left_semi")
+    newest = lasts.groupBy("_part").agg(F.max_by("_value", "_row").alias("_end"))
+    # A part gives the newest value of its last key; a later part that begins with that key takes it.
+    gives = ends.join(newest, "_part").select("_part", "_key", F.lit(1).alias("_turn"), F.col("_end"))
+    takes = ends.select("_part", F.col("_start").alias("_key"), F.lit(0).alias("_turn"))
+    before = Window.partitionBy("_key").orderBy("_part", "_turn").rowsBetween(Window.unboundedPreceding, -1)
+    carried = gives.unionByName(takes, allowMissingColumns=True).withColumn("_edge", F.last("_end", ignorenulls=True).over(before))
+    edges = carried.filter("_turn = 0 and _edge is not null").select("_part", "_key.*", "_edge")
+    joined = join_same(placed.withColumn("_inside", inside), edges, ["_part", *keys], "left")
+    return joined.withColumn(name, F.coalesce("_inside", "_edge")).drop("_value", "_inside", "_edge", "_row", "_part")

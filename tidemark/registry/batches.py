@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes as ops
-from ..operators import ledger_state
+from ..operators import intervals, ledger_state
 from ..session import table, workspace
 from ..sources.batches import LEDGER, AlreadyApplied, BatchStore
 from ..sources.changelog import ChangeLog, TrackedTable
@@ -220,3 +220,37 @@ def revert_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     log.fold("240103_000000")
     log.down(2)
     return log.rows("orders")
+
+
+_STAMPS = ("231231_000000", "240101_000000", "240102_120000", "240199_000000")
+
+
+@register(" UNION ALL ".join(
+    f"SELECT '{stamp}' AS as_of, * FROM ({orders_after_sql(n)})" for n, stamp in enumerate(_STAMPS)))
+def table_as_of_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = spark.createDataFrame([(s,) for s in _STAMPS], "as_of string")
+    return intervals.table_as_of_versions(table(spark, sf_dir, "orders"), order_changes(spark, sf_dir), _KEY, versions)
+
+
+# Every line item asks for its order as of a version of its own; those of two thirds ask for an order copied later.
+@register(" UNION ALL ".join(f"""
+SELECT l.l_partkey, '{stamp}' AS as_of, o.* FROM lineitem l JOIN ({orders_after_sql(n)}) o
+  ON o.o_orderkey = l.l_orderkey + CASE WHEN l.l_linenumber % 3 > 0 AND l.l_orderkey % 10 = 2 THEN 1000000000 ELSE 0 END
+WHERE l.l_partkey % 4 = {n}""" for n, stamp in enumerate(_STAMPS)))
+def rows_as_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when((F.col("l_linenumber") % 3 > 0) & (F.col("l_orderkey") % 10 == 2), 1_000_000_000).otherwise(0)
+    stamp = F.element_at(F.array(*map(F.lit, _STAMPS)), (F.col("l_partkey") % 4 + 1).cast("int"))
+    asked = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") + moved).alias("o_orderkey"), "l_partkey", stamp.alias("as_of"))
+    return intervals.rows_as_of_many(table(spark, sf_dir, "orders"), order_changes(spark, sf_dir), _KEY, asked)
+
+
+@register("""WITH held AS (
+  SELECT o_orderkey, unnest([NULL, '240101_000000', '240102_000000', '240103_000000']) AS from_version, generate_subscripts([1, 2, 3, 4], 1) - 1 AS n FROM orders)
+SELECT h.o_orderkey, h.from_version,
+  CASE WHEN h.o_orderkey % 10 = 0 AND n = 0 THEN '240101_000000' WHEN h.o_orderkey % 20 = 0 AND n = 1 THEN '240102_000000'
+    WHEN h.o_orderkey % 10 = 1 AND n = 0 THEN '240102_000000' END AS to_version
+FROM held h WHERE n = 0 OR (n = 1 AND h.o_orderkey % 10 = 0) OR (n = 2 AND h.o_orderkey % 20 = 0) OR (n = 3 AND h.o_orderkey % 100 = 31)
+UNION ALL SELECT o_orderkey + 1000000000, '240103_000000', NULL FROM orders WHERE o_orderkey % 10 = 2""")
+def validity_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.validity_intervals(table(spark, sf_dir, "orders"), order_changes(spark, sf_dir), _KEY).drop("image")
