@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import fill_middle, hard_negatives, passage_quality, sampling
+from tidemark.llm import fill_middle, hard_negatives, passage_quality, sampling, toxicity
 
 from ..conftest import SF_DIR
 from .test_llm import AWKWARD, FIELDS
@@ -299,3 +299,55 @@ def test_restoring_needs_no_second_shuffle(docs):
     """The second sort finds its rows where they are: one shuffle in the whole lineage."""
     lineage = fill_middle.digests(docs)._jdf.queryExecution().toRdd().toDebugString()
     assert lineage.count("ShuffledRDD") == 1
+
+
+# op 10: the scorer by plain loops, and labels that repeat or contradict
+
+def plain_toxicity(network, text):
+    """The highest logit over all windows, one word and one cell at a time."""
+    rows, _ = toxicity.word_rows(pa.array([text], pa.large_string()))
+    q, n = network.parameters, len(rows)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    best = -np.inf
+    starts = [0] if n <= toxicity.WINDOW else list(range(0, n - toxicity.WINDOW + toxicity.STRIDE, toxicity.STRIDE))
+    for start in starts:
+        x = [sum(network.table[r] for r in row) for row in rows[start:start + toxicity.WINDOW]]
+        states = {}
+        for way in ("f", "g"):
+            h, found = np.zeros(toxicity.HIDDEN), [None] * len(x)
+            for t in range(len(x)) if way == "f" else range(len(x) - 1, -1, -1):
+                a, b = x[t] @ q[way + "x"] + q[way + "c"], h @ q[way + "u"]
+                k = toxicity.HIDDEN
+                z, r = sigmoid(a[:k] + b[:k]), sigmoid(a[k:2 * k] + b[k:2 * k])
+                h = (1 - z) * np.tanh(a[2 * k:] + r * b[2 * k:]) + z * h
+                found[t] = h
+            states[way] = found
+        both = [np.concatenate(p) for p in zip(states["f"], states["g"])]
+        pulls = np.array([np.tanh(h @ q["a"]) @ q["v"] for h in both])
+        weights = np.exp(pulls - pulls.max()) / np.exp(pulls - pulls.max()).sum()
+        best = max(best, sum(w * h for w, h in zip(weights, both)) @ q["w"] + q["b"][0])
+    return best
+
+
+def test_windows_like_plain_loops(docs):
+    rng = np.random.default_rng(5)
+    network = toxicity.Network.new(rng.normal(0, 1, sum(toxicity.BUCKETS)).astype(np.float32))
+    texts = [r.text for r in docs.orderBy("doc_id").limit(12).collect()] + ["one", "a b c, d."]
+    texts = [" ".join(t.split()[:150]) for t in texts]
+    got = network.scores(pa.array(texts, pa.string()))
+    assert np.allclose(got, [plain_toxicity(network, t) for t in texts], atol=1e-4)
+
+
+def test_repeated_and_contradicting_labels(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words, k=30) + ["vile"] * (2 * (i % 3 == 0))), int(i % 3 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", "toxic")
+    odd = labels.union(labels).union(spark.createDataFrame([(500, 0), (500, 1), (None, 1), (501, None), (502, 7)], "doc_id long, toxic int"))
+    more = df.union(spark.createDataFrame([(500, "vile vile", 0), (3, "zzz", 1)] * 50, df.schema)).repartition(5)
+    once, again = toxicity.train(df.union(more.filter("text = 'zzz'")), labels), toxicity.train(more, odd)
+    texts = pa.array(["w1 w2 vile", "w3 w4"], pa.string())
+    a, b = once.probability(texts), again.probability(texts)
+    assert a[0] > 0.5 > a[1] and b[0] > 0.5 > b[1]
+    assert np.allclose(b, toxicity.train(more.repartition(2), odd.repartition(3)).probability(texts), atol=1e-5)

@@ -2,7 +2,7 @@
 
 A word enters as the sum of four table rows: one for the whole word and three for its characters
 (the first four and five bytes, the last three). Each row holds the log-odds of toxic
-documents, counted over all training documents, and a few learned numbers. All overlapping windows of
+documents, counted over the training documents, and a few learned numbers. All overlapping windows of
 ``WINDOW`` words are scored, and the highest window decides for the document.
 """
 
@@ -17,12 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import words as W
+from .sampling import settled_labels, smallest_hashes
 
 WINDOW, STRIDE = 24, 12
 HIDDEN, LEARNED, LOOK = 8, 4, 4
 #: Rows of the tables: whole words, first four bytes, first five, last three.
 BUCKETS = (1 << 17, 1 << 15, 1 << 15, 1 << 14)
+#: Labelled ids over whose documents log-odds are counted, at most.
+COUNTED = 50_000
 #: Documents of either label from which the network learns, and windows of each.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 4000
 PER_TOXIC, PER_CLEAN = 1, 3
@@ -241,26 +245,32 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
          pa.array(np.append(total[1, at], documents[1]))], ["row", "clean", "toxic"])
 
 
-def _log_odds(counted: list, without: int | None = None) -> np.ndarray:
-    """From rows (row, clean, toxic), row -1 holding the numbers of documents.
+def _log_odds(counted: pa.Table, without: int | None = None) -> np.ndarray:
+    """From columns row, clean, toxic, row -1 holding the numbers of documents.
 
     ``without`` a label: as a training document of that label sees them, itself not counted.
     """
     out = np.zeros(sum(BUCKETS), np.float32)
-    numbers = {r["row"]: (r["clean"], r["toxic"]) for r in counted}
-    clean, toxic = numbers.pop(-1, (0, 0))
-    if clean and toxic and numbers:
-        at = np.fromiter(numbers, np.int64)
-        c, t = np.array(list(numbers.values()), np.float64).T
+    clean, toxic = _numbers(counted)
+    at = counted["row"].to_numpy()
+    held = at >= 0
+    if clean and toxic and held.any():
+        c, t = (counted[k].to_numpy()[held].astype(np.float64) for k in ("clean", "toxic"))
         seen = t + c
         if without is not None:
             c, t = (np.maximum(c - 1, 0), t) if without == 0 else (c, np.maximum(t - 1, 0))
         share = toxic / (toxic + clean)
         odds = np.log((t + PRIOR * share) / (c + PRIOR * (1 - share)) * (clean / toxic))
-        out[at] = np.where(seen >= LEAST_SEEN, np.clip(odds, -2, 6) / 2, 0)
+        out[at[held]] = np.where(seen >= LEAST_SEEN, np.clip(odds, -2, 6) / 2, 0)
     return out
 
 
+def _numbers(counted: pa.Table) -> tuple[int, int]:
+    """Clean and toxic documents counted."""
+    last = counted["row"].to_numpy() == -1
+    return tuple(int(counted[k].to_numpy()[last].sum()) for k in ("clean", "toxic"))
+
+
 def _hardest(odds: list[np.ndarray]):
     """The windows of each text with the highest sums of its label's log-odds, as table rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,49 +312,53 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
           label_column: str = "toxic") -> Model:
     """A model from the documents with a label of 0 or 1 in ``labels``; other and null labels teach nothing.
 
-    Log-odds are counted over all of them: no more than one row per table row reaches the driver. The
-    network itself learns from at most ``TOXIC_SAMPLE`` and ``CLEAN_SAMPLE`` documents, in the order of a hash of
-    the id, and the ``PER_TOXIC`` or ``PER_CLEAN`` windows of each with the highest log-odds. Without both labels
-    the model gives every text a probability of 0.
+    Ids whose labels contradict each other teach nothing either; labels that are repeated count once. Log-odds are counted over
+    the documents of at most ``COUNTED`` labelled ids, those of the smallest hashes: their list is sent to all tasks, and no text
+    is shuffled for it. The network learns from at most ``TOXIC_SAMPLE`` and ``CLEAN_SAMPLE`` of these ids and the ``PER_TOXIC`` or
+    ``PER_CLEAN`` windows of each with the highest log-odds; of documents with equal ids the one whose text comes
+    first. Without both labels the model gives every text a probability of 0.
     """
-    known = labels.filter(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).select(
-        F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label")).dropDuplicates(["id"])
+    known = materialize(smallest_hashes(settled_labels(labels, id_column, label_column), "id", COUNTED, _SEED), "known")
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    taught = texts.join(known, "id").select("text", "label")
+    # At most COUNTED ids.
+    taught = texts.join(F.broadcast(known), "id").select("text", "label")
     counted = (
         taught.mapInArrow(_counts, "row long, clean long, toxic long").groupBy("row")
-        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
+        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow().sort_by("row")
     )
     log_odds = _log_odds(counted)
     unseen = [_log_odds(counted, without=label) for label in (0, 1)]
     network = Network.new(log_odds)
-    order = F.xxhash64(F.col("id"), F.lit(_SEED))
-    chosen = [known.filter(F.col("label") == label).orderBy(order, "id").limit(n)
+    chosen = [smallest_hashes(known.filter(F.col("label") == label), "id", n, _SEED)
               for label, n in ((1, TOXIC_SAMPLE), (0, CLEAN_SAMPLE))]
-    # At most TOXIC_SAMPLE + CLEAN_SAMPLE ids.
-    sample = texts.join(F.broadcast(chosen[0].union(chosen[1])), "id").select("id", "text", "label")
+    # At most TOXIC_SAMPLE + CLEAN_SAMPLE ids, and one text of each.
+    sample = materialize(texts.join(F.broadcast(chosen[0].union(chosen[1])), "id").groupBy("id", "label").agg(
+        F.min("text").alias("text")).select("id", "text", "label"), "sample")
     id_type = texts.schema["id"].dataType.simpleString()
-    lessons = sample.mapInArrow(_hardest(unseen), f"id {id_type}, label int, rows array<int>")
-    held = sorted(lessons.collect(), key=lambda r: (str(r["id"]), r["rows"]))
-    label = np.array([r["label"] for r in held], np.float32)
+    lessons = sample.mapInArrow(_hardest(unseen), f"id {id_type}, label int, rows array<int>").toArrow()
+    lessons = sorted(zip(map(str, lessons["id"].to_pylist()), lessons["label"].to_pylist(), lessons["rows"].to_pylist()),
+                     key=lambda r: (r[0], r[2]))
+    label = np.array([r[1] for r in lessons], np.float32)
     if len(set(label.tolist())) < 2:
         return Model(network, 0.0, -np.inf)
-    rows = np.zeros((len(held), WINDOW, len(BUCKETS)), np.int32)
-    mask = np.zeros((len(held), WINDOW), bool)
-    for i, r in enumerate(held):
-        n = len(r["rows"]) // len(BUCKETS)
-        rows[i, :n] = np.array(r["rows"]).reshape(n, -1)
+    rows = np.zeros((len(lessons), WINDOW, len(BUCKETS)), np.int32)
+    mask = np.zeros((len(lessons), WINDOW), bool)
+    for i, (_, _, own) in enumerate(lessons):
+        n = len(own) // len(BUCKETS)
+        rows[i, :n] = np.array(own).reshape(n, -1)
         mask[i, :n] = True
     network.fit(rows, mask, label, unseen)
     model = Model(network)
-    scored = []
+    x, y = [], []
     for own in (0, 1):
-        judge = _scorer(docs.sparkSession, Model(network.seeing(unseen[own])), raw=True)
-        scored += sample.filter(F.col("label") == own).mapInArrow(judge, f"id {id_type}, label int, score double").collect()
-    x = np.array([r["score"] for r in scored])
-    y = np.array([r["label"] for r in scored], np.float64)
+        shared = docs.sparkSession.sparkContext.broadcast(Model(network.seeing(unseen[own])))
+        scored = sample.filter(F.col("label") == own).mapInArrow(_scorer(shared, raw=True), f"id {id_type}, label int, score double").toArrow()
+        shared.destroy()
+        x.append(scored["score"].to_numpy())
+        y.append(scored["label"].to_numpy().astype(np.float64))
+    x, y = np.concatenate(x), np.concatenate(y)
     # The share of toxic documents in the sample is not theirs among all: weigh each label by its own.
-    numbers = {r["row"]: (r["clean"], r["toxic"]) for r in counted}[-1]
+    numbers = _numbers(counted)
     weight = np.where(y > 0, numbers[1] / max(1, y.sum()), numbers[0] / max(1, (1 - y).sum()))
     weight /= weight.sum()
     line = np.array([1.0, 0.0])
@@ -359,9 +373,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return model
 
 
-def _scorer(spark, model: Model, raw: bool = False):
-    shared = spark.sparkContext.broadcast(model)
-
+def _scorer(shared, raw: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = shared.value
@@ -382,7 +394,7 @@ def scores(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
     """
     id_type = docs.schema[id_column].dataType.simpleString()
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(
-        _scorer(docs.sparkSession, model), f"id {id_type}, score double")
+        _scorer(docs.sparkSession.sparkContext.broadcast(model)), f"id {id_type}, score double")
 
 
 def held_out(doc_id: Column) -> Column:
