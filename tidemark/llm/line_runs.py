@@ -65,8 +65,10 @@ def later_copies(docs: DataFrame, id_column: str, text_column: str, min_chars: i
     go on, and the rounds end when no window repeats.
     """
     text = F.col(text_column).cast("string")
+    # Named before the lines are taken apart: once per document, not once per line.
+    named = docs.filter(text.isNotNull()).select(_document(id_column, text_column).alias("doc"), text.alias("text"))
     lines = materialize(
-        docs.filter(text.isNotNull()).select(_document(id_column, text_column).alias("doc"), F.posexplode(F.split(text, "\n")))
+        named.select("doc", F.posexplode(F.split("text", "\n")))
         .select("doc", "pos", F.unhex(F.md5("col")).alias("line"), F.length("col").cast("long").alias("chars")), "lines")
     shared = lines.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1").select("line")
     # Equal rows are one document: their lines count once.
@@ -83,6 +85,8 @@ def later_copies(docs: DataFrame, id_column: str, text_column: str, min_chars: i
         else:
             copies = state.filter((place > F.col("first")) & (F.col("chars") >= min_chars)).select(
                 "doc", "pos", (F.col("pos") + length).alias("end"))
+        # Written, so that the plan of the result holds no round's joins.
+        copies = materialize(copies, "copies")
         found = copies if found is None else found.union(copies)
         in_doc = Window.partitionBy("doc").orderBy("pos").rangeBetween(length, length)
         pairs = (

@@ -98,7 +98,7 @@ def op6_secret_scan(spark, sf_dir):
                         F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-#: Windows of 1, 2, 4, ... lines of a table (doc_id, text) and the lines that later copies cover, in DuckDB's SQL.
+#: Windows of any number of lines of a table (doc_id, text) and the lines that later copies cover, in DuckDB's SQL.
 LINES_SQL = r"""
 WITH RECURSIVE lines AS (
   SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line
@@ -106,8 +106,8 @@ WITH RECURSIVE lines AS (
 windows AS (
   SELECT 1::BIGINT AS n, doc_id, pos, md5(line) AS k, length(line)::BIGINT AS chars FROM lines
   UNION ALL
-  SELECT 2 * a.n, a.doc_id, a.pos, md5(a.k || b.k), a.chars + b.chars
-  FROM windows a JOIN windows b ON a.doc_id = b.doc_id AND b.pos = a.pos + a.n),
+  SELECT a.n + 1, a.doc_id, a.pos, md5(a.k || md5(b.line)), a.chars + length(b.line)
+  FROM windows a JOIN lines b ON a.doc_id = b.doc_id AND b.pos = a.pos + a.n),
 copies AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n, k ORDER BY doc_id, pos) AS nth FROM windows)
   WHERE nth > 1 AND chars >= 50),
@@ -124,8 +124,7 @@ deduped AS (
 def op4_line_dedup(spark, sf_dir):
     from .line_runs import without_later_copies
 
-    # The SQL above says windows of 1, 2, 4, ... lines; the pipeline cuts runs of every length.
-    return without_later_copies(documents(spark, sf_dir), every_length=False).select("doc_id", "n_lines", "n_deleted", "text")
+    return without_later_copies(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_deleted", "text")
 
 
 @register()
