@@ -145,6 +145,8 @@ class State:
                 "descending": down, "nulls_first": not down if r["nulls_first"] is None else r["nulls_first"]}]
         elif kind == "set":
             self.properties[name] = value
+        elif kind in ("fill", "retire"):
+            pass  # Which files hold the rows is no part of the state.
         elif kind == "unset":
             self.properties.pop(name, None)
         else:

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.transforms import PartitionField
 from ..operators import metadata
 from ..operators.layout import SortField
+from ..operators.schema import SchemaChange, TableSchema, change_schema_to, declare, write_generation
 from ..session import table, workspace
+from ..sources import footers
+from ..sources.footers import file_inventory
 from ..sources.tables import Refused, StoredTable, TableStore, change, changes_frame
 from . import register
 from .inputs import stored_ledger
@@ -173,3 +176,59 @@ def refused_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.read().agg(F.count("*").alias("n_rows"), F.sum("l_linenumber").alias("total")).select(
         "n_rows", "total", F.lit(refused).alias("refused"), F.lit(stored.schema.columns["l_linenumber"].dataType.simpleString()).alias("column_type"),
         F.lit(applied).cast("long").alias("n_applied"))
+
+
+def _generations(spark: SparkSession, sf_dir: str) -> tuple[list[TableSchema], str]:
+    """``orders`` written in two generations of a schema, without a store."""
+    orders, root = table(spark, sf_dir, "orders"), workspace(spark, "generations")
+    old = declare({"o_orderkey": "long", "o_custkey": "int", "o_orderdate": "timestamp_ntz", "o_orderstatus": "string"})
+    new = change_schema_to(old, [
+        ("240501_000000_a", SchemaChange("rename", "o_orderstatus", new_name="status")), ("240501_000000_b", SchemaChange("widen", "o_custkey", "long")),
+        ("240501_000000_c", SchemaChange("drop", "o_orderdate")), ("240501_000000_d", SchemaChange("add", "o_orderpriority", "string"))])
+    write_generation(orders.filter("o_orderkey % 3 = 0"), old, f"{root}/gen=0")
+    write_generation(orders.filter("o_orderkey % 3 > 0").withColumnRenamed("o_orderstatus", "status"), new, f"{root}/gen=1")
+    return [old, new], root
+
+
+@register("""WITH g AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'gen=0' ELSE 'gen=1' END AS generation, count(*) AS n_rows FROM orders GROUP BY ALL),
+held(generation, field_id, column_name, column_type) AS (VALUES
+  ('gen=0', 1, 'o_orderkey', 'bigint'), ('gen=0', 2, 'o_custkey', 'int'), ('gen=0', 3, 'o_orderdate', 'timestamp_ntz'), ('gen=0', 4, 'o_orderstatus', 'string'),
+  ('gen=1', 1, 'o_orderkey', 'bigint'), ('gen=1', 2, 'o_custkey', 'bigint'), ('gen=1', 4, 'status', 'string'), ('gen=1', 5, 'o_orderpriority', 'string'))
+SELECT generation, field_id, column_name, column_type, n_rows FROM held JOIN g USING (generation)""")
+def footer_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files of two generations hold, from their footers alone."""
+    _, root = _generations(spark, sf_dir)
+    held = file_inventory(spark, root).filter("n_rows > 0")
+    return held.groupBy(F.regexp_extract("file", "gen=[0-9]+", 0).alias("generation"), "field_id", "column_name", "column_type").agg(F.sum("n_rows").alias("n_rows"))
+
+
+@register("""SELECT field_id, change, file_name, file_type, column_name, column_type, n_rows FROM (VALUES
+  (4, 'renamed', 'o_orderstatus', 'string', 'status', 'string'), (2, 'retyped', 'o_custkey', 'int', 'o_custkey', 'bigint'),
+  (3, 'dropped', 'o_orderdate', 'timestamp_ntz', NULL, NULL), (5, 'added', NULL, NULL, 'o_orderpriority', 'string')
+) AS d(field_id, change, file_name, file_type, column_name, column_type), (SELECT count(*) AS n_rows FROM orders WHERE o_orderkey % 3 = 0)""")
+def drift_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in files that differ from the newest schema, by difference."""
+    (_, new), root = _generations(spark, sf_dir)
+    drift = footers.drift_of_files(file_inventory(spark, root).filter("n_rows > 0"), new)
+    return drift.groupBy("field_id", "change", "file_name", "file_type", "column_name", "column_type").agg(F.sum("n_rows").alias("n_rows"))
+
+
+@register("""SELECT event_id, user_id, event_type AS action, CASE WHEN event_id % 2 = 1 THEN props END AS note, true AS some_rewritten, true AS none_left,
+  true AS new_files_kept FROM events""")
+def backfill_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files older than a change are rewritten under the new columns and spec, in two runs; the rest stay, and no row changes."""
+    store, version = TableStore(spark, workspace(spark, "tables")), "240602_000000_change"
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("int").alias("user_id"), "event_type", "props")
+    store.create("events", "240601_000000_events", {"event_id": "long", "user_id": "int", "event_type": "string"})
+    store.open("events").append(events.filter("event_id % 2 = 0"))
+    store.record(changes_frame(spark, [
+        change("events", version, "widen", "user_id", "long"), change("events", version, "rename", "event_type", "action"),
+        change("events", version, "add", "note", "string"), change("events", version, "add_partition", "action")]))
+    store.open("events").append(events.filter("event_id % 2 = 1").withColumnsRenamed({"event_type": "action", "props": "note"}))
+    first, _ = store.backfill("events", version, most_bytes=1)
+    more, _ = store.backfill("events", version)
+    again, left = store.backfill("events", version)
+    stored = store.open("events")
+    retired = [r.file for r in stored.retired.collect()]
+    return stored.read().select("*", F.lit(first + more > 0).alias("some_rewritten"), F.lit(again + left == 0).alias("none_left"),
+                                F.lit(all(f.startswith("spec=0/") for f in retired)).alias("new_files_kept"))

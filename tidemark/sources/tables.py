@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,7 @@ from ..operators.schema import FIELD_ID, TableSchema, conform, number_fields
 from ..operators.skew import with_ordinal
 from ..session import local_frame
 from . import files
+from .footers import drift_of_files, file_inventory
 
 
 class Refused(ValueError):
@@ -110,7 +112,37 @@ class TableStore:
         state = metadata.states(log, asked).first()
         if state is None or not state.is_there:
             raise ValueError(f"no table {name}")
-        return StoredTable(self.spark, f"{self.path}/data/{name}", state)
+        fills = [r.name for r in log.filter("kind = 'fill'").select("name").distinct().orderBy("name").collect()]
+        retired = log.filter("kind = 'retire'").select(F.col("name").alias("file"))
+        return StoredTable(self.spark, f"{self.path}/data/{name}", state, tuple(fills), retired)
+
+    def backfill(self, name: str, version: str, most_bytes: int = 1 << 40) -> tuple[int, int]:
+        """Rewrite files of older columns or specs under the current ones; returns how many were rewritten and how many are left.
+
+        Footers tell which files differ. Files up to ``most_bytes`` together (one at least) are read and written to a folder of this run;
+        one write to the log then puts it in the place of the old files. Until then the run does not count, so one that is
+        interrupted leaves the table as it was, and the next call goes on with what is left. Files that need no
+        change are neither read nor written, and old ones stay where they are for readers that have opened them.
+        """
+        stored = self.open(name)
+        held = file_inventory(self.spark, stored.path).withColumn("file", stored.relative("file"))
+        current = F.concat(F.lit("spec="), F.lit(len(stored.specs) - 1), F.lit("/"))
+        # Folders of runs that did not come to their end hold no data of the table.
+        live = F.col("file").startswith("spec=") | F.split_part("file", F.lit("/"), F.lit(1)).isin([f"fill={f}" for f in stored.fills])
+        held = held.filter(live).join(stored.retired, "file", "left_anti")
+        sizes = held.groupBy("file").agg(F.first("n_bytes").alias("n_bytes"))
+        changed = drift_of_files(held, stored.schema).select("file").distinct()
+        misplaced = sizes.filter(~F.contains("file", current)).select("file")
+        todo = sizes.join(changed.union(misplaced).distinct(), "file", "left_semi")
+        order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+        # One row per file, as Spark's own file listing.
+        listed = todo.select("file", F.coalesce(F.sum("n_bytes").over(order), F.lit(0)).alias("before"), "n_bytes").orderBy("file").collect()
+        taken = [r.file for r in listed if r.before == 0 or r.before + r.n_bytes <= most_bytes]
+        if taken:
+            fill = uuid.uuid4().hex
+            stored.rewrite(taken, fill)
+            self.record(changes_frame(self.spark, [change(name, version, "fill", fill)] + [change(name, version, "retire", f) for f in taken]))
+        return len(taken), len(listed) - len(taken)
 
 
 @dataclass(frozen=True)
@@ -120,6 +152,8 @@ class StoredTable:
     spark: SparkSession
     path: str
     state: Row
+    fills: tuple[str, ...] = ()
+    retired: DataFrame | None = None
 
     @property
     def schema(self) -> TableSchema:
@@ -158,15 +192,33 @@ class StoredTable:
         specs = self.specs
         write_table(conform(rows, self.schema), self._folder(len(specs) - 1), specs[-1], self.order, mode="append")
 
+    def relative(self, file: str) -> Column:
+        """A file's path below the table's folder."""
+        return F.split_part(F.col(file), F.lit(f"{self.path.split('://')[-1].rstrip('/')}/"), F.lit(-1))
+
+    def _folders(self, spec_id: int) -> list[str]:
+        """Where rows of a spec lie: its own folder and those of the backfills that count."""
+        return [p for p in [self._folder(spec_id), *[f"{self.path}/fill={f}/spec={spec_id}" for f in self.fills]] if files.exists(self.spark, p)]
+
     def _parts(self) -> list[tuple[int, list[PartitionField], DataFrame]]:
-        """The rows stored under each spec that has any, with its partition columns."""
+        """The rows stored under each spec that has any, with its partition columns; retired files are left out."""
         fields, found = self.schema.columns, []
         for i, spec in enumerate(self.specs):
-            if files.exists(self.spark, self._folder(i)):
+            for folder in self._folders(i):
                 added = with_partitions(local_frame(self.spark, fields), spec).schema.fields[len(fields):]
-                found.append((i, spec, self.spark.read.schema(T.StructType(fields.fields + added)).parquet(self._folder(i))))
+                rows = self.spark.read.schema(T.StructType(fields.fields + added)).parquet(folder)
+                if self.fills:
+                    rows = rows.withColumn("_path", F.col("_metadata.file_path")).withColumn("_path", self.relative("_path")).join(
+                        self.retired, F.col("_path") == F.col("file"), "left_anti").drop("_path")
+                found.append((i, spec, rows))
         return found
 
+    def rewrite(self, taken: Sequence[str], fill: str) -> None:
+        """Write the rows of the files again, under the current columns, spec and order, into the folder of a backfill."""
+        specs = self.specs
+        rows = self.spark.read.schema(self.schema.columns).parquet(*[f"{self.path}/{f}" for f in taken]).select(self.schema.names)
+        write_table(conform(rows, self.schema), f"{self.path}/fill={fill}/spec={len(specs) - 1}", specs[-1], self.order)
+
     def _together(self, parts: Sequence[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, parts, local_frame(self.spark, self.schema.columns))
 
