@@ -20,11 +20,11 @@ _EVENTS = {
 
 # The life of a table: each version holds one change.
 _CHAIN = [
-    ("250101_100200_add_session", SchemaChange("add", "session_id", "string", comment="browser session")),
-    ("250101_100300_drop_props", SchemaChange("drop", "props")),
-    ("250101_100400_rename_type", SchemaChange("rename", "event_type", new_name="event_kind")),
-    ("250101_100500_add_retry", SchemaChange("add", "retry_count", "int")),
-    ("250101_100510_widen_retry", SchemaChange("widen", "retry_count", "long")),
+    ("240612_081500_region", SchemaChange("add", "region", "string", comment="where the user was")),
+    ("240619_140000_score", SchemaChange("add", "score", "float")),
+    ("240703_093000_finer_score", SchemaChange("widen", "score", "double")),
+    ("240711_170000_anonymous", SchemaChange("drop", "user_id")),
+    ("240802_120000_amount", SchemaChange("rename", "value", new_name="amount")),
 ]
 
 
@@ -54,13 +54,13 @@ def conform_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""SELECT event_id, ts, user_id, event_type, value, props,
-  CASE WHEN event_id % 2 = 1 THEN 's' || user_id END AS session_id FROM events""")
+  CASE WHEN event_id % 2 = 1 THEN 'r' || user_id END AS region FROM events""")
 def evolve_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, old = table(spark, sf_dir, "events"), declare(_EVENTS)
     new = change_schema_to(old, _CHAIN[:1])
     paths = _written(
         spark, "add", (events.filter("event_id % 2 = 0"), old),
-        (events.filter("event_id % 2 = 1").withColumn("session_id", F.concat(F.lit("s"), "user_id")), new),
+        (events.filter("event_id % 2 = 1").withColumn("region", F.concat(F.lit("r"), "user_id")), new),
     )
     return ops.read_generations(spark, new, paths)
 
@@ -73,13 +73,13 @@ def evolve_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.read_generations(spark, new, paths)
 
 
-@register("SELECT event_id, ts, user_id, event_type AS event_kind, value, props FROM events")
+@register("SELECT event_id, ts, user_id, event_type AS action, value, props FROM events")
 def evolve_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, old = table(spark, sf_dir, "events"), declare(_EVENTS)
-    new = ops.change_schema(old, SchemaChange("rename", "event_type", new_name="event_kind"))
+    new = ops.change_schema(old, SchemaChange("rename", "event_type", new_name="action"))
     paths = _written(
         spark, "rename", (events.filter("event_id % 2 = 0"), old),
-        (events.filter("event_id % 2 = 1").withColumnRenamed("event_type", "event_kind"), new),
+        (events.filter("event_id % 2 = 1").withColumnRenamed("event_type", "action"), new),
     )
     return ops.read_generations(spark, new, paths)
 
@@ -148,11 +148,11 @@ def evolve_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(ops.read_generations(spark, schema, rewritten))
 
 
-@register("""SELECT event_id, ts, user_id, event_type AS event_kind, value, CAST(NULL AS VARCHAR) AS session_id FROM events""")
+@register("""SELECT event_id, ts, event_type, value, props, CAST(NULL AS VARCHAR) AS region, CAST(NULL AS DOUBLE) AS score FROM events""")
 def as_of_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     created = declare(_EVENTS, {"ts": "event time"})
     paths = _written(spark, "asof", (table(spark, sf_dir, "events"), created))
-    return ops.read_generations(spark, change_schema_to(created, _CHAIN, "250101_100400"), paths)
+    return ops.read_generations(spark, change_schema_to(created, _CHAIN, "240711_170000"), paths)
 
 
 _TYPES = ("int", "bigint", "float", "double", "decimal(9,2)", "decimal(12,2)", "decimal(12,4)", "string", "date", "timestamp_ntz")
