@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import sys
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
@@ -251,6 +253,8 @@ def test_base_spans(spark, docs):
     ("user: bob", []), ("see https://x.y/z", []), ("Zx9aaaaaaaGaaaaaaGaaB1", []),
     ("user: bob and Zx9aaaaaaaGaaaaaaGaaB1", ["id", "key"]),
     ("user: bob Zx9aaaaaaaGaaaaaaGaaB1 https://x.y/z", ["id", "key", "endpoint"]),
+    ("username=Abcdefghij0123456789Z", []), ("login: Zx9aaaaaaaGaaaaaaGaaB1 https://x.y/z", []),
+    ("username=Abcdefghij0123456789Z or user: bob", []),
     ("user: bob " + "." * 300 + " Zx9aaaaaaaGaaaaaaGaaB1", []),
 ])
 def test_weak_parts_need_their_complements(spark, text, kinds):
@@ -258,6 +262,11 @@ def test_weak_parts_need_their_complements(spark, text, kinds):
     assert [s["name"] for s in found] == kinds
 
 
+def test_workers_need_no_copy_of_the_package():
+    for name in ("words", "minhash_dedup", "toxicity"):
+        assert cloudpickle.cloudpickle._is_registered_pickle_by_value(sys.modules[f"tidemark.llm.{name}"])
+
+
 # op 7
 
 def quality_counts(text):

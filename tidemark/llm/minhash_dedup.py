@@ -9,7 +9,7 @@
 3. Items that met another in a list are hashed again in full. The same rule on their whole sets, where it
    is exact (a quarter of the set), makes their lists short: a text with its own quarter leaves them.
 4. Members of a list meet in rounds (``linking``). The union sketch of a pair, the 64 smallest
-   values of both, estimates the similarity and drops clear cases; the full sets confirm the rest.
+   values of both, estimates the similarity and drops clear cases; only pairs that stay fetch their full sets.
 """
 
 from __future__ import annotations
@@ -103,18 +103,33 @@ def _estimated(a: Column, b: Column) -> Column:
     return shared >= _need(F.size(union))
 
 
+def _key(df: Column, value: Column) -> Column:
+    """One long that orders values by their number of items, in powers of two, then by value.
+
+    Values that fall on one key count as one; their items are compared more often and lose no link.
+    """
+    return F.shiftleft(F.length(F.bin(df)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(value, 8))
+
+
 def rare_postings(items: DataFrame, values: str, need: Column) -> DataFrame:
-    """(key, item, n, left): of each item's ``values`` (array) the rarest that a linked pair cannot all miss.
+    """(key, item, n, left): of each item's ``values`` (array of long) the rarest that a linked pair cannot all miss.
 
     A pair that shares ``need`` values also shares one of the size - need + 1 that come first in any
-    common order; the order here is by number of items, then value, and a key is the struct of both. Values of one item
-    alone come first of all and are not returned. ``left`` counts the values from the key on, itself included.
+    common order; here that is the order of ``key``. Values of one item alone come first of all and are not returned.
+    ``left`` counts the values from the key on, itself included. Values that more than a thousandth of all postings hold, fewer
+    than 1000 of them, never leave the tasks that read them before their counts are known.
     """
-    postings = items.select("item", "n", F.size(values).alias("kept"), need.alias("need"), F.explode(values).alias("key"))
-    common = postings.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    postings = items.select("item", F.explode(values).alias("value"))
+    counts = materialize(postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "counts")
+    total = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    is_hot = F.col("df") * 1000 > F.lit(total)
+    key = _key(F.col("df"), F.col("value")).alias("key")
+    hot = F.broadcast(counts.filter(is_hot).select("value", key))
+    cold = postings.join(hot, "value", "left_anti").join(counts.filter(~is_hot).select("value", key), "value")
     listed = (
-        postings.join(common, "key").groupBy("item", "n", "kept", "need")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("shared"))
+        cold.select("item", "key").unionAll(postings.join(hot, "value").select("item", "key"))
+        .groupBy("item").agg(F.sort_array(F.collect_list("key")).alias("shared"))
+        .join(items.select("item", "n", need.alias("need")), "item")
     )
     room = F.size("shared") - F.col("need") + 1
     return (
@@ -134,36 +149,43 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     results. Other columns of ``docs`` are not read; an empty table gives an empty one.
     """
     rows = materialize(sketches(docs, id_column, text_column), "sketches")
+    # Once written, the numbers stay as they are.
     items = materialize(
-        rows.filter(F.col("item").isNotNull()).groupBy("item")
-        .agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "items")
+        rows.filter(F.col("item").isNotNull()).groupBy(F.col("item").alias("print"))
+        .agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        .withColumn("item", F.monotonically_increasing_id()), "items")
     listed = materialize(rare_postings(items, "sketch", _need(F.size("sketch"))), "postings")
     shared = listed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    met = materialize(listed.join(shared, "key", "left_semi").select("item").distinct(), "met")
+    met = materialize(
+        items.select("item", "print", "low").join(listed.join(shared, "key", "left_semi").select("item").distinct(), "item"), "met")
     # One document stands for each item that met another; only their texts are hashed again.
-    chosen = items.join(met, "item", "left_semi").select("low")
     texts = docs.select(F.col(id_column).alias("low"), F.col(text_column).cast("string").alias("text"))
+    chosen = met.select("low").distinct()
     full = materialize(
-        texts.join(chosen.distinct(), texts["low"].eqNullSafe(chosen["low"]), "left_semi").select("text")
-        .mapInArrow(_set_batches, "item binary, shingles array<bigint>")
-        .join(met, "item", "left_semi").dropDuplicates(["item"]), "sets")
+        texts.join(chosen, texts["low"].eqNullSafe(chosen["low"]), "left_semi").select("text")
+        .mapInArrow(_set_batches, "item binary, shingles array<bigint>").withColumnRenamed("item", "print")
+        .join(met.select("print", "item"), "print").dropDuplicates(["print"]).select("item", "shingles"), "sets")
     full = full.withColumn("n", F.size("shingles").cast("long"))
     members = materialize(rare_postings(full, "shingles", F.ceil(F.col("n") * PERCENT / 100).cast("int")), "postings")
 
+    def both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """``pairs`` with the sets (item, values) of both as ``of_a`` and ``of_b``."""
+        a, b = (sets.toDF(c, f"of_{c}") for c in "ab")
+        return pairs.join(a, "a").join(b, "b")
+
     def check(pairs: DataFrame) -> DataFrame:
-        a = full.select(F.col("item").alias("a"), F.col("shingles").alias("of_a"))
-        b = full.select(F.col("item").alias("b"), F.col("shingles").alias("of_b"))
-        # The shingles are sorted, so a sketch is the beginning of its set.
-        likely = _estimated(F.slice("of_a", 1, SKETCH), F.slice("of_b", 1, SKETCH))
-        linked = likely & similar(F.col("of_a"), F.col("of_b"), PERCENT)
-        return pairs.join(a, "a").join(b, "b").withColumn("linked", linked).drop("of_a", "of_b")
+        judged = both(pairs, items.select("item", "sketch")).withColumn("linked", _estimated(F.col("of_a"), F.col("of_b")))
+        judged = materialize(judged.drop("of_a", "of_b"), "estimates")
+        likely = both(judged.filter("linked"), full.select("item", "shingles"))
+        exact = likely.withColumn("linked", similar(F.col("of_a"), F.col("of_b"), PERCENT)).drop("of_a", "of_b")
+        return exact.unionByName(judged.filter(~F.col("linked")))
 
     found = linked_components(members, check, PERCENT)
     # A component may hold a third of all items: its smallest id is an aggregate, joined back.
     low = found.join(items.select("item", "low"), "item").groupBy("component").agg(F.min("low").alias("reached"))
     lowest = found.join(low, "component").select("item", "reached")
-    known = items.select("item", "low").join(lowest, "item", "left").select(
-        "item", F.coalesce("reached", "low").alias("component_id"))
+    known = materialize(items.select("item", "print", "low").join(lowest, "item", "left").select(
+        F.col("print").alias("item"), F.coalesce("reached", "low").alias("component_id")), "reached")
     done = rows.select("id", F.col("n").alias("n_shingles"), "item").join(known, "item", "left")
     component = F.when(F.col("item").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return done.select("id", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -63,9 +63,10 @@ def candidates(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def spans(parts: DataFrame) -> DataFrame:
     """(row, kind, start, end) of all base spans, and of the weak ones whose complements are near.
 
-    Two spans share a scope if at most ``REACH`` code points lie between them. A weak identifier
+    Two spans share a scope if they do not overlap and at most ``REACH`` code points lie between them, so no value
+    completes itself; lines, blocks or objects are no scopes. A weak identifier
     needs a secret near it (assign, hex or key), a weak key an access identifier (access or id), an endpoint
-    both. A key that touches a base span is part of that one and not a span of its own. Near
+    both. A key that touches a base span or an identifier is part of that one and not a span of its own. Near
     partners are found as the last span before and the first one after, per row in order of
     position: an interval join that grows with the number of spans and emits no pairs.
     """
@@ -78,17 +79,31 @@ def spans(parts: DataFrame) -> DataFrame:
     so_far, later = by_place.rangeBetween(Window.unboundedPreceding, 0), by_place.rangeBetween(1, Window.unboundedFollowing)
     kind = F.col("kind")
 
-    def near(test: Column, reach: int) -> Column:
-        back = F.col("start") - F.max(F.when(test, F.col("end"))).over(so_far)
-        ahead = F.min(F.when(test, F.col("start"))).over(later) - F.col("end")
-        return (F.coalesce(back, F.lit(reach + 1)) <= reach) | (F.coalesce(ahead, F.lit(reach + 1)) <= reach)
-
     number = KINDS.index
     base = kind < len(BASE_KINDS)
-    touched = placed.withColumn("inside", ~base & (kind == number("key")) & near(base, -1)).filter(~F.col("inside"))
+    owner = base | (kind == number("id"))
+    covered = F.max(F.when(owner, F.col("end"))).over(so_far) > F.col("start")
+    followed = F.min(F.when(owner, F.col("start"))).over(later) < F.col("end")
+    inside = (kind == number("key")) & (F.coalesce(covered, F.lit(False)) | F.coalesce(followed, F.lit(False)))
+    touched = placed.withColumn("inside", inside).filter(~F.col("inside"))
+
+    # Both ends of each span as points: the last end up to its start, and the first start from its end on, are its neighbours.
+    points = touched.withColumn("closes", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn(
+        "at", F.when(F.col("closes"), F.col("end")).otherwise(F.col("start")))
+    by_point = Window.partitionBy("row").orderBy("at")
+    closed, opening = by_point.rangeBetween(Window.unboundedPreceding, 0), by_point.rangeBetween(0, Window.unboundedFollowing)
+
+    def near(test: Column) -> Column:
+        back = F.col("at") - F.max(F.when(test & F.col("closes"), F.col("at"))).over(closed)
+        ahead = F.min(F.when(test & ~F.col("closes"), F.col("at"))).over(opening) - F.col("at")
+        return F.coalesce(F.when(F.col("closes"), ahead).otherwise(back) <= REACH, F.lit(False))
+
     identifier = kind.isin(number("access"), number("id"))
     secret = kind.isin(number("assign"), number("hex"), number("key"))
-    judged = touched.withColumn("by_identifier", near(identifier, REACH)).withColumn("by_secret", near(secret, REACH))
+    judged = (
+        points.withColumn("by_identifier", near(identifier)).withColumn("by_secret", near(secret))
+        .groupBy("row", "kind", "start", "end").agg(*[F.max(c).alias(c) for c in ("by_identifier", "by_secret")])
+    )
     linked = (
         base | ((kind == number("id")) & F.col("by_secret")) | ((kind == number("key")) & F.col("by_identifier"))
         | ((kind == number("endpoint")) & F.col("by_identifier") & F.col("by_secret"))
