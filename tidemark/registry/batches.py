@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes as ops
-from ..operators import intervals, ledger_state
+from ..operators import intervals, ledger_state, patches
 from ..session import table, workspace
 from ..sources.batches import LEDGER, AlreadyApplied, BatchStore
 from ..sources.changelog import ChangeLog, TrackedTable
@@ -45,6 +45,52 @@ def redo_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.redo(ops.apply_changes(table(spark, sf_dir, "orders"), changes, _KEY), changes, _KEY, 2)
 
 
+def _patches_sql(select: str) -> str:
+    """Lines as patches of their orders: the first names the price, the second date and priority, the third a price that is null."""
+    return f"""WITH p AS (
+  SELECT l_orderkey AS k, l_linenumber AS n, l_linenumber % 3 AS kind, max(l_extendedprice) AS l_extendedprice,
+    max(l_shipdate) AS l_shipdate, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY l_orderkey, l_linenumber),
+last AS (
+  SELECT k, arg_max({{'v': CASE kind WHEN 1 THEN l_extendedprice END}}, n) FILTER (kind <> 2) AS price,
+    arg_max({{'v': l_shipdate}}, n) FILTER (kind = 2) AS day, arg_max({{'v': l_returnflag}}, n) FILTER (kind = 2) AS flag,
+    arg_max({{'v': CASE kind WHEN 1 THEN l_extendedprice END}}, n) FILTER (kind <> 2 AND n < 4) AS early_price,
+    arg_max({{'v': l_shipdate}}, n) FILTER (kind = 2 AND n < 4) AS early_day,
+    arg_max({{'v': l_returnflag}}, n) FILTER (kind = 2 AND n < 4) AS early_flag FROM p GROUP BY k)
+SELECT o_orderkey, o_custkey, o_orderstatus, {select} FROM orders LEFT JOIN last ON o_orderkey = k"""
+
+
+def _order_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("l_linenumber") % 3
+    nothing = F.lit(None)
+    # Some lines of an order have the same number; together they are one patch.
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        *[F.max(c).alias(c) for c in ("l_extendedprice", "l_shipdate", "l_returnflag")])
+    return lines.select(
+        F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("24010"), "l_linenumber", F.lit("_000000")).alias("version"),
+        F.col("l_linenumber").cast("long").alias("seq"),
+        F.when(kind == 2, F.array(F.lit("o_orderdate"), F.lit("o_orderpriority"))).otherwise(F.array(F.lit("o_totalprice"))).alias("named"),
+        F.struct(nothing.cast("bigint").alias("o_custkey"), nothing.cast("string").alias("o_orderstatus"),
+                 F.when(kind == 1, F.col("l_extendedprice")).alias("o_totalprice"), F.col("l_shipdate").alias("o_orderdate"),
+                 F.col("l_returnflag").alias("o_orderpriority")).alias("after"))
+
+
+@register(_patches_sql("""CASE WHEN price IS NULL THEN o_totalprice ELSE price.v END AS o_totalprice,
+  CASE WHEN day IS NULL THEN o_orderdate ELSE day.v END AS o_orderdate,
+  CASE WHEN flag IS NULL THEN o_orderpriority ELSE flag.v END AS o_orderpriority"""))
+def apply_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patches.apply_patches(table(spark, sf_dir, "orders"), _order_patches(spark, sf_dir), _KEY)
+
+
+@register(_patches_sql("""CASE WHEN early_price IS NULL THEN o_totalprice ELSE early_price.v END AS o_totalprice,
+  CASE WHEN early_day IS NULL THEN o_orderdate ELSE early_day.v END AS o_orderdate,
+  CASE WHEN early_flag IS NULL THEN o_orderpriority ELSE early_flag.v END AS o_orderpriority"""))
+def revert_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All patches applied and recorded, then those from the fourth version on taken back."""
+    orders, given = table(spark, sf_dir, "orders"), _order_patches(spark, sf_dir)
+    recorded = patches.with_before(orders, given, _KEY)
+    return patches.revert_patches(patches.apply_patches(orders, given, _KEY), ops.after(recorded, "240103_000000"), _KEY)
+
+
 @register("""SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem
 GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
