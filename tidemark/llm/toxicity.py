@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -351,7 +352,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     model = Model(network)
     x, y = [], []
     for own in (0, 1):
-        shared = docs.sparkSession.sparkContext.broadcast(Model(network.seeing(unseen[own])))
+        shared = docs.sparkSession.sparkContext.broadcast(_packed(Model(network.seeing(unseen[own]))))
         scored = sample.filter(F.col("label") == own).mapInArrow(_scorer(shared, raw=True), f"id {id_type}, label int, score double").toArrow()
         shared.destroy()
         x.append(scored["score"].to_numpy())
@@ -373,10 +374,15 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return model
 
 
+def _packed(model: Model) -> bytes:
+    """The model as bytes with its classes, so that executors need no copy of this package to read the broadcast."""
+    return cloudpickle.dumps(model)
+
+
 def _scorer(shared, raw: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = cloudpickle.loads(shared.value)
         for batch in batches:
-            own = shared.value
             texts = batch.column(1)
             score = own.network.scores(texts).astype(np.float64) if raw else own.probability(texts)
             rest = [batch.column(2)] if raw else []
@@ -394,7 +400,7 @@ def scores(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
     """
     id_type = docs.schema[id_column].dataType.simpleString()
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(
-        _scorer(docs.sparkSession.sparkContext.broadcast(model)), f"id {id_type}, score double")
+        _scorer(docs.sparkSession.sparkContext.broadcast(_packed(model))), f"id {id_type}, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -404,10 +410,12 @@ def held_out(doc_id: Column) -> Column:
 
 def probability(spark, model: Model):
     """A column function: the probability that a text is toxic, as in ``scores``."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(_packed(model))
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.probability(pa.array(texts.where(texts.notna(), None), pa.large_string())))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = cloudpickle.loads(shared.value)
+        for texts in batches:
+            yield pd.Series(own.probability(pa.array(texts.where(texts.notna(), None), pa.large_string())))
 
     return of
