@@ -10,6 +10,7 @@ from ..session import table, workspace
 from ..sources import scripts
 from ..sources.batches import BatchStore
 from ..streaming import ledger as ops
+from ..streaming import state as states
 from . import register
 from .inputs import LEDGER_SQL, ledger_log, order_changes, orders_after_sql
 
@@ -71,3 +72,35 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     once.writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", workspace(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(events.schema).parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _in_waves(rows: DataFrame, waves: list[str], run) -> None:
+    """Write the rows of one wave after the other to the folder of a stream, which runs after each."""
+    spark, path = rows.sparkSession, workspace(rows.sparkSession, "waves")
+    for wave in waves:
+        rows.filter(wave).write.mode("append").parquet(path)
+        run(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
+
+
+@register(f"WITH {LEDGER_SQL} SELECT scope, version, apply_time, seq, is_deleted FROM state")
+def stream_state_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three waves in the order of time; versions that have had no row for five days leave the state."""
+    log = ledger_log(spark, sf_dir).drop("batch_id").withColumn("at", F.timestamp_seconds("apply_time"))
+    keys, order = ["scope", "version"], ["apply_time", "seq"]
+    out, progress = workspace(spark, "closed"), workspace(spark, "progress")
+    _in_waves(log, ["version < '240111'", "version >= '240111' AND version < '240121'", "version >= '240121'"],
+              lambda stream: states.start(
+                  states.latest_by_key(stream, keys, order, "at", "1 hour", 5 * 86400, salts=2), out, progress))
+    return states.current(spark, out, progress, log.schema, keys, order).drop("at")
+
+
+@register("""SELECT event_id, user_id, event_type FROM events WHERE event_id % 10 = 0
+  AND epoch_ms(ts) < (SELECT epoch_ms(max(ts)) FROM events WHERE event_id % 10 <> 0) - 10 * 86400000""")
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth event is delivered after all others; what is more than ten days old then is late."""
+    events = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
+    out, progress = workspace(spark, "late"), workspace(spark, "progress")
+    _in_waves(events, ["event_id % 10 <> 0", "event_id % 10 = 0"], lambda stream: states.start(
+        states.latest_by_key(stream, ["user_id"], ["at", "event_id"], "at", "10 days", 86400), out, progress))
+    return states.emitted(spark, out, events.schema, states.LATE).drop("at")
