@@ -174,3 +174,45 @@ def test_normal_form_and_shorten(spark):
     assert one(spark, text.shorten(F.lit("äöü"), 2)) == "äö..."
     assert one(spark, text.shorten(F.lit("äöü"), 3)) == "äöü"
     assert one(spark, text.shorten(F.lit("äöü"), 0)) == "äöü"
+
+
+def masked_many(spark, texts, secrets):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [r.m for r in df.select("i", text.mask_many("t", secrets).alias("m")).orderBy("i").collect()]
+
+
+def longest_first(s, secrets):
+    out, at, known = [], 0, set(secrets) - {""}
+    sizes = sorted({len(k) for k in known}, reverse=True)
+    while at < len(s):
+        n = next((n for n in sizes if s[at:at + n] in known and len(s[at:at + n]) == n), 0)
+        out.append("****" if n else s[at])
+        at += n or 1
+    return "".join(out)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefghij", "a.\\*[$é😀\n"])
+def test_mask_many_takes_the_longest_secret_of_the_first_place(spark, letters):
+    rng = random.Random(len(letters))
+    secrets = ["".join(rng.choices(letters, k=rng.randint(0, 6))) for _ in range(60)]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 80))) for _ in range(60)] + ["", None]
+    assert masked_many(spark, texts, secrets) == [None if t is None else longest_first(t, secrets) for t in texts]
+
+
+def test_mask_many_equals_repeated_replacement_for_ten_thousand_secrets(spark):
+    rng = random.Random(7)
+    secrets = [f"<{rng.getrandbits(64):x}>" for _ in range(10_000)]
+    texts = ["".join(rng.choice([s, "plain ", "<0>"]) for s in rng.choices(secrets, k=50)) for _ in range(40)]
+    want = []
+    for t in texts:
+        for s in secrets:
+            t = t.replace(s, "****")
+        want.append(t)
+    assert masked_many(spark, texts, secrets) == want
+
+
+def test_mask_many_of_nothing_and_of_too_much(spark):
+    assert masked_many(spark, ["abc", None], ["", ""]) == ["abc", None]
+    assert masked_many(spark, ["x" * 5000 + "y"], ["x" * 5000, "x" * 4999 + "z"]) == ["****y"]
+    with pytest.raises(ValueError, match="characters of secrets"):
+        text.mask_many("t", ["x" * text.MANY_CHARS, "y"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ MASK = "****"
 SECRET_PARAMETERS = ("token", "credential", "s3.secret-access-key", "s3.session-token", "password")
 PLACEHOLDERS = ("cluster", "placeholder_custom", "username", "password")
 
+#: Bound of the pattern that a plan carries.
+MANY_CHARS = 4_000_000
+
 # Fixed value: white space that is trimmed from both ends of a text.
 SPACE = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -98,6 +103,50 @@ def mask_literal_array(text: Column | str, secrets: Column | str) -> Column:
     )
 
 
+def _written(text: str) -> str:
+    """``text`` as a literal of a pattern."""
+    return "".join(c if c.isascii() and c.isalnum() else r"\x{%X}" % ord(c) for c in text)
+
+
+def _choice(branches: Sequence[tuple[str, str]]) -> str:
+    """One of several patterns with different first characters, in order; many are halved by a look ahead."""
+    if len(branches) <= 4:
+        return "|".join(pattern for _, pattern in branches)
+    half = len(branches) // 2
+    first, last = _written(branches[0][0]), _written(branches[half - 1][0])
+    return f"(?=[{first}-{last}])(?:{_choice(branches[:half])})|{_choice(branches[half:])}"
+
+
+def _trie(texts: Sequence[str]) -> str:
+    """Pattern of sorted different texts as a trie: every branch goes on as far as it can, so the longest one wins."""
+    shared = os.path.commonprefix([texts[0], texts[-1]])
+    rest = [t[len(shared):] for t in texts if len(t) > len(shared)]
+    if not rest:
+        return _written(shared)
+    branches = [(first, _trie(list(group))) for first, group in groupby(rest, key=lambda t: t[0])]
+    return f"{_written(shared)}(?:{_choice(branches)}){'?' if len(rest) < len(texts) else ''}"
+
+
+def mask_many(text: Column | str, secrets: Sequence[str]) -> Column:
+    """Replace every secret of a long list in one pass over the text, however many there are.
+
+    At each place the longest secret that begins there is masked, and the search goes on behind it. So where
+    occurrences of two secrets overlap, the one that begins first is masked whole, and of those that begin
+    at one place the longest; what is left of the other stays. Masks are not searched again. Where none overlap, the
+    result is that of :func:`mask_literals`. Empty secrets are skipped, repeated ones count once, a NULL text stays NULL.
+
+    The secrets become one pattern in the plan, which every task compiles once: a trie whose branches are
+    found by halving, so a place costs a few steps and not one per secret. They are a list of the
+    caller, at most ``MANY_CHARS`` characters in all; a longer one is an error.
+    """
+    kept = sorted({s for s in secrets if s})
+    if not kept:
+        return _col(text)
+    if sum(map(len, kept)) > MANY_CHARS:
+        raise ValueError(f"more than {MANY_CHARS} characters of secrets")
+    return F.regexp_replace(_col(text), F.lit(_trie(kept)), F.lit(MASK))
+
+
 def mask_url(url: Column | str) -> Column:
     """Mask the password of ``user:password@`` and the values of secret parameters."""
     url = _col(url)

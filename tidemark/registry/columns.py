@@ -235,6 +235,16 @@ def mask_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("""SELECT event_id, 'by ' || CASE WHEN user_id % 3 = 0 AND user_id < 3000 THEN '****' ELSE 'u' || user_id || 'z' END
+  || ' key ' || CASE WHEN event_id % 7 = 0 AND event_id < 63000 THEN '****' ELSE 'e' || event_id || 'k' END || '!' AS masked
+FROM events""")
+def mask_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten thousand secrets in the lines of a log."""
+    secrets = [f"e{7 * i}k" for i in range(9000)] + [f"u{3 * i}z" for i in range(1000)]
+    line = F.concat(F.lit("by u"), "user_id", F.lit("z key e"), "event_id", F.lit("k!"))
+    return table(spark, sf_dir, "events").select("event_id", text.mask_many(line, secrets).alias("masked"))
+
+
 _SECRET_URL_SQL = """made AS (SELECT page_id,
   CASE WHEN page_id % 3 = 0 THEN replace(url, '://', '://user' || page_id || ':p:w' || page_id || '@')
        WHEN page_id % 3 = 1 THEN replace(url, '://', '://user' || page_id || ':@') ELSE url END
