@@ -134,3 +134,60 @@ def test_redo_of_everything(spark):
     done = spark.createDataFrame([("s", v, i) for i, v in enumerate((A, B, C))], "scope string, version string, apply_time bigint")
     got = [(r.direction, r.version) for r in steps.redo_plan(done, None).orderBy("step").collect()]
     assert got == [("revert", C), ("revert", B), ("revert", A), ("apply", A), ("apply", B), ("apply", C)]
+
+
+@pytest.mark.parametrize("change", ["compact", "purge"])
+def test_an_append_during_a_rewrite_is_kept(spark, ledger, change):
+    ledger.record(keys(spark, A, B), 100)
+    write = ledger._write
+
+    def overtaken(rows, folder, mode):
+        ledger._write = write
+        Ledger(spark, ledger.path).record(keys(spark, C), 200)
+        write(rows, folder, mode)
+
+    ledger._write = overtaken
+    ledger.compact() if change == "compact" else ledger.purge(keys(spark, A))
+    left = [state.BASE_VERSION, *([A, B] if change == "compact" else [B])]
+    assert versions(ledger.applied()) == [*left, C]
+    # The next rewrite merges it, and rows are counted once.
+    for _ in range(2):
+        ledger.compact()
+        assert versions(ledger.log()) == [*left, C]
+
+
+def test_a_failed_append_is_not_read(spark, ledger):
+    ledger.record(keys(spark, A), 100)
+    rows = ledger.log().filter(F.col("version") == A).withColumn("version", F.lit(B))
+    rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy("yyyymm").parquet(
+        f"{ledger.path}/appends/append=broken")
+    assert versions(ledger.applied()) == [state.BASE_VERSION, A]
+
+
+def test_a_failed_rewrite_leaves_the_log_and_can_be_repeated(spark, ledger):
+    ledger.record(keys(spark, A), 100)
+    write, ledger._write = ledger._write, None
+    with pytest.raises(TypeError):
+        ledger.compact()
+    ledger._write = write
+    ledger.record(keys(spark, B), 200)
+    assert versions(ledger.applied()) == [state.BASE_VERSION, A, B]
+    ledger.compact()
+    assert versions(ledger.log()) == [state.BASE_VERSION, A, B]
+
+
+def test_purge_reaches_null_scopes(spark, ledger):
+    ledger.record(keys(spark, A, B, scope=None), 100)
+    ledger.record(keys(spark, A), 100)
+    ledger.purge(keys(spark, A, scope=None))
+    found = sorted((str(r.scope), r.version) for r in ledger.log().filter(F.col("version") != state.BASE_VERSION).collect())
+    assert found == [("None", B), ("s", A)]
+
+
+def test_months_prune_generations_and_appends(spark, ledger):
+    ledger.record(keys(spark, A), 1_700_000_000)
+    ledger.compact()
+    ledger.record(keys(spark, B), 1_710_000_000)
+    ledger.record(keys(spark, C), 1_700_000_001)
+    assert versions(ledger.log(["202311"])) == [A, C]
+    assert versions(ledger.log(["202403"])) == [B]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ledger_state import BASE_VERSION, KEY, applied, guard_reserved, latest
+from ..operators.ledger_state import BASE_VERSION, KEY, applied, guard_reserved, join_keys, latest
 from ..session import local_frame
 from . import files
 
@@ -67,8 +68,10 @@ def to_properties(rows: DataFrame) -> DataFrame:
 class Ledger:
     """A stored ledger. One writer at a time compacts; appends and reads may run beside others.
 
-    The log lives in numbered generations. A generation counts once Spark has put its success
-    marker there, so a failed first write or compaction leaves nothing that is read.
+    The log is the newest of the numbered generations and all appends that it has not merged. Each append has a
+    folder of its own, so one that ends while a compaction runs is not in that compaction's list and
+    stays part of the log. A folder counts once Spark has put its success marker there, so a
+    failed write leaves nothing that is read.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -100,10 +103,26 @@ class Ledger:
 
     def append(self, rows: DataFrame) -> None:
         """Append ledger rows as they are; the base row is refused."""
+        if not self.exists():
+            raise ValueError("the ledger is not initialised")
+        self._write(guard_reserved(rows), f"{self.path}/appends/append={uuid.uuid4().hex}", "errorifexists")
+
+    def _appends(self) -> list[str]:
+        folder = f"{self.path}/appends"
+        return [n.partition("=")[2] for n in files.names(self.spark, folder) if files.exists(self.spark, f"{folder}/{n}/_SUCCESS")]
+
+    def _merged(self, generation: int) -> str:
+        return f"{self.path}/merged/g={generation:06d}"
+
+    def _state(self) -> tuple[int, list[str], list[str]]:
+        """The newest generation, the appends it has merged, and those that come on top."""
         current = self._generations()
         if not current:
             raise ValueError("the ledger is not initialised")
-        self._write(guard_reserved(rows), self._folder(current[-1]), "append")
+        merged = []
+        if current[-1]:
+            merged = [r.append for r in self.spark.read.schema("append string").parquet(self._merged(current[-1])).collect()]
+        return current[-1], merged, sorted(set(self._appends()) - set(merged))
 
     def record(self, keys: DataFrame, apply_time: int | None = None, batch_id: str | None = None) -> None:
         """Mark versions as applied, now or at a given shared time."""
@@ -117,12 +136,19 @@ class Ledger:
 
     def log(self, months: Sequence[str] | None = None) -> DataFrame:
         """All stored rows. An empty ledger reads as no rows, as a dry run needs it."""
-        current = self._generations()
-        if not current:
+        if not self.exists():
             return local_frame(self.spark, STORED)
-        rows = self.spark.read.schema(STORED).parquet(self._folder(current[-1]))
+        generation, _, added = self._state()
+        rows = self._rows(generation, added)
         return rows if months is None else rows.filter(F.col("yyyymm").isin(list(months)))
 
+    def _rows(self, generation: int, added: Sequence[str]) -> DataFrame:
+        rows = self.spark.read.schema(STORED).parquet(self._folder(generation))
+        if not added:
+            return rows
+        appends = self.spark.read.schema(f"{STORED}, append string").parquet(f"{self.path}/appends")
+        return rows.unionByName(appends.filter(F.col("append").isin(list(added))).drop("append"))
+
     def applied(self) -> DataFrame:
         return applied(self.log())
 
@@ -132,14 +158,16 @@ class Ledger:
         Tombstones stay, so a row that arrives late does not come back to life. The old
         generation is left in place for readers that started on it.
         """
-        self._next(latest(self.log()))
+        self._next(latest)
 
     def purge(self, keys: DataFrame) -> None:
-        """Physically remove all rows of the keys, as a new generation."""
-        self._next(self.log().join(guard_reserved(keys.select(*KEY)).distinct(), list(KEY), "left_anti"))
-
-    def _next(self, rows: DataFrame) -> None:
-        current = self._generations()
-        if not current:
-            raise ValueError("the ledger is not initialised")
-        self._write(rows, self._folder(current[-1] + 1), "overwrite")
+        """Physically remove all rows of the keys, as a new generation. A NULL scope is a scope."""
+        gone = guard_reserved(keys.select(*KEY)).distinct()
+        self._next(lambda rows: join_keys(rows, gone, KEY, "left_anti"))
+
+    def _next(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        generation, merged, added = self._state()
+        # The list counts only together with its generation, whose success marker comes last.
+        local_frame(self.spark, "append string", {"append": merged + added}).coalesce(1).write.mode("overwrite").parquet(
+            self._merged(generation + 1))
+        self._write(change(self._rows(generation, added)), self._folder(generation + 1), "overwrite")
