@@ -84,6 +84,54 @@ def test_two_writers_do_not_share_a_commit(spark, folder):
     assert open(path).read() == "first"
 
 
+def overtaken(store, name, rival):
+    """Let ``rival`` run once, after the store's method ``name``."""
+    method = getattr(store, name)
+
+    def run(*args, **kwargs):
+        result = method(*args, **kwargs)
+        setattr(store, name, method)
+        rival()
+        return result
+
+    setattr(store, name, run)
+
+
+def test_a_release_that_was_overtaken_is_refused(spark, store):
+    rival = BatchStore(spark, store.path)
+
+    def release(where):
+        return where.release(versions(spark, "a"), {"t": rows(spark, 1)}, {"t": ["id"]}, 10)
+
+    overtaken(store, "check_unique", lambda: release(rival))
+    with pytest.raises(Refused, match="start over"):
+        release(store)
+    assert ids(store) == [1] and [r.version for r in store.applied().collect()] == ["a"]
+    with pytest.raises(AlreadyApplied):
+        release(store)
+
+
+def test_a_rollback_that_was_overtaken_is_refused(spark, store):
+    store.release(versions(spark, "a"), {"t": rows(spark, 1)}, apply_time=10)
+    rival = BatchStore(spark, store.path)
+    overtaken(store, "newest", lambda: rival.release(versions(spark, "b"), {"t": rows(spark, 2)}, apply_time=20))
+    with pytest.raises(Refused, match="start over"):
+        store.rollback()
+    assert ids(store) == [1, 2]
+    store.rollback()
+    assert ids(store) == [1]
+
+
+def test_best_effort_stops_when_it_was_overtaken(spark, store):
+    schema = rows(spark).schema
+    for n in (1, 2):
+        store.stage("t", rows(spark, n), f"b{n}")
+    rival = BatchStore(spark, store.path)
+    overtaken(store, "check_unique", lambda: rival.release(versions(spark, "r"), {"t": rows(spark, 1)}, {"t": ["id"]}, 5))
+    done, error = store.apply_each(["b1", "b2"], "t", schema, ["id"], 10)
+    assert done == [] and "start over" in error and ids(store) == [1]
+
+
 def test_a_broken_commit_file_is_ignored(spark, store, folder):
     store.stage("t", rows(spark, 1), "b1")
     files.create_once(spark, folder + "/store/commits/00000001.json", "")

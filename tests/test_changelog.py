@@ -167,3 +167,23 @@ def test_a_command_is_one_commit(log):
         call()
         assert commits() == n
     assert log.down(1) == VERSIONS[:1] and log.down(1) == [] and commits() == 6
+
+
+@pytest.mark.parametrize("command", ["up", "release", "down", "rollback", "redo"])
+def test_a_command_that_was_overtaken_is_refused(log, command):
+    log.up(2, apply_time=10)
+    owner, name = (log.store, "newest") if command == "rollback" else (log, "_versions")
+    read = getattr(owner, name)
+
+    def late(*args):
+        found = read(*args)
+        setattr(owner, name, read)
+        # A release would meet another's version by itself, so there a version is taken back meanwhile.
+        log.revert(VERSIONS[1]) if command == "release" else log.apply(VERSIONS[3], apply_time=50)
+        return found
+
+    setattr(owner, name, late)
+    with pytest.raises(Refused, match="start over"):
+        getattr(log, command)(*[1] if command == "up" else [])
+    left = VERSIONS[:1] if command == "release" else [*VERSIONS[:2], VERSIONS[3]]
+    assert sorted(r.version for r in log.applied().collect()) == left

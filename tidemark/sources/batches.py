@@ -42,6 +42,10 @@ class BatchStore:
     Rows are staged under ``tables/<table>/batch_id=<id>``. Creating the next file below
     ``commits`` is the only commit point: readers take the committed ids first and filter the
     partition column by them. Staged rows without a commit are never read.
+
+    Whoever publishes notes the last commit before its checks and creates the one that follows it.
+    When another writer was first, the checks are out of date: :class:`Refused`, and the caller
+    starts over.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -49,15 +53,16 @@ class BatchStore:
 
     # -- commits
 
-    def _commit(self, rows: Sequence[Mapping]) -> None:
-        folder = f"{self.path}/commits"
-        while True:
-            taken = [int(n.split(".")[0]) for n in files.names(self.spark, folder) if n.endswith(".json")]
-            n = max(taken, default=0) + 1
-            # One line whose last field says that it was written to the end.
-            text = json.dumps({"n": n, "entries": list(rows), "complete": True}) + "\n"
-            if files.create_once(self.spark, f"{folder}/{n:08d}.json", text):
-                return
+    def last(self) -> int:
+        """Number of the newest commit, 0 if there is none."""
+        found = files.names(self.spark, f"{self.path}/commits")
+        return max((int(n.split(".")[0]) for n in found if n.endswith(".json")), default=0)
+
+    def _commit(self, rows: Sequence[Mapping], after: int) -> None:
+        # One line whose last field says that it was written to the end.
+        text = json.dumps({"n": after + 1, "entries": list(rows), "complete": True}) + "\n"
+        if not files.create_once(self.spark, f"{self.path}/commits/{after + 1:08d}.json", text):
+            raise Refused("another writer published meanwhile; start over")
 
     def commits(self) -> DataFrame:
         folder = f"{self.path}/commits"
@@ -81,34 +86,43 @@ class BatchStore:
     def is_committed(self, batch_id: str) -> bool:
         return not self.committed().filter(F.col("batch_id") == batch_id).isEmpty()
 
-    def commit(self, batch_ids: Iterable[str], apply_time: int, strict: bool = True, step: int = 0) -> list[str]:
-        """Make staged batches visible together, each ``step`` later. Applied ones raise, or are skipped if not strict."""
+    def commit(self, batch_ids: Iterable[str], apply_time: int, strict: bool = True, step: int = 0,
+               after: int | None = None) -> list[str]:
+        """Make staged batches visible together, each ``step`` later. Applied ones raise, or are skipped if not strict.
+
+        ``after`` is the :meth:`last` commit that the caller's own checks have seen.
+        """
         wanted = list(batch_ids)
+        after = self.last() if after is None else after
         known = self._live(wanted)
         if known and strict:
             raise AlreadyApplied(", ".join(sorted(known)))
         new = [b for b in wanted if b not in known]
         if new:
-            self._commit([{"batch_id": b, "apply_time": apply_time + i * step, "live": True} for i, b in enumerate(new)])
+            self._commit([{"batch_id": b, "apply_time": apply_time + i * step, "live": True} for i, b in enumerate(new)],
+                         after)
         return new
 
-    def renew(self, batch_ids: Iterable[str], apply_time: int, step: int = 0) -> list[str]:
+    def renew(self, batch_ids: Iterable[str], apply_time: int, step: int = 0, after: int | None = None) -> list[str]:
         """Give live batches new apply times together, as if they were taken back and made visible again."""
         wanted = list(batch_ids)
+        after = self.last() if after is None else after
         gone = set(wanted) - set(self._live(wanted))
         if gone:
             raise NotApplied(", ".join(sorted(gone)))
         if wanted:
-            self._commit([{"batch_id": b, "apply_time": apply_time + i * step, "live": True} for i, b in enumerate(wanted)])
+            self._commit([{"batch_id": b, "apply_time": apply_time + i * step, "live": True} for i, b in enumerate(wanted)],
+                         after)
         return wanted
 
-    def withdraw(self, batch_ids: Iterable[str]) -> None:
+    def withdraw(self, batch_ids: Iterable[str], after: int | None = None) -> None:
         """Take live batches back, newest commit wins; their files stay where they are."""
         wanted = list(batch_ids)
+        after = self.last() if after is None else after
         live = self._live(wanted)
         if set(wanted) - set(live):
             raise NotApplied(", ".join(sorted(set(wanted) - set(live))))
-        self._commit([{"batch_id": b, "apply_time": live[b], "live": False} for b in wanted])
+        self._commit([{"batch_id": b, "apply_time": live[b], "live": False} for b in wanted], after)
 
     # -- tables
 
@@ -167,7 +181,7 @@ class BatchStore:
         """Apply all versions and their rows as one batch with one apply time, or nothing."""
         at = int(time.time()) if apply_time is None else apply_time
         batch_id = batch_id or f"b{at}-{uuid.uuid4().hex[:8]}"
-        new = versions.select(*KEY)
+        new, after = versions.select(*KEY), self.last()
         if not self.applied().join(new, list(KEY), "left_semi").isEmpty():
             raise AlreadyApplied("a version of the batch is applied")
         for table, rows in tables.items():
@@ -175,7 +189,7 @@ class BatchStore:
         self.stage(LEDGER, ledger_rows(new, F.lit(at)).drop("batch_id"), batch_id)
         for table, columns in (keys or {}).items():
             self.check_unique(table, tables[table].schema, columns, batch_id)
-        self.commit([batch_id], at)
+        self.commit([batch_id], at, after=after)
         return batch_id
 
     def newest(self) -> list[str]:
@@ -186,6 +200,7 @@ class BatchStore:
 
     def rollback(self, counterparts: DataFrame | None = None) -> list[str]:
         """Take back the newest batch. Refused when a version of it has no way down."""
+        after = self.last()
         newest = self.newest()
         if not newest:
             return []
@@ -193,7 +208,7 @@ class BatchStore:
             versions = self.applied().filter(F.col("batch_id").isin(newest))
             if not missing_counterparts(versions, counterparts, KEY).isEmpty():
                 raise Refused("a version has no counterpart to revert it")
-        self.withdraw(newest)
+        self.withdraw(newest, after)
         return newest
 
     def apply_each(self, batch_ids: Sequence[str], table: str, schema: T.StructType,
@@ -202,8 +217,9 @@ class BatchStore:
         done: list[str] = []
         for i, batch_id in enumerate(batch_ids):
             try:
+                after = self.last()
                 self.check_unique(table, schema, keys, batch_id)
-                self.commit([batch_id], first_time + i)
+                self.commit([batch_id], first_time + i, after=after)
             except ValueError as error:
                 return done, str(error)
             done.append(batch_id)

@@ -153,39 +153,42 @@ class ChangeLog:
         if n is not None and n < 1:
             raise ValueError("n must be at least 1")
 
-    def _apply(self, versions: Sequence[str], apply_time: int | None) -> list[str]:
+    def _apply(self, versions: Sequence[str], apply_time: int | None, after: int) -> list[str]:
         """One commit; the apply times still count up, so each version is a batch of its own."""
-        return self.store.commit(versions, int(time.time()) if apply_time is None else apply_time, step=1)
+        return self.store.commit(versions, int(time.time()) if apply_time is None else apply_time, step=1, after=after)
 
-    def _revert(self, versions: Sequence[str]) -> list[str]:
+    def _revert(self, versions: Sequence[str], after: int) -> list[str]:
         if versions:
-            self.store.withdraw(versions)
+            self.store.withdraw(versions, after)
         return list(versions)
 
     def up(self, n: int | None = None, apply_time: int | None = None) -> list[str]:
         """Apply the first ``n`` pending versions in one commit, oldest first; ``None`` means all."""
         self._check(n)
-        todo = self.pending()
-        return self._apply(self._versions(todo if n is None else todo.limit(n)), apply_time)
+        after, todo = self.store.last(), self.pending()
+        return self._apply(self._versions(todo if n is None else todo.limit(n)), apply_time, after)
 
     def down(self, n: int | None = 1) -> list[str]:
         """Revert the newest ``n`` applied versions in one commit, newest first."""
         self._check(n)
-        return self._revert(self._versions(self.history(n)))
+        after = self.store.last()
+        return self._revert(self._versions(self.history(n)), after)
 
     def redo(self, n: int | None = 1, apply_time: int | None = None) -> list[str]:
         """Revert the newest ``n`` versions and apply them again, oldest first, in one commit."""
         self._check(n)
+        after = self.store.last()
         again = self._versions(self.history(n))[::-1]
-        return self.store.renew(again, int(time.time()) if apply_time is None else apply_time, step=1)
+        return self.store.renew(again, int(time.time()) if apply_time is None else apply_time, step=1, after=after)
 
     def to(self, target: str, apply_time: int | None = None) -> list[str]:
         """Go to a target: back to it when it is applied, otherwise forward up to it."""
+        after = self.store.last()
         stamp = self.spark.range(1).select(normalize_target(F.lit(target), strict=True)).first()[0]
         plan = steps.plan_to(self.defined(), self.applied(), stamp, numbered=False)
         if self.applied().filter(version_key("version") == stamp).isEmpty():
-            return self._apply(self._versions(plan), apply_time)
-        return self._revert(self._versions(plan))
+            return self._apply(self._versions(plan), apply_time, after)
+        return self._revert(self._versions(plan), after)
 
     def apply(self, version: str, apply_time: int | None = None) -> None:
         """Apply one version; raises when it is not defined or applied already."""
@@ -199,12 +202,14 @@ class ChangeLog:
 
     def release(self, apply_time: int | None = None) -> list[str]:
         """Apply everything pending as one batch with one apply time, all or nothing."""
+        after = self.store.last()
         todo = self._versions(self.pending())
-        return self.store.commit(todo, int(time.time()) if apply_time is None else apply_time) if todo else []
+        return self.store.commit(todo, int(time.time()) if apply_time is None else apply_time, after=after) if todo else []
 
     def rollback(self) -> list[str]:
         """Revert the newest batch as one step."""
+        after = self.store.last()
         newest = sorted(self.store.newest(), reverse=True)
         if newest:
-            self.store.withdraw(newest)
+            self.store.withdraw(newest, after)
         return newest
