@@ -1,5 +1,9 @@
+import glob
+import os
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.transforms import PartitionField
 from tidemark.operators import layout
@@ -140,3 +144,50 @@ def test_shards_are_balanced(spark):
     rows = spark.range(10_000).select(F.col("id").cast("string").alias("version"))
     sizes = [r["count"] for r in layout.shard(rows, 8).groupBy("shard").count().collect()]
     assert len(sizes) == 8 and max(sizes) < 1.2 * min(sizes)
+
+
+def spoil(folder, keep):
+    """Overwrite all data files below a folder, but those of the partitions to keep, with what no reader accepts."""
+    left = 0
+    for part in glob.glob(f"{folder}/**/*.parquet", recursive=True):
+        if any(k in part for k in keep):
+            left += 1
+        else:
+            with open(part, "r+b") as f:
+                f.write(b"\0" * os.path.getsize(part))
+    return left
+
+
+def test_a_joined_table_prunes_every_spec(spark, folder):
+    schema = T.StructType.fromDDL("id bigint, day date, user bigint")
+    rows = spark.range(4000).select("id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 20).cast("int")).alias("day"),
+                                    F.col("id").alias("user"))
+    days = PartitionField("days", "day")
+    first = Layout(((days,),))
+    first.write(rows.filter("id < 2000"), folder)
+    second = first.add(PartitionField("bucket", "user", 8))
+    second.write(rows.filter("id >= 2000"), folder)
+    keys = spark.createDataFrame([(45, "2024-01-06"), (45, "2024-01-06"), (2045, "2024-01-06"), (7, "2024-01-06"), (None, "2024-01-08")],
+                                 "user int, day string")
+    bucket = rows.filter("id = 2045 or id = 45 or id = 7").select(
+        second.current[1].value(schema, F.col("user")).alias("b")).distinct().collect()
+    day = 19723 + 5
+    kept = spoil(folder, [f"spec=0/day_days={day}/", *[f"spec=1/day_days={day}/user_bucket_8={r.b}/" for r in bucket]])
+    assert 2 <= kept <= 4
+    found = second.matching(spark, folder, schema, keys)
+    assert "dynamicpruning" in physical(found)
+    assert sorted((r.id, r.spec_id) for r in found.collect()) == [(45, 0), (2045, 1)]
+    # Without the keys of the other table the spoiled files are read.
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        second.read(spark, folder, schema).filter("user = 45").collect()
+
+
+def test_matching_on_nothing_and_on_unpartitioned_columns(spark, folder):
+    schema = T.StructType.fromDDL("id bigint, day date")
+    layout_ = Layout(((PartitionField("days", "day"),),))
+    keys = spark.createDataFrame([(3,), (3,), (None,)], "id bigint")
+    assert layout_.matching(spark, folder, schema, keys).isEmpty()
+    rows = spark.range(10).select("id", F.lit("2024-01-01").cast("date").alias("day"))
+    layout_.write(rows.union(rows).union(rows.select(F.lit(None).cast("bigint"), "day")), folder)
+    assert [tuple(r)[::2] for r in layout_.matching(spark, folder, schema, keys).collect()] == [(3, 0), (3, 0)]
+    assert layout_.matching(spark, folder, schema, keys.filter("id > 5")).isEmpty()

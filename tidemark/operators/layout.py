@@ -165,6 +165,31 @@ class Layout:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts, empty)
 
 
+    def matching(self, spark: SparkSession, path: str, schema: T.StructType, keys: DataFrame) -> DataFrame:
+        """Rows that equal some row of ``keys`` in all columns of it, read only from partitions that can hold them.
+
+        ``keys`` is another table, with any of the columns of this one. Its rows go through the transforms of each spec, and
+        the partitions that come out, no more than the table has, are joined to the files of that spec alone,
+        so a runtime filter skips the folders of all others. NULL equals nothing; repeated keys count once.
+        """
+        wanted = keys.select(*[F.col(f"`{c}`").cast(schema[c].dataType).alias(c) for c in keys.columns]).dropna().distinct()
+        wanted = materialize(wanted, "keys")
+        parts = []
+        for i, spec in enumerate(self.specs):
+            if not files.exists(spark, f"{path}/spec={i}"):
+                continue
+            part = read_table(spark, f"{path}/spec={i}", schema, spec)
+            fields = [f for f in spec if f.source in keys.columns]
+            if fields:
+                columns = [f.column for f in fields]
+                held = materialize(with_partitions(wanted, fields).groupBy(*columns).agg(F.count("*").alias("_n")), "partitions")
+                # A runtime filter is only planned for a side that is filtered itself; every row passes.
+                part = part.join(held.filter("_n > 0").drop("_n"), columns, "left_semi")
+            parts.append(part.join(wanted, keys.columns, "left_semi").select(*schema.names, F.lit(i).alias("spec_id")))
+        empty = local_frame(spark, schema).withColumn("spec_id", F.lit(self.spec_id))
+        return reduce(DataFrame.unionByName, parts, empty)
+
+
 def order_violations(spark: SparkSession, path: str, schema: T.StructType,
                      order: Sequence[SortField], spec: Sequence[PartitionField] = ()) -> DataFrame:
     """Per file: rows, and rows that stand before their predecessor in the write order."""

@@ -109,3 +109,18 @@ def pruned_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.equal_to(stored, events.schema, [_USER], "user_id", 8).select(
         "event_id", "ts", "user_id", "event_type", "value"
     )
+
+
+@register(f"""SELECT event_id, user_id, CAST(ts >= {_HALF} AS INTEGER) AS spec_id FROM events e
+WHERE EXISTS (SELECT 1 FROM events k WHERE k.event_type = 'error' AND CAST(k.ts AS DATE) IN (DATE '2024-01-05', DATE '2024-01-20')
+  AND k.user_id = e.user_id AND k.ts = e.ts)""")
+def pruned_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happened together with the errors of two days, from a table with two specs, by days and by bucket."""
+    events, path = table(spark, sf_dir, "events"), workspace(spark, "pruned-join")
+    first = Layout(((_DAY,),))
+    first.write(events.filter(f"ts < {_HALF}"), path)
+    second = first.add(_USER)
+    second.write(events.filter(f"ts >= {_HALF}"), path)
+    days = F.to_date("ts").isin(F.lit("2024-01-05").cast("date"), F.lit("2024-01-20").cast("date"))
+    keys = events.filter((F.col("event_type") == "error") & days).select("ts", "user_id")
+    return second.matching(spark, path, events.schema, keys).select("event_id", "user_id", "spec_id")
