@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import names, text, transforms
+from ..functions import names, spans, text, transforms
 from ..session import table
 from . import register
 
@@ -175,6 +175,19 @@ def split_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.md5("statement").alias("statement_md5"))
 
 
+@register(rf"""WITH made AS (SELECT doc_id, string_split(replace(replace(text, '$', ''), '.', ';'), ';') AS p FROM documents),
+parts AS (SELECT doc_id, len(p) AS k, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM made),
+placed AS (SELECT *, coalesce(sum(length(s) + 1) OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM parts),
+cut AS (SELECT *, length(s) - length(regexp_replace(s, '^{_SPACE}+', '')) AS lead,
+    length(CASE WHEN i = k THEN regexp_replace(s, '{_SPACE}+$', '') ELSE s END) AS size FROM placed)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS number,
+  CAST(before + lead + 1 AS BIGINT) AS first, CAST(before + size AS BIGINT) AS last FROM cut WHERE size > lead""")
+def statement_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    script = F.replace(F.replace("text", F.lit("$"), F.lit("")), F.lit("."), F.lit(";"))
+    return spans.statement_spans(table(spark, sf_dir, "documents").select("doc_id", script.alias("script")), "script").drop("script")
+
+
 # Every third sentence is a $$ body, whose semicolons must not split.
 @register(rf"""WITH made AS (SELECT conv_id, turn, list_transform(
       string_split(replace(text, '$', ''), '.'),
