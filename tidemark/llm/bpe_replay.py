@@ -18,8 +18,8 @@ from . import words as W
 SHIFT = 20
 GAP, GONE = -1, -2
 NO_PAIR = np.int32(np.iinfo(np.int32).max)
-#: Text whose distinct words are merged together.
-SLICE_BYTES = 32 << 20
+#: Text whose distinct words are merged together. Merging a slice takes some twenty times its bytes.
+SLICE_BYTES = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -35,7 +35,7 @@ _SIGN = np.uint64(1 << 63)
 
 def _sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and sorted distinct shingle hashes of each text."""
-    for low, high in W.slices(texts):
+    for low, high in W.slices(texts, W.PIECE_BYTES):
         data, offsets = W.buffers(texts.slice(low, high - low))
         hashes, _, _, first = W.hashed_words(data, offsets)
         for i in range(high - low):
@@ -62,19 +62,21 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, prints, rows = [], [], []
-        for _, values in _sets(batch.column(1)):
-            n.append(len(values))
-            prints.append(_fingerprint(values))
-            rows.append(_signed(values[:SKETCH]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), _lists(rows)],
-            ["id", "n", "item", "sketch"])
+        for low, high in W.slices(batch.column(1), W.PIECE_BYTES):
+            n, prints, rows = [], [], []
+            for _, values in _sets(batch.column(1).slice(low, high - low)):
+                n.append(len(values))
+                prints.append(_fingerprint(values))
+                # A copy: a view would keep the whole set.
+                rows.append(_signed(values[:SKETCH].copy()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(low, high - low), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), _lists(rows)],
+                ["id", "n", "item", "sketch"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low, high in W.slices(batch.column(0)):
+        for low, high in W.slices(batch.column(0), W.PIECE_BYTES):
             prints, rows = [], []
             for _, values in _sets(batch.column(0).slice(low, high - low)):
                 prints.append(_fingerprint(values))

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -337,16 +336,18 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         F.min("text").alias("text")).select("id", "text", "label"), "sample")
     id_type = texts.schema["id"].dataType.simpleString()
     lessons = sample.mapInArrow(_hardest(unseen), f"id {id_type}, label int, rows array<int>").toArrow()
-    lessons = sorted(zip(map(str, lessons["id"].to_pylist()), lessons["label"].to_pylist(), lessons["rows"].to_pylist()),
-                     key=lambda r: (r[0], r[2]))
+    # Rows as big-endian bytes compare as their numbers do.
+    held = [np.asarray(r.values, ">i4").tobytes() for r in lessons["rows"]]
+    lessons = sorted(zip(map(str, lessons["id"].to_pylist()), lessons["label"].to_pylist(), held), key=lambda r: (r[0], r[2]))
     label = np.array([r[1] for r in lessons], np.float32)
     if len(set(label.tolist())) < 2:
         return Model(network, 0.0, -np.inf)
     rows = np.zeros((len(lessons), WINDOW, len(BUCKETS)), np.int32)
     mask = np.zeros((len(lessons), WINDOW), bool)
     for i, (_, _, own) in enumerate(lessons):
-        n = len(own) // len(BUCKETS)
-        rows[i, :n] = np.array(own).reshape(n, -1)
+        own = np.frombuffer(own, ">i4").reshape(-1, len(BUCKETS))
+        n = len(own)
+        rows[i, :n] = own
         mask[i, :n] = True
     network.fit(rows, mask, label, unseen)
     model = Model(network)
@@ -412,10 +413,10 @@ def probability(spark, model: Model):
     """A column function: the probability that a text is toxic, as in ``scores``."""
     shared = spark.sparkContext.broadcast(_packed(model))
 
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = cloudpickle.loads(shared.value)
         for texts in batches:
-            yield pd.Series(own.probability(pa.array(texts.where(texts.notna(), None), pa.large_string())))
+            yield pa.array(own.probability(texts))
 
     return of
