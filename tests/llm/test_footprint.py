@@ -5,7 +5,7 @@ import tracemalloc
 
 import pyarrow as pa
 
-from tidemark.llm import minhash_dedup
+from tidemark.llm import minhash_dedup, substring_dedup
 
 
 def test_sketches_hold_pieces_and_not_batches():
@@ -19,3 +19,20 @@ def test_sketches_hold_pieces_and_not_batches():
     finally:
         tracemalloc.stop()
     assert rows == len(texts) and peak < 64 << 20
+
+
+def test_passages_write_keys_once_and_number_items(spark, monkeypatch):
+    written = {}
+
+    def spy(df, label):
+        written.setdefault(label, dict(df.dtypes))
+        return kept(df, label)
+
+    kept = substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", spy)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, f"before {text}"), (3, text.replace("w30", "other"))]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert 2 in {r.id for r in found}
+    assert "smallest" not in written["items"]
+    assert written["shingles"]["item"] == written["postings"]["item"] == "bigint"

@@ -50,7 +50,7 @@ def _prints(shingles: np.ndarray) -> np.ndarray:
 
 def _paragraphs(texts: pa.Array) -> Iterator[tuple]:
     """Per slice: text numbers, first words, first and last code point, shingles (paragraphs x 16), fingerprints."""
-    for low, high in W.slices(texts):
+    for low, high in W.slices(texts, W.PIECE_BYTES):
         data, offsets = W.buffers(texts.slice(low, high - low))
         words, start, end, first = W.hashed_words(data, offsets)
         points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
@@ -106,7 +106,7 @@ def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     steps = np.arange(REACH)
     weights = W.mix(np.arange(1, REACH + 1, dtype=np.uint64)) | np.uint64(1)
     for batch in batches:
-        for low, high in W.slices(batch.column(1)):
+        for low, high in W.slices(batch.column(1), W.PIECE_BYTES):
             data, offsets = W.buffers(batch.column(1).slice(low, high - low))
             words, start, end, first = W.hashed_words(data, offsets)
             if len(words) < LENGTH:
@@ -191,16 +191,22 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     places = materialize(texts.mapInArrow(
         _place_batches, f"id {id_type}, word int, start int, end int, item binary, smallest array<bigint>"), "paragraphs")
     # Equal paragraphs are one item. A linked pair shares one of the smallest shingles of both, so none is lost here.
-    items = places.groupBy("item").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("smallest").alias("smallest"))
-    items = materialize(items, "items")
-    keys = items.select("item", F.explode(F.array_distinct("smallest")).alias("key"))
-    crowded = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    met = materialize(keys.join(crowded, "key", "left_semi").select("item").distinct(), "met")
-    chosen = items.join(met, "item", "left_semi").select(F.col("low").alias("id")).distinct()
+    items = materialize(places.groupBy("item").agg(F.min("id").alias("low"), F.max("id").alias("high")), "items")
+    # Keys travel with 8 bytes of their item: a key that two items have meets two prints.
+    print_ = F.xxhash64("item").alias("print")
+    keys = places.select(print_, F.explode(F.array_distinct("smallest")).alias("key"))
+    crowded = (
+        keys.groupBy("key").agg(F.min("print").alias("least"), F.max("print").alias("most")).filter("least < most").select("key")
+    )
+    prints = keys.join(crowded, "key", "left_semi").select("print").distinct()
+    # Once written, the numbers stay as they are; lists and rounds carry them in place of the items.
+    met = materialize(items.select("item", "low", print_).join(prints, "print", "left_semi").select("item", "low").withColumn(
+        "number", F.monotonically_increasing_id()), "met")
+    chosen = met.select(F.col("low").alias("id")).distinct()
     full = materialize(
         texts.join(chosen, "id", "left_semi").select("text").mapInArrow(_shingle_batches, "item binary, shingles array<bigint>")
-        .join(met, "item", "left_semi").dropDuplicates(["item"])
-        .select("item", F.array_distinct("shingles").alias("shingles")), "shingles")
+        .join(met.select("item", "number"), "item").dropDuplicates(["number"])
+        .select(F.col("number").alias("item"), F.array_distinct("shingles").alias("shingles")), "shingles")
     full = full.withColumn("n", F.size("shingles").cast("long"))
     members = materialize(rare_postings(full, "shingles", F.ceil(F.col("n") * PERCENT / 100).cast("int")), "postings")
 
@@ -210,10 +216,12 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
         linked = similar(F.col("of_a"), F.col("of_b"), PERCENT)
         return pairs.join(a, "a").join(b, "b").withColumn("linked", linked).drop("of_a", "of_b")
 
-    linked = linked_components(members, check, PERCENT)
+    linked = linked_components(members, check, PERCENT).withColumnRenamed("item", "number")
+    linked = met.select("item", "number").join(linked, "number").select("item", "component")
     spread = (
-        items.select("item", "low", "high").join(linked, "item", "left")
-        .withColumn("cluster", F.coalesce("component", "item"))
+        items.join(linked, "item", "left")
+        # An item without links is a cluster of its own; its 32 digits are no number of another.
+        .withColumn("cluster", F.coalesce(F.col("component").cast("string"), F.hex("item")))
     )
     spread = spread.filter(F.col("component").isNotNull() | (F.col("low") < F.col("high")))
     spread = materialize(spread.select("item", "low", "high", "cluster"), "clusters")
