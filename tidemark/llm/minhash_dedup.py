@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -113,13 +114,14 @@ def _key(df: Column, value: Column) -> Column:
     return F.shiftleft(F.length(F.bin(df)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(value, 8))
 
 
-def rare_postings(items: DataFrame, values: str, need: Column) -> DataFrame:
+def rare_postings(items: DataFrame, values: str, need: Column, passes: int = 1) -> DataFrame:
     """(key, item, n, left): of each item's ``values`` (array of long) the rarest that a linked pair cannot all miss.
 
     A pair that shares ``need`` values also shares one of the size - need + 1 that come first in any
     common order; here that is the order of ``key``. Values of one item alone come first of all and are not returned.
     ``left`` counts the values from the key on, itself included. Values that more than a thousandth of all postings hold, fewer
-    than 1000 of them, never leave the tasks that read them before their counts are known.
+    than 1000 of them, never leave the tasks that read them before their counts are known. With several ``passes`` each
+    takes its part of the items and is written, so that only its own postings are shuffled at once.
     """
     postings = items.select("item", F.explode(values).alias("value"))
     counts = materialize(postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "counts")
@@ -127,18 +129,26 @@ def rare_postings(items: DataFrame, values: str, need: Column) -> DataFrame:
     is_hot = F.col("df") * 1000 > F.lit(total)
     key = _key(F.col("df"), F.col("value")).alias("key")
     hot = F.broadcast(counts.filter(is_hot).select("value", key))
-    cold = postings.join(hot, "value", "left_anti").join(counts.filter(~is_hot).select("value", key), "value")
-    listed = (
-        cold.select("item", "key").unionAll(postings.join(hot, "value").select("item", "key"))
-        .groupBy("item").agg(F.sort_array(F.collect_list("key")).alias("shared"))
-        .join(items.select("item", "n", need.alias("need")), "item")
-    )
-    room = F.size("shared") - F.col("need") + 1
-    return (
-        listed.filter(room > 0)
-        .select("item", "n", F.size("shared").alias("size"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("at", "key"))
-        .select("key", "item", "n", (F.col("size") - F.col("at")).alias("left"))
-    )
+
+    def rarest(items: DataFrame) -> DataFrame:
+        postings = items.select("item", F.explode(values).alias("value"))
+        cold = postings.join(hot, "value", "left_anti").join(counts.filter(~is_hot).select("value", key), "value")
+        listed = (
+            cold.select("item", "key").unionAll(postings.join(hot, "value").select("item", "key"))
+            .groupBy("item").agg(F.sort_array(F.collect_list("key")).alias("shared"))
+            .join(items.select("item", "n", need.alias("need")), "item")
+        )
+        room = F.size("shared") - F.col("need") + 1
+        return (
+            listed.filter(room > 0)
+            .select("item", "n", F.size("shared").alias("size"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("at", "key"))
+            .select("key", "item", "n", (F.col("size") - F.col("at")).alias("left"))
+        )
+
+    if passes == 1:
+        return rarest(items)
+    turn = F.pmod(F.xxhash64("item"), F.lit(passes))
+    return reduce(DataFrame.unionByName, [materialize(rarest(items.filter(turn == i)), "parts") for i in range(passes)])
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

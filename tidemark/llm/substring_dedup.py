@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, passing
 from . import words as W
 from .linking import linked_components, similar
 from .minhash_dedup import rare_postings
@@ -25,6 +25,10 @@ _INDEX = np.arange(LENGTH - SHINGLE + 1)
 #: Linked paragraphs share at least 75 of 100 shingles of either, so also one of the smallest n - ceil(0.75 n) + 1 of each; this
 #: is the most that any number n of different shingles needs.
 SMALLEST = max(n - -(-n * PERCENT // 100) + 1 for n in range(1, len(_INDEX) + 1))
+#: Linked paragraphs that both have all their shingles different miss at most two of the other's, so they share three of their smallest.
+SHARED = SMALLEST - (len(_INDEX) - -(-2 * len(_INDEX) * PERCENT // (100 + PERCENT)))
+#: Passes over the smallest shingles, by key, and over the postings, by item: each shuffles its part only.
+KEY_PASSES, ITEM_PASSES = 3, 4
 
 
 def anchors(words: np.ndarray) -> np.ndarray:
@@ -77,11 +81,16 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(sizes, pa.array(values.view(np.int64).ravel()))
 
 
+def _again(found: np.ndarray) -> np.ndarray:
+    again = np.zeros(found.shape, bool)
+    again[:, 1:] = found[:, 1:] == found[:, :-1]
+    return again
+
+
 def smallest(shingles: np.ndarray) -> np.ndarray:
     """The ``SMALLEST`` smallest different shingles of each paragraph; the smallest again where there are fewer."""
     found = np.sort(shingles, 1)
-    again = np.zeros(found.shape, bool)
-    again[:, 1:] = found[:, 1:] == found[:, :-1]
+    again = _again(found)
     order = np.argsort(again, 1, kind="stable")[:, :SMALLEST]
     return np.where(np.take_along_axis(again, order, 1), found[:, :1], np.take_along_axis(found, order, 1))
 
@@ -91,14 +100,36 @@ def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for low, text, at, begin, end, shingles, prints in _paragraphs(batch.column(1)):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(low + text)), pa.array(at.astype(np.int32)), pa.array(begin.astype(np.int32)),
-                 pa.array(end.astype(np.int32)), _binary(prints), _lists(np.ascontiguousarray(smallest(shingles)))],
-                ["id", "word", "start", "end", "item", "smallest"])
+                 pa.array(end.astype(np.int32)), _binary(prints), _lists(np.ascontiguousarray(smallest(shingles))),
+                 pa.array(_again(np.sort(shingles, 1)).any(1))],
+                ["id", "word", "start", "end", "item", "smallest", "short"])
+
+
+def _asked(texts: pa.Array, asked: pa.Array) -> Iterator[tuple]:
+    """Per slice: its first row, words (hash, start, end, first of each text), shingles, and per asked paragraph (``word``, ``item``, ...)
+    its text and place in ``asked`` and its first word, counted in the text and in the slice, and its fingerprint."""
+    for low, high in W.slices(texts, W.PIECE_BYTES):
+        data, offsets = W.buffers(texts.slice(low, high - low))
+        words, start, end, first = W.hashed_words(data, offsets)
+        if len(words) < LENGTH:
+            continue
+        rows = asked.slice(low, high - low)
+        text = np.repeat(np.arange(high - low), rows.value_lengths().to_numpy())
+        rows = rows.flatten()
+        word = rows.field("word").to_numpy()
+        prints = np.frombuffer(b"".join(rows.field("item").to_pylist()), np.uint64).reshape(-1, 2)
+        # Of rows equal in id, only those whose text has the paragraph there.
+        fits = np.flatnonzero(word + LENGTH <= first[text + 1] - first[text])
+        shingles = W.shingle_hashes(words, SHINGLE)
+        fits = fits[(_prints(shingles[(first[text] + word)[fits][:, None] + _INDEX]) == prints[fits]).all(1)]
+        yield low, (data, offsets, words, start, end, first), shingles, rows.take(pa.array(fits)), text[fits], word[fits], prints[fits]
 
 
 def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, _, _, _, shingles, prints in _paragraphs(batch.column(0)):
-            yield pa.RecordBatch.from_arrays([_binary(prints), _lists(shingles)], ["item", "shingles"])
+        for _, (*_, first), shingles, rows, text, word, _ in _asked(batch.column(0), batch.column(1)):
+            found = shingles[(first[text] + word)[:, None] + _INDEX]
+            yield pa.RecordBatch.from_arrays([rows.field("number"), _lists(found)], ["item", "shingles"])
 
 
 def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,22 +137,10 @@ def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     steps = np.arange(REACH)
     weights = W.mix(np.arange(1, REACH + 1, dtype=np.uint64)) | np.uint64(1)
     for batch in batches:
-        for low, high in W.slices(batch.column(1), W.PIECE_BYTES):
-            data, offsets = W.buffers(batch.column(1).slice(low, high - low))
-            words, start, end, first = W.hashed_words(data, offsets)
-            if len(words) < LENGTH:
-                continue
+        for low, (data, offsets, words, start, end, first), _, rows, text, word, prints in _asked(batch.column(1), batch.column(2)):
             points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-            asked = batch.column(2).slice(low, high - low)
-            text = np.repeat(np.arange(high - low), asked.value_lengths().to_numpy())
-            asked = asked.flatten()
-            word, side = (asked.field(c).to_numpy() for c in ("word", "side"))
-            prints = np.frombuffer(b"".join(asked.field("item").to_pylist()), np.uint64).reshape(-1, 2)
-            # Of rows equal in id, only those whose text has the paragraph there.
-            fits = np.flatnonzero(word + LENGTH <= first[text + 1] - first[text])
-            shingles = W.shingle_hashes(words, SHINGLE)
-            fits = fits[(_prints(shingles[(first[text] + word)[fits][:, None] + _INDEX]) == prints[fits]).all(1)]
-            text, word, side, prints = text[fits], word[fits], side[fits], prints[fits]
+            side = rows.field("side").to_numpy()
+            grows = rows.field("grows").to_numpy(zero_copy_only=False)
             at = (first[text] + word)[:, None] + np.where(side[:, None] == 0, -1 - steps, LENGTH + steps)
             inside = (at >= first[text][:, None]) & (at < first[text + 1][:, None])
             at = np.clip(at, 0, len(words) - 1)
@@ -133,8 +152,8 @@ def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 [batch.column(0).take(pa.array(low + text[row])), pa.array(word[row].astype(np.int32)),
                  pa.array(side[row].astype(np.int32)), _binary(np.ascontiguousarray(prints[row])),
                  pa.array(keys[row, step].view(np.int64)), pa.array((step + 1).astype(np.int32)),
-                 pa.array(edge[row, step].astype(np.int32))],
-                ["id", "word", "side", "item", "key", "reach", "edge"])
+                 pa.array(edge[row, step].astype(np.int32)), pa.array(grows[row])],
+                ["id", "word", "side", "item", "key", "reach", "edge", "grows"])
 
 
 def _extended(runs: DataFrame, texts: DataFrame, places: DataFrame, items: DataFrame) -> DataFrame:
@@ -148,18 +167,16 @@ def _extended(runs: DataFrame, texts: DataFrame, places: DataFrame, items: DataF
         F.struct(F.lit(0).alias("side"), F.col("first.word").alias("word"), F.col("first.item").alias("item")),
         F.struct(F.lit(1).alias("side"), F.col("last.word").alias("word"), F.col("last.item").alias("item")))))
     wanted = ends.select("item", "side").distinct().join(items.filter("low < high").select("item"), "item", "left_semi")
+    grows = ends.select("id", "word", "side").distinct().withColumn("grows", F.lit(True))
     asked = (
-        places.select("id", "word", "item").join(wanted, "item").distinct()
-        .groupBy("id").agg(F.collect_list(F.struct("word", "item", "side")).alias("asked"))
+        places.select("id", "word", "item").join(wanted, "item").distinct().join(grows, ["id", "word", "side"], "left")
+        .groupBy("id").agg(F.collect_list(F.struct("word", "item", "side", F.col("grows").isNotNull().alias("grows"))).alias("asked"))
     )
     contexts = materialize(texts.join(asked, "id").select("id", "text", "asked").mapInArrow(
-        _context_batches, f"id {id_type}, word int, side int, item binary, key bigint, reach int, edge int"), "contexts")
-    repeated = (
-        contexts.groupBy("item", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").drop("high")
-    )
+        _context_batches, f"id {id_type}, word int, side int, item binary, key bigint, reach int, edge int, grows boolean"), "contexts")
+    earliest = contexts.groupBy("item", "key").agg(F.min("id").alias("low"))
     grown = (
-        contexts.join(ends.select("id", "word", "side").distinct(), ["id", "word", "side"], "left_semi")
-        .join(repeated, ["item", "key"]).filter(F.col("id") > F.col("low"))
+        contexts.filter("grows").join(earliest, ["item", "key"]).filter(F.col("id") > F.col("low"))
         .groupBy("id", "word", "side").agg(F.max(F.struct("reach", "edge")).alias("far"))
     )
     by_run = (
@@ -173,42 +190,61 @@ def _extended(runs: DataFrame, texts: DataFrame, places: DataFrame, items: DataF
         F.coalesce("before.edge", "first.start").alias("start"), F.coalesce("behind.edge", "last.end").alias("end"))
 
 
-def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, start, end, n_words, kept_id): every passage of a document that an earlier document has too.
+def _met(paragraphs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item, id, word, number) of the ``items`` that may be linked: where they come first, and a number.
 
-    Paragraphs count as the same if 100 * shared >= 75 * all five-word shingles, directly or over a chain of
-    others; letters A-Z count as small ones. Of each cluster the document with the smallest id,
-    ``kept_id``, keeps its text. In all others the paragraphs are to be removed; those of a text that begin at most
-    28 words apart (two anchors are never further, so at most 8 words lie between) make one row, from code point ``start`` to before ``end``, ``kept_id`` being the smallest of theirs. A row
-    goes on to both sides as far as an earlier document has the same words next to the same paragraph; rows that then meet are one. A passage of 50 words or more
-    that repeats exactly is always found, from its first to its last word; one that repeats within one document only is
-    not reported. Texts of fewer than 20 words, null texts and rows with a null id take no part;
-    rows equal in id are one document. Other columns are not read.
+    A linked pair shares one of the smallest shingles of both, and ``SHARED`` of them if both have all their shingles different. So an item
+    stays if it meets others in that many keys, or in one that holds an item with repeated shingles.
     """
-    id_type = docs.schema[id_column].dataType.simpleString()
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).filter(
-        F.col("id").isNotNull() & F.col("text").isNotNull())
-    places = materialize(texts.mapInArrow(
-        _place_batches, f"id {id_type}, word int, start int, end int, item binary, smallest array<bigint>"), "paragraphs")
-    # Equal paragraphs are one item. A linked pair shares one of the smallest shingles of both, so none is lost here.
-    items = materialize(places.groupBy("item").agg(F.min("id").alias("low"), F.max("id").alias("high")), "items")
     # Keys travel with 8 bytes of their item: a key that two items have meets two prints.
     print_ = F.xxhash64("item").alias("print")
-    keys = places.select(print_, F.explode(F.array_distinct("smallest")).alias("key"))
-    crowded = (
-        keys.groupBy("key").agg(F.min("print").alias("least"), F.max("print").alias("most")).filter("least < most").select("key")
+    keys = paragraphs.select(print_, "short", F.posexplode("smallest").alias("at", "key"))
+    seen = None
+    for turn in range(KEY_PASSES):
+        part = keys.filter(F.pmod("key", F.lit(KEY_PASSES)) == turn)
+        crowded = (
+            part.groupBy("key").agg(F.min("print").alias("least"), F.max("print").alias("most"), F.max("short").alias("loose"))
+            .filter("least < most").select("key", "loose")
+        )
+        found = materialize(
+            part.select("print", "at", "key").join(crowded, "key").groupBy("print")
+            .agg(F.bit_or(F.expr("shiftleft(1, at)")).alias("shared"), F.max("loose").alias("loose")), "crowded")
+        seen = found if seen is None else seen.unionByName(found)
+    prints = (
+        seen.groupBy("print").agg(F.bit_count(F.bit_or("shared")).alias("shared"), F.max("loose").alias("loose"))
+        .filter(F.col("loose") | (F.col("shared") >= SHARED)).select("print")
     )
-    prints = keys.join(crowded, "key", "left_semi").select("print").distinct()
-    # Once written, the numbers stay as they are; lists and rounds carry them in place of the items.
-    met = materialize(items.select("item", "low", print_).join(prints, "print", "left_semi").select("item", "low").withColumn(
-        "number", F.monotonically_increasing_id()), "met")
-    chosen = met.select(F.col("low").alias("id")).distinct()
-    full = materialize(
-        texts.join(chosen, "id", "left_semi").select("text").mapInArrow(_shingle_batches, "item binary, shingles array<bigint>")
-        .join(met.select("item", "number"), "item").dropDuplicates(["number"])
-        .select(F.col("number").alias("item"), F.array_distinct("shingles").alias("shingles")), "shingles")
-    full = full.withColumn("n", F.size("shingles").cast("long"))
-    members = materialize(rare_postings(full, "shingles", F.ceil(F.col("n") * PERCENT / 100).cast("int")), "postings")
+    return items.select("item", "first.*", print_).join(prints, "print", "left_semi").drop("print").withColumn(
+        "number", F.monotonically_increasing_id())
+
+
+def _shingles(texts: DataFrame, met: DataFrame) -> DataFrame:
+    """(item, shingles, n) of the ``met`` items, read where each comes first; ``item`` is the number."""
+    asked = met.groupBy("id").agg(F.collect_list(F.struct("word", "item", "number")).alias("asked"))
+    full = materialize(texts.join(asked, "id").select("text", "asked").mapInArrow(
+        _shingle_batches, "item bigint, shingles array<bigint>").withColumn("shingles", F.array_distinct("shingles")), "shingles")
+    if not full.groupBy("item").count().filter("count > 1").isEmpty():
+        # Rows equal in id that have the paragraph in the same place.
+        full = materialize(full.dropDuplicates(["item"]), "shingles")
+    return full.withColumn("n", F.size("shingles").cast("long"))
+
+
+def _clusters(texts: DataFrame, id_type: str) -> tuple[DataFrame, DataFrame]:
+    """All paragraphs, and (item, low, high, cluster) of the items that have copies or links; written as places and clusters."""
+    with passing(texts.sparkSession, but=("items", "met", "places")):
+        paragraphs = materialize(texts.mapInArrow(
+            _place_batches,
+            f"id {id_type}, word int, start int, end int, item binary, smallest array<bigint>, short boolean"), "paragraphs")
+        # Equal paragraphs are one item.
+        items = materialize(
+            paragraphs.groupBy("item").agg(F.min(F.struct("id", "word")).alias("first"), F.max("id").alias("high")), "items")
+        # Once written, the numbers stay as they are; lists and rounds carry them in place of the items.
+        met = materialize(_met(paragraphs, items), "met")
+        places = materialize(paragraphs.drop("smallest", "short"), "places")
+    full = _shingles(texts, met)
+    need = F.ceil(F.col("n") * PERCENT / 100).cast("int")
+    with passing(texts.sparkSession, but=("postings",)):
+        members = materialize(rare_postings(full, "shingles", need, ITEM_PASSES), "postings")
 
     def check(pairs: DataFrame) -> DataFrame:
         a = full.select(F.col("item").alias("a"), F.col("shingles").alias("of_a"))
@@ -219,12 +255,31 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     linked = linked_components(members, check, PERCENT).withColumnRenamed("item", "number")
     linked = met.select("item", "number").join(linked, "number").select("item", "component")
     spread = (
-        items.join(linked, "item", "left")
+        items.select("item", F.col("first.id").alias("low"), "high").join(linked, "item", "left")
         # An item without links is a cluster of its own; its 32 digits are no number of another.
         .withColumn("cluster", F.coalesce(F.col("component").cast("string"), F.hex("item")))
     )
     spread = spread.filter(F.col("component").isNotNull() | (F.col("low") < F.col("high")))
-    spread = materialize(spread.select("item", "low", "high", "cluster"), "clusters")
+    return places, materialize(spread.select("item", "low", "high", "cluster"), "clusters")
+
+
+def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, start, end, n_words, kept_id): every passage of a document that an earlier document has too.
+
+    Paragraphs count as the same if 100 * shared >= 75 * all five-word shingles, directly or over a chain of
+    others; letters A-Z count as small ones. Of each cluster the document with the smallest id,
+    ``kept_id``, keeps its text. In all others the paragraphs are to be removed; those of a text that begin at most
+    28 words apart (two anchors are never further, so at most 8 words lie between) make one row, from code point ``start`` to before ``end``, ``kept_id`` being the smallest of theirs. A row
+    goes on to both sides as far as an earlier document has the same words next to the same paragraph; rows that then meet are one. A passage of 50 words or more
+    that repeats exactly is always found, from its first to its last word; one that repeats within one document only is
+    not reported. Texts of fewer than 20 words, null texts and rows with a null id take no part;
+    rows equal in id are one document. Other columns are not read.
+    """
+    id_type = docs.schema[id_column].dataType.simpleString()
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).filter(
+        F.col("id").isNotNull() & F.col("text").isNotNull())
+    with passing(docs.sparkSession, but=("places", "clusters")):
+        places, spread = _clusters(texts, id_type)
     across = spread.groupBy("cluster").agg(F.min("low").alias("kept_id"), F.max("high").alias("high")).filter("kept_id < high")
     owners = spread.join(across, "cluster").select("item", "kept_id")
     gone = places.select("id", "word", "start", "end", "item").join(owners, "item").filter(F.col("id") > F.col("kept_id"))
@@ -235,7 +290,7 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
         opened.withColumn("run", F.sum("opens").over(in_text)).groupBy("id", "run")
         .agg(F.min(F.struct("word", "start", "item")).alias("first"), F.max(F.struct("word", "end", "item")).alias("last"),
              F.min("kept_id").alias("kept_id")), "runs")
-    spans = _extended(runs, texts, places, items)
+    spans = _extended(runs, texts, places, spread)
     in_text = Window.partitionBy("id").orderBy("from", "to")
     reached = F.max("to").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.withColumn("opens", (F.coalesce(reached, F.lit(-1)) < F.col("from")).cast("int"))

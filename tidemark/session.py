@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .sources.files import remove
+
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.fieldId.write.enabled": "true",
@@ -21,6 +25,10 @@ _SETTINGS = {
 # Folders made for local sessions only; removed when the interpreter ends.
 _LOCAL_FOLDERS: list[tempfile.TemporaryDirectory] = []
 
+#: Removes the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PASSING: ContextVar[list[tuple[str, str]] | None] = ContextVar("passing", default=None)
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime settings the operators rely on. Safe to call again."""
@@ -69,14 +77,41 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors, and gives Catalyst the real
-    size, so a later join broadcasts this side only when it is under the session threshold.
+    size, so a later join broadcasts this side only when it is under the session threshold. Nothing reads the
+    shuffle files behind it again, so they go when it is written.
     """
     spark = df.sparkSession
     path = workspace(spark, label)
-    df.write.parquet(path)
+    if _PASSING.get() is not None:
+        _PASSING.get().append((label, path))
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession, but: Sequence[str]) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are removed at the end. Those with a label of ``but`` stay, or go with an outer one."""
+    outer, written = _PASSING.get(), []
+    token = _PASSING.set(written)
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for label, path in written:
+            if label not in but:
+                remove(spark, path)
+            elif outer is not None:
+                outer.append((label, path))
+
+
 def local_frame(spark: SparkSession, schema: T.StructType | str,
                 columns: Mapping[str, Sequence] | None = None) -> DataFrame:
     """A short list of the driver as a frame whose size Catalyst knows; empty without columns."""

@@ -37,3 +37,9 @@ def create_once(spark: SparkSession, path: str, text: str) -> bool:
     finally:
         out.close()
     return True
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file, or a folder with all it holds, if it exists."""
+    system, target = _open(spark, path)
+    system.delete(target, True)
