@@ -102,3 +102,8 @@ def test_nested_keys_have_entries_of_their_own(spark, folder):
     ops.start(ops.latest_by_key(stream, ["k"], ["n"], "t", "1 minute", 60), folder + "/out", folder + "/progress").awaitTermination()
     held = ops.held(spark, folder + "/progress", stream.schema).collect()
     assert sorted((str(r.k), r.n) for r in held) == [("None", 1.0), ("Row(a=1)", 2.0)]
+
+
+def test_only_plain_texts_share_entries():
+    assert ops._is_plain(ops.T.StringType()) and ops._is_plain(ops.T.LongType())
+    assert not any(map(ops._is_plain, (ops.T.StringType("UTF8_LCASE"), ops.T.DoubleType(), ops.T.StructType())))

@@ -220,8 +220,8 @@ def latest_by_key(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     Keys are dealt over ``buckets`` by their hash, and those of a bucket share one entry of the state store, so an epoch costs calls
     by bucket and not by key; it reads and writes the whole of each bucket that it meets, and a task holds one at a time. Without
-    buckets, or where a key or an order is nested or a fraction, each key has its own entry: better for epochs that meet few of very many keys.
-    The number stays as it is for the life of a checkpoint.
+    buckets, or where a key or an order is nested, a fraction or collated, each key has its own entry: better for epochs that meet few of very many keys.
+    The number stays as it is for the life of a checkpoint; one that was written before there were buckets goes on with 0.
     """
     schema = _kept(stream.schema)
     # Times go as numbers, which have no watermark of their own, so the operator sees late rows too.
@@ -231,7 +231,7 @@ def latest_by_key(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
     salt = F.pmod(F.xxhash64(*stream.columns), F.lit(salts))
     emitted_schema = T.StructType([*schema.fields, T.StructField(KIND, T.StringType())])
     marked = marked.withColumn("_salt", salt)
-    if buckets and all(isinstance(schema[c].dataType, _PLAIN) for c in (*keys, *order)):
+    if buckets and all(_is_plain(schema[c].dataType) for c in (*keys, *order)):
         bucket = F.pmod(F.xxhash64(*keys, "_salt"), F.lit(buckets)).cast("int").alias("_bucket")
         left = (
             marked.select("*", bucket).mapInArrow(_pack_batches, "_bucket int, rows binary").groupBy("_bucket")
@@ -245,6 +245,11 @@ def latest_by_key(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
     return left.select(*_given(stream.schema), KIND)
 
 
+def _is_plain(kind: T.DataType) -> bool:
+    # Collations equate texts that differ in bytes.
+    return isinstance(kind, _PLAIN) and (not isinstance(kind, T.StringType) or kind == T.StringType())
+
+
 def _is_time(field: T.StructField) -> bool:
     return isinstance(field.dataType, T.TimestampType)
 
